@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, htmltext, langid, packing, quality, secrets, simhash, tokens, urls
+from . import decontam, htmltext, langid, packing, quality, secrets, simhash, suffixdedup, tokens, urls
 from .common import table
 
 
@@ -42,12 +42,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.query(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.query(table(spark, sf_dir, "documents"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.query(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash_dedup, op2_token_counts, op3_url_filters, op4_secret_scans, op5_decontamination, op6_packing, op7_quality_rules, op8_language_id, op10_html_extraction)
+    found = (op1_simhash_dedup, op2_token_counts, op3_url_filters, op4_secret_scans, op5_decontamination, op6_packing, op7_quality_rules, op8_language_id, op9_suffix_dedup, op10_html_extraction)
     return {f.__name__: f for f in found}
 
 
