@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 WHITE = r"[\x20\x09-\x0D]+"
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -39,14 +41,16 @@ def normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[0-9]+", "0"), WHITE, " "))
 
 
+def once(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often the body uses it, wherever the optimizer puts it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def repeat_words(ws: Column) -> Column:
     """How many words stand in 3-word windows that occur at least twice in the text, the first one included."""
-    n = F.size(ws)
-    grams = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)).alias("h"), i.alias("i")))
-    # positions of windows whose neighbour in the sorted list has the same hash
-    ordered = F.array_sort(grams)
 
     def positions(g: Column) -> Column:
+        # g: windows sorted by hash; those with the same hash as a neighbour, back in text order
         same = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda k: ((k > 0) & (F.get(g, k - 1)["h"] == F.get(g, k)["h"])) | (F.get(g, k + 1)["h"] == F.get(g, k)["h"]))
         return F.array_sort(F.transform(same, lambda k: F.get(g, k)["i"]))
 
@@ -54,24 +58,28 @@ def repeat_words(ws: Column) -> Column:
         step = F.aggregate(p, F.struct(F.lit(-3).alias("at"), F.lit(0).alias("n")), lambda a, i: F.struct(i.alias("at"), (a["n"] + F.least(F.lit(3), i - a["at"])).alias("n")))
         return step["n"]
 
-    held = F.aggregate(F.array(ordered), F.lit(0), lambda _, g: covered(positions(g)))
-    hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)))
-    alike = F.size(F.array_distinct(hashes)) < n - 2
-    return F.when((n >= 3) & alike, held).otherwise(0).cast("long")
+    def count(hs: Column) -> Column:
+        numbered = F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        return F.when(F.size(F.array_distinct(hs)) < F.size(hs), once(F.array_sort(numbered), lambda g: covered(positions(g)))).otherwise(0)
+
+    hashes = F.transform(F.sequence(F.lit(0), F.size(ws) - 3), lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)))
+    return F.when(F.size(ws) >= 3, once(hashes, count)).otherwise(0).cast("long")
 
 
 def base_counts(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns ``keep`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(*keep, text.alias("text"), words(text).alias("ws"), lines(text).alias("ls"))
-    rows = rows.select(
-        *keep, "text", "ls",
-        F.size("ws").cast("long").alias("n_words"),
-        F.length(F.array_join("ws", "")).cast("long").alias("word_chars"),
-        F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("ws")).alias("n_repeat_words"),
-    )
+
+    def of_words(ws: Column) -> Column:
+        return F.struct(F.size(ws).cast("long").alias("n"), F.length(F.array_join(ws, "")).cast("long").alias("chars"), repeat_words(ws).alias("again"))
+
+    rows = docs.select(
+        *keep,
+        once(words(text), of_words).alias("w"),
+        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        once(lines(text), lambda ls: (F.size(ls) - F.size(F.array_distinct(ls))).cast("long")).alias("n_dup_lines"),
+    )
+    rows = rows.select(*keep, F.col("w.n").alias("n_words"), F.col("w.chars").alias("word_chars"), "n_symbols", "n_dup_lines", F.col("w.again").alias("n_repeat_words"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return rows.withColumn("base_failed", failed)
 
@@ -83,9 +91,9 @@ def frequent_lines(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: floa
     each = docs.select(host.alias("host"), text.alias("text")).where("text <> ''")
     each = each.select("host", F.xxhash64("text").alias("body"), F.array_distinct(F.transform(lines(F.col("text")), lambda x: F.xxhash64(normal(x)))).alias("ls"))
     # a text once for each host; its number of lines is bounded by its length
-    once = each.groupBy("host", "body").agg(F.first("ls").alias("ls"))
-    total = once.groupBy("host").agg(F.count("*").alias("n_docs"))
-    seen = once.select("host", F.explode("ls").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > line_docs)
+    single = each.groupBy("host", "body").agg(F.first("ls").alias("ls"))
+    total = single.groupBy("host").agg(F.count("*").alias("n_docs"))
+    seen = single.select("host", F.explode("ls").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > line_docs)
     return seen.join(total, "host").where(F.col("n") > line_share * F.col("n_docs")).select("host", "line")
 
 
@@ -99,7 +107,7 @@ def judge(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_
     host = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host")
     base = base_counts(rows.select("__rid", F.col("doc_id").cast("long").alias("doc_id"), "text"), "__rid", "doc_id")
     out = _with_lost(rows, frequent_lines(docs, line_docs, line_share), host)
-    judged = base.drop("text", "ls").join(out, "__rid", "left")
+    judged = base.join(out, "__rid", "left")
     lost = F.coalesce(F.col("lost"), F.lit(0))
     kept = ~F.col("base_failed") & ~(lost > depleted * F.col("word_chars"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
@@ -126,8 +134,9 @@ def apply_rules(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float =
     frequent = frequent_lines(docs, line_docs, line_share)
     parts = rows.select("__rid", host, F.explode(F.array_distinct(F.transform(lines(F.col("text").cast("string")), lambda x: F.xxhash64(normal(x))))).alias("line"))
     bad = parts.join(frequent, ["host", "line"], "left_semi").groupBy("__rid").agg(F.collect_set("line").alias("__bad"))
-    base = base_counts(rows.select("__rid", "text"), "__rid")
-    ok = base.where("not base_failed").select("__rid", F.col("word_chars").alias("__chars"))
+    # written, since the optimizer would else count a text's words again for each condition on them
+    base = settle(base_counts(rows.select("__rid", "text"), "__rid").select("__rid", F.col("word_chars").alias("__chars"), "base_failed"))
+    ok = base.where("not base_failed").drop("base_failed")
     text = F.col("text").cast("string")
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("__bad"), F.xxhash64(normal(x)))), "\n")
     out = rows.join(ok, "__rid").join(bad, "__rid", "left").withColumn("text", F.when(F.col("__bad").isNull(), text).otherwise(left))
