@@ -4,14 +4,17 @@ Each byte goes that is covered by a string of LENGTH bytes which also starts in
 
 How it is dealt out. A window (LENGTH bytes at some place) is named by the least hash of the GRAM-byte strings in it;
 equal windows have equal names. Neighbouring windows mostly share a name and form a run, one for every 16 bytes
-or so. (1) Runs are shuffled by name, without text; names that stand in one document only are done with. (2) Runs
-that are left meet their texts and become segments; of equal segments in a task those of larger doc_id are
-known to go, so a task sends one for each segment, however many copies there are. (3) Segments are shuffled
-by name and gathered to shards of about SHARD_BYTES; each shard is sorted, transformed, and its common prefixes are
+or so. Documents travel in blocks of BLOCK_ROWS rows. (1) Each block's distinct names are shuffled by name, as packed
+numbers without text; names of one document only are done with, the others go back to their blocks. (2) There
+their runs become segments; of equal segments in a task those of larger doc_id are known to go, so a task
+sends one for each segment, however many copies there are. (3) Segments are shuffled
+by name and gathered to shards of about SHARD_BYTES; a name's segment that is the same everywhere goes where its document
+isn't the least; the others' shards are sorted, transformed, and their common prefixes are
 derived by increasing value: breadth-first, the intervals of strings of length l are extended backwards by one
 character, which sets the borders of those of length l + 1, and no border is looked for from LENGTH on. The
 intervals that are left hold the equal windows; each goes where its document isn't the interval's least. (4) Removed
-spans meet their texts.
+spans meet their texts. Texts that repeat a whole text of a smaller doc_id are told by hash beforehand: they go,
+if they have LENGTH bytes, and send no segments.
 """
 
 from __future__ import annotations
@@ -25,16 +28,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, slices
+from .common import byte_rows, settle, slices
 
 LENGTH = 50
 GRAM = 24
+NAME_BITS = 48
 SHARD_BYTES = 2 << 20
+#: Rows of a block, as a power of two; the bytes of names that meet in a task at most, about.
+BLOCK_ROWS = 9
+NAMES_BYTES = 8 << 20
+MOST_BUCKETS = 1 << 20
 #: Segments that a task remembers to fold copies of; more only means that more are sent.
 REMEMBERED = 300_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_NAME = np.uint64((1 << 48) - 1)
 
 
 def _gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
@@ -75,7 +82,7 @@ def runs(texts: list[bytes | None], length: int = LENGTH, gram: int = GRAM) -> t
     if len(buf) < length:
         return none, none, none, none
     ends = np.cumsum(sizes)
-    names = (_sliding_least(_gram_hashes(buf, gram), length - gram + 1) & _NAME).view(np.int64)
+    names = (_sliding_least(_gram_hashes(buf, gram), length - gram + 1) & np.uint64((1 << NAME_BITS) - 1)).view(np.int64)
     owner = np.repeat(np.arange(len(texts)), sizes)[: len(names)]
     valid = np.arange(len(names)) + length <= ends[owner]
     new = np.ones(len(names), dtype=bool)
@@ -167,83 +174,182 @@ def _batch(schema: list[tuple[str, pa.DataType]], columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema, strict=True)], [n for n, _ in schema])
 
 
-def _find_runs(length: int, gram: int):
+def _pack_names(names: np.ndarray) -> bytes:
+    """Sorted distinct names, as differences whose bytes of one weight stand together, compressed."""
+    steps = np.diff(names, prepend=np.int64(0)).astype("<i8")
+    return zstandard.compress(steps.view(np.uint8).reshape(-1, 8)[:, : NAME_BITS // 8].T.tobytes(), 1)
+
+
+def _unpack_names(body: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(body), dtype=np.uint8).reshape(NAME_BITS // 8, -1)
+    steps = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    steps[:, : NAME_BITS // 8] = planes.T
+    return np.cumsum(steps.view("<i8").ravel())
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[int | None], list[bytes | None]]]:
+    """Of rows (rid, doc_id, text) in the order of rid: block, rids, doc_ids and texts."""
+    block, rids, docs, texts = None, [], [], []
+    for b in slices(batches):
+        for rid, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), byte_rows(b.column(2)), strict=True):
+            if rid >> BLOCK_ROWS != block:
+                if rids:
+                    yield block, rids, docs, texts
+                block, rids, docs, texts = rid >> BLOCK_ROWS, [], [], []
+            rids.append(rid)
+            docs.append(doc)
+            texts.append(text)
+    if rids:
+        yield block, rids, docs, texts
+
+
+def _names(length: int, gram: int, bits: int):
+    """Of rows (rid, doc_id, text): (bucket, block, one, many), a block's names that one, or more, of its documents have."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, size=4 << 20):
-            name, row, at, n = runs(byte_rows(b.column(1)), length, gram)
-            rid = b.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(rid[row]), pa.array(at << 24 | np.minimum(n, (1 << 24) - 1))] if len(name) else [pa.array([], pa.int64())] * 3, ["h", "rid", "place"])
+        for block, _, docs, texts in _in_blocks(batches):
+            name, row, _, _ = runs([t if d is not None else None for t, d in zip(texts, docs, strict=True)], length, gram)
+            if not len(name):
+                continue
+            order = np.lexsort((row, name))
+            name, row = name[order], row[order]
+            edge = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+            many = row[edge] != row[np.r_[edge[1:], len(name)] - 1]
+            name = name[edge]
+            bucket = name >> (NAME_BITS - bits)
+            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+            rows = [(int(bucket[a]), block, _pack_names(name[a:b][~many[a:b]]), _pack_names(name[a:b][many[a:b]])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            yield _batch(_NAMES, list(zip(*rows, strict=True)))
 
     return run
 
 
+_NAMES = [("bucket", pa.int64()), ("block", pa.int64()), ("one", pa.binary()), ("many", pa.binary())]
+_PART = [("block", pa.int64()), ("kind", pa.int64()), ("body", pa.binary())]
+_TEXTS, _SHARED, _GONE = 0, 1, 2
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (h, rid, place) sorted by h, rid: those of names with two rids at least."""
-    left, known = None, None  # rows of a name that may go on, all of one rid; a name known to be shared
+    """Of names sorted by bucket: (block, kind, body), each block's names that two documents at least have."""
+
+    def solve(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        one = [_unpack_names(r[1]) for r in rows]
+        many = [_unpack_names(r[2]) for r in rows]
+        once = np.sort(np.concatenate(one))
+        known = np.unique(np.concatenate([once[1:][once[1:] == once[:-1]], *many]))
+        # a name that is in some block's ``many`` and once in another's ``one`` is known by the former
+        out = []
+        for (block, _, _), a, m in zip(rows, one, many, strict=True):
+            at = np.minimum(np.searchsorted(known, a), max(0, len(known) - 1))
+            found = np.union1d(a[known[at] == a] if len(known) else a[:0], m)
+            if len(found):
+                out.append((block, _SHARED, _pack_names(found)))
+        return _batch(_PART, list(zip(*out, strict=True)) if out else [[], [], []])
+
+    bucket, rows = None, []
+    for b in batches:
+        for k, block, one, many in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if k != bucket and rows:
+                yield solve(rows)
+                rows = []
+            bucket = k
+            rows.append((block, one, many))
+    if rows:
+        yield solve(rows)
+
+
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (rid, doc_id, text): (block, kind, body), each block's texts compressed together."""
+    for block, rids, docs, texts in _in_blocks(batches):
+        head = np.array([[r, d if d is not None else 0, d is not None, len(t or b"")] for r, d, t in zip(rids, docs, texts, strict=True)], dtype="<i8")
+        yield _batch(_PART, ([block], [_TEXTS], [zstandard.compress(len(rids).to_bytes(8, "little") + head.tobytes() + b"".join(t or b"" for t in texts), 3)]))
+
+
+def _unpack_texts(body: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """Rows (rid, doc_id or 0, whether it has one, bytes) and the texts of a block."""
+    raw = zstandard.decompress(body)
+    n = int.from_bytes(raw[:8], "little")
+    head = np.frombuffer(raw, dtype="<i8", count=4 * n, offset=8).reshape(n, 4)
+    at = 8 + 32 * n + np.r_[0, np.cumsum(head[:, 3])]
+    return head, [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[bytes]]]:
+    """Of rows (block, kind, body) sorted by block: the bodies of each block, by kind."""
+    block, parts = None, [[], [], []]
     for b in batches:
-        if not b.num_rows:
-            continue
-        h, rid, place = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-        if left is not None:
-            h, rid, place = (np.concatenate(x) for x in zip(left, (h, rid, place), strict=True))
-            left = None
-        edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        size = np.diff(np.r_[edge, len(h)])
-        many = rid[edge] != rid[edge + size - 1]
-        if known is not None and h[0] == known:
-            many[0] = True
-        keep = np.repeat(many, size)
-        if not many[-1]:
-            left = tuple(x[edge[-1] :] for x in (h, rid, place))
-            known = None
-        else:
-            known = h[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (rid, h, place)], ["rid", "h", "place"])
+        for k, kind, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if k != block and block is not None:
+                yield parts
+                parts = [[], [], []]
+            block = k
+            parts[kind].append(body)
+    if block is not None:
+        yield parts
+
+
+def _gone(parts: list[bytes]) -> np.ndarray:
+    """Spans (rid, place, size) of a block."""
+    return np.concatenate([np.frombuffer(p, dtype="<i8").reshape(-1, 3) for p in parts]) if parts else np.zeros((0, 3), dtype=np.int64)
 
 
 _SEGMENT = [("h", pa.int64()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("segment", pa.binary())]
 
 
-def _cut(length: int):
-    """Of rows (rid, place, h, doc_id, body) sorted by rid, place, a text before its runs: segments, one for each
-    text and name but for copies that are known to go; those have no bytes and only n windows."""
+def _cut(length: int, gram: int):
+    """Of blocks with their texts, shared names and copies: segments, one for each run of a shared name but for copies that
+    are known to go; those have no bytes and only n windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        text, doc, seen = b"", None, {}
-        for b in batches:
-            out: list[list] = [[] for _ in _SEGMENT]
-            body = b.column(4)
-            for i, (rid, place, h, who) in enumerate(zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)):
-                if place < 0:
-                    text, doc = unpack.decompress(body[i].as_py()), who
-                    continue
-                at, n = place >> 24, place & 0xFFFFFF
-                segment = text[at : at + n + length - 1]
-                key = (h, hashlib.blake2b(segment, digest_size=12).digest())
-                least = seen.get(key)
-                copy = least is not None and doc > least
-                if least is None or doc < least:
+        seen: dict[bytes, int] = {}
+        for texts, shared, gone in _by_block(batches):
+            if not shared:
+                continue
+            head, text = _unpack_texts(texts[0])
+            whole = {int(r) for r, _, _ in _gone(gone)}
+            names = np.unique(np.concatenate([_unpack_names(x) for x in shared]))
+            name, row, at, n = runs([t if own and rid not in whole else None for (rid, _, own, _), t in zip(head.tolist(), text, strict=True)], length, gram)
+            if not len(name):
+                continue
+            keep = names[np.minimum(np.searchsorted(names, name), len(names) - 1)] == name
+            name, row, at, n = name[keep], row[keep], at[keep], n[keep]
+            rid, doc = head[row, 0], head[row, 1]
+            segments: list[bytes | None] = []
+            get = seen.get
+            for r, d, a, e in zip(row.tolist(), doc.tolist(), at.tolist(), (at + n + length - 1).tolist(), strict=True):
+                s = text[r][a:e]
+                least = get(s)
+                if least is None or d < least:
                     if len(seen) >= REMEMBERED:
                         seen.clear()
-                    seen[key] = doc
-                # copies known to go stand under a name of their own, so that they are spread
-                for x, v in zip(out, ((rid * 31 + at) & 0xFFFFFFFFFFFF if copy else h, rid, doc, at, n, None if copy else segment), strict=True):
-                    x.append(v)
-            yield _batch(_SEGMENT, out)
+                    seen[s] = d
+                segments.append(s if least is None or d <= least else None)
+            copy = np.array([s is None for s in segments], dtype=bool)
+            # copies known to go stand under a name of their own, so that they are spread
+            h = np.where(copy, (rid * 31 + at) & ((1 << NAME_BITS) - 1), name)
+            order = np.argsort(h, kind="stable")  # equal segments of a task stand together, which compresses better
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[order]) for x in (h, rid, doc, at, n)), pa.array([segments[i] for i in order.tolist()], pa.binary())], [c for c, _ in _SEGMENT])
 
     return run
 
 
 def _shards(length: int, shard_bytes: int):
-    """Of segments sorted by h: (rid, place, size) of removed spans."""
-    schema = [("rid", pa.int64()), ("place", pa.int64()), ("size", pa.int64())]
-
-    def solve(groups) -> pa.RecordBatch:
+    """Of segments sorted by h: (block, kind, body), removed spans as packed numbers (rid, place, size)."""
+
+    def spans_of(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        if not rows:
+            return _batch(_PART, ([], [], []))
+        a = np.array(rows, dtype="<i8")
+        a = a[np.argsort(a[:, 0], kind="stable")]
+        block = a[:, 0] >> BLOCK_ROWS
+        cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
+        out = [(int(block[x]), _GONE, a[x:y].tobytes()) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        return _batch(_PART, list(zip(*out, strict=True)))
+
+    def solve(groups: list[tuple[dict[bytes, int], list]]) -> list[tuple[int, int, int]]:
         segments = [s for g in groups for s in g[0]]
-        owners = [w for g in groups for w in g[0].values()]
-        least = least_owners(segments, owners, length) if segments else []
-        out: list[list] = [[], [], []]
+        least = least_owners(segments, [w for g in groups for w in g[0].values()], length) if segments else []
+        out: list[tuple[int, int, int]] = []
         base = 0
         for variants, places in groups:
             number = {s: base + k for k, s in enumerate(variants)}
@@ -251,81 +357,91 @@ def _shards(length: int, shard_bytes: int):
             for rid, doc, at, s in places:
                 gone = least[number[s]] < doc
                 if gone.any():
-                    for a, n in _spans(gone, at, length):
-                        for x, v in zip(out, (rid, a, n), strict=True):
-                            x.append(v)
-        return _batch(schema, out)
+                    out += [(rid, a, n) for a, n in _spans(gone, at, length)]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, size, last = [], 0, None
+        variants: dict[bytes, int] = {}
+        places: list[tuple[int, int, int, bytes]] = []
+        done: list[tuple[int, int, int]] = []
+
+        def close() -> None:
+            nonlocal size
+            if len(variants) > 1:
+                groups.append((variants, places))
+                size += sum(map(len, variants))
+            elif variants:  # one segment everywhere
+                low = next(iter(variants.values()))
+                done.extend((rid, at, len(s)) for rid, doc, at, s in places if doc > low)
+
         for b in batches:
-            direct: list[list] = [[], [], []]
             for h, rid, doc, at, n, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if s is None:
-                    for x, v in zip(direct, (rid, at, n + length - 1), strict=True):
-                        x.append(v)
+                    done.append((rid, at, n + length - 1))
                     continue
                 if h != last:
+                    close()
+                    variants, places, last = {}, [], h
                     if size > shard_bytes:
-                        yield solve(groups)
+                        done += solve(groups)
                         groups, size = [], 0
-                    groups.append(({}, []))
-                    last = h
-                variants, places = groups[-1]
-                least = variants.get(s)
-                if least is None:
-                    size += len(s)
-                variants[s] = doc if least is None else min(least, doc)
+                low = variants.get(s)
+                variants[s] = doc if low is None or doc < low else low
                 places.append((rid, doc, at, s))
-            if direct[0]:
-                yield _batch(schema, direct)
-        if groups:
-            yield solve(groups)
+            if len(done) > 200_000:
+                yield spans_of(done)
+                done.clear()
+        close()
+        yield spans_of(done + solve(groups))
 
     return run
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=3)
-    for b in slices(batches):
-        yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([pack.compress(t or b"") for t in byte_rows(b.column(2))], pa.binary())], ["rid", "doc_id", "body"])
-
-
 def _finish(keep_text: bool):
+    """Of blocks with their texts and removed spans: a row for each row."""
     schema = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        now = None  # doc_id, text, merged spans
-
-        def done() -> list:
-            doc, text, spans = now
-            kept, last = [], 0
-            for a, e in spans:
-                kept.append(text[last:a])
-                last = e
-            rest = b"".join([*kept, text[last:]]) if spans else text
-            return [doc, len(text), len(text) - len(rest), len(spans), hashlib.sha256(rest).hexdigest()] + [rest] * keep_text
-
-        for b in batches:
-            rows, body = [], b.column(4)
-            for i, (_, place, size, doc) in enumerate(zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)):
-                if place < 0:
-                    if now is not None:
-                        rows.append(done())
-                    now = doc, unpack.decompress(body[i].as_py()), []
-                elif now[2] and place <= now[2][-1][1]:
-                    now[2][-1][1] = max(now[2][-1][1], place + size)
+        for texts, _, gone in _by_block(batches):
+            head, text = _unpack_texts(texts[0])
+            spans = _gone(gone)
+            spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
+            own: dict[int, list[list[int]]] = {}
+            for rid, at, n in spans.tolist():
+                mine = own.setdefault(rid, [])
+                if mine and at <= mine[-1][1]:
+                    mine[-1][1] = max(mine[-1][1], at + n)
                 else:
-                    now[2].append([place, place + size])
-            if rows:
-                yield _batch(schema, list(zip(*rows, strict=True)))
-        if now is not None:
-            yield _batch(schema, list(zip(done(), strict=True)))
+                    mine.append([at, at + n])
+            rows = []
+            for (rid, doc, has, _), t in zip(head.tolist(), text, strict=True):
+                kept, last = [], 0
+                mine = own.get(rid, ())
+                for a, e in mine:
+                    kept.append(t[last:a])
+                    last = e
+                rest = b"".join([*kept, t[last:]]) if mine else t
+                rows.append([doc if has else None, len(t), len(t) - len(rest), len(mine), hashlib.sha256(rest).hexdigest()] + [rest] * keep_text)
+            yield _batch(schema, list(zip(*rows, strict=True)))
 
     return run
 
 
+def _copies(rows: DataFrame, length: int) -> DataFrame:
+    """(block, kind, body): whole texts that a document of smaller doc_id has too, as spans."""
+    hashed = rows.where(F.octet_length("text") >= length).select("rid", "doc_id", F.octet_length("text").cast("long").alias("size"), F.substring(F.sha2("text", 256), 1, 40).alias("body"))
+    least = hashed.groupBy("body").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("body", "low")
+    found = hashed.join(least, "body").where("doc_id > low").select("rid", F.lit(0).cast("long").alias("place"), "size")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1).astype("<i8")
+            yield _batch(_PART, ((a[:, 0] >> BLOCK_ROWS).tolist(), [_GONE] * len(a), [x.tobytes() for x in a]))
+
+    return found.mapInArrow(run, "block long, kind long, body binary")
+
+
 def remove_repeats(docs: DataFrame, keep_text: bool = True, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if ``keep_text``, the bytes kept, for each row of ``docs``.
 
@@ -334,17 +450,18 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True, length: int = LENGTH
     kept needn't be valid UTF-8. An empty table gives an empty result.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = rows.where("doc_id is not null")
-    found = named.where(F.octet_length("text") >= length).select("rid", "text").mapInArrow(_find_runs(length, gram), "h long, rid long, place long")
-    shared = found.repartition("h").sortWithinPartitions("h", "rid").mapInArrow(_shared, "rid long, h long, place long")
-    texts = rows.mapInArrow(_pack, "rid long, doc_id long, body binary").select("rid", F.lit(-1).cast("long").alias("place"), F.lit(0).cast("long").alias("h"), "doc_id", "body")
-    nothing = (F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("body"))
-    both = texts.unionByName(shared.select("rid", "place", "h", *nothing))
-    segments = both.repartition("rid").sortWithinPartitions("rid", "place").mapInArrow(_cut(length), "h long, rid long, doc_id long, at long, n long, segment binary")
-    spans = segments.repartition("h").sortWithinPartitions("h").mapInArrow(_shards(length, shard_bytes), "rid long, place long, size long")
-    last = texts.withColumnRenamed("h", "size").unionByName(spans.select("rid", "place", "size", *nothing))
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    bits = min(MOST_BUCKETS, max(16, size // (2 * NAMES_BYTES))).bit_length()
+    part = "block long, kind long, body binary"
+    names = rows.mapInArrow(_names(length, gram, bits), "bucket long, block long, one binary, many binary")
+    shared = names.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, part)
+    copies = settle(_copies(rows.where("doc_id is not null"), length))
+    texts = rows.mapInArrow(_pack_texts, part)
+    ready = texts.unionByName(shared).unionByName(copies).repartition("block").sortWithinPartitions("block")
+    segments = ready.mapInArrow(_cut(length, gram), "h long, rid long, doc_id long, at long, n long, segment binary")
+    spans = segments.repartition("h").sortWithinPartitions("h").mapInArrow(_shards(length, shard_bytes), part)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return last.repartition("rid").sortWithinPartitions("rid", "place").mapInArrow(_finish(keep_text), schema)
+    return texts.unionByName(spans).unionByName(copies).repartition("block").sortWithinPartitions("block").mapInArrow(_finish(keep_text), schema)
 
 
 def query(docs: DataFrame) -> DataFrame:
