@@ -36,6 +36,14 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many marks before it as make it no column of ``df``."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
+
+
 def byte_rows(column: pa.Array) -> list[bytes | None]:
     """A text column as UTF-8 bytes; null stays None."""
     return column.cast(pa.large_binary()).to_pylist()

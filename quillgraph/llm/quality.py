@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import fresh, settle
 
 WHITE = r"[\x20\x09-\x0D]+"
 MIN_WORDS = 50
@@ -37,8 +37,8 @@ def lines(text: Column) -> Column:
 
 
 def normal(line: Column) -> Column:
-    """A line as it is compared across documents: lower case, digits as one 0, white space as one space."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[0-9]+", "0"), WHITE, " "))
+    """A line as it is compared across documents: lower case, white space as one space."""
+    return F.trim(F.regexp_replace(F.lower(line), WHITE, " "))
 
 
 def once(value: Column, body) -> Column:
@@ -129,18 +129,19 @@ def apply_rules(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float =
 
     All columns are returned, whatever their names; n_chars, where there is such a column, follows the text.
     """
-    rows = docs.withColumn("__rid", F.monotonically_increasing_id())
+    rid, bad, chars = (fresh(docs, c) for c in ("__rid", "__bad", "__chars"))
+    rows = docs.withColumn(rid, F.monotonically_increasing_id())
     host = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host")
     frequent = frequent_lines(docs, line_docs, line_share)
-    parts = rows.select("__rid", host, F.explode(F.array_distinct(F.transform(lines(F.col("text").cast("string")), lambda x: F.xxhash64(normal(x))))).alias("line"))
-    bad = parts.join(frequent, ["host", "line"], "left_semi").groupBy("__rid").agg(F.collect_set("line").alias("__bad"))
+    parts = rows.select(F.col(rid).alias("rid"), host, F.explode(F.array_distinct(F.transform(lines(F.col("text").cast("string")), lambda x: F.xxhash64(normal(x))))).alias("line"))
+    found = parts.join(frequent, ["host", "line"], "left_semi").groupBy(F.col("rid").alias(rid)).agg(F.collect_set("line").alias(bad))
     # written, since the optimizer would else count a text's words again for each condition on them
-    base = settle(base_counts(rows.select("__rid", "text"), "__rid").select("__rid", F.col("word_chars").alias("__chars"), "base_failed"))
-    ok = base.where("not base_failed").drop("base_failed")
+    base = settle(base_counts(rows.select(F.col(rid).alias("rid"), "text"), "rid").select("rid", "word_chars", "base_failed"))
+    ok = base.where("not base_failed").select(F.col("rid").alias(rid), F.col("word_chars").alias(chars))
     text = F.col("text").cast("string")
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("__bad"), F.xxhash64(normal(x)))), "\n")
-    out = rows.join(ok, "__rid").join(bad, "__rid", "left").withColumn("text", F.when(F.col("__bad").isNull(), text).otherwise(left))
-    out = out.where(F.col("__bad").isNull() | (F.length(F.array_join(words(F.col("text")), "")) >= (1 - depleted) * F.col("__chars")))
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col(bad), F.xxhash64(normal(x)))), "\n")
+    out = rows.join(ok, rid).join(found, rid, "left").withColumn("text", F.when(F.col(bad).isNull(), text).otherwise(left))
+    out = out.where(F.col(bad).isNull() | (F.length(F.array_join(words(F.col("text")), "")) >= (1 - depleted) * F.col(chars)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)
