@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import once
+
 #: Characters that part words; hyphens, ampersands, semicolons and slashes are kept in words.
 DELIMITERS = r"""[ "'():,.?]+"""
 #: Single letters that remain of possessives and the like; never keywords.
@@ -39,9 +41,8 @@ def terms(docs: DataFrame, column: str, stopwords=tuple(STOPWORDS), aliases: Dat
 
     ``aliases`` (variant, canonical) replaces finished terms; phrases are made of the words as they stand.
     """
-    words = docs.select("doc_id", tokens(F.col(column)).alias("w"))
-    every = F.flatten(F.array(*(phrases(F.col("w"), n, stopwords) for n in range(1, longest + 1))))
-    out = words.select("doc_id", F.explode(every).alias("term")).where(~F.col("term").isin(*NOISE))
+    every = once(tokens(F.col(column)), lambda w: F.flatten(F.array(*(phrases(w, n, stopwords) for n in range(1, longest + 1)))))
+    out = docs.select("doc_id", F.explode(every).alias("term")).where(~F.col("term").isin(*NOISE))
     return replace_aliases(out, "term", aliases)
 
 
