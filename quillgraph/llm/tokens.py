@@ -2,8 +2,8 @@
 
 Three steps. (1) Pre-token frequencies of all texts, summed per batch and then by Spark, give the vocabulary of
 the corpus; the tokenizer counts the pieces of each of its entries once, and the result is a written table.
-(2) Of that table the DICTIONARY most frequent entries, a number that doesn't grow with the data, go to every
-worker. (3) Each text's frequencies are looked up there; those of rarer pre-tokens are joined to the table by a
+(2) Of that table the most frequent entries, at most DICTIONARY and so a number that doesn't grow with the data, go to
+every worker. (3) Each text's frequencies are looked up there; those of rarer pre-tokens are joined to the table by a
 shuffle, which so has no frequent keys. Sums per row follow. No ids are kept.
 """
 
@@ -102,6 +102,19 @@ def vocabulary(docs: DataFrame, path: str | None = None) -> DataFrame:
     return totals.mapInArrow(encode, "token string, freq long, pieces long")
 
 
+def most_frequent(vocab: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` short entries: all above a frequency, which a histogram of frequencies gives without a sort."""
+    short = vocab.where(F.octet_length("token") <= ENTRY_BYTES)
+    size = F.floor(F.log2("freq") * 16)
+    least, n = None, 0
+    for k, m in sorted(map(tuple, short.groupBy(size.alias("k")).agg(F.count("*").alias("m")).collect()), reverse=True):  # under 1024 rows
+        n += m
+        if n > most:
+            break
+        least = k
+    return short.where(size >= least) if least is not None else short.limit(0)
+
+
 def count_tokens(docs: DataFrame, path: str | None = None, over: int = OVER, dictionary: int = DICTIONARY) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of ``docs``.
 
@@ -109,8 +122,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, over: int = OVER, dic
     by itself. An empty table gives an empty result.
     """
     vocab = settle(vocabulary(docs, path))
-    top = vocab.where(F.octet_length("token") <= ENTRY_BYTES).orderBy(F.desc("freq"), "token").limit(dictionary)
-    known = docs.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in top.select("token", "pieces").toLocalIterator()})
+    known = docs.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in most_frequent(vocab, dictionary).select("token", "pieces").collect()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, pieces = PreTokenizer(path or default_path()), known.value
