@@ -59,10 +59,12 @@ def parse_tagged(refs: DataFrame) -> DataFrame:
         return F.struct(
             F.when(F.startswith(raw, F.lit("[")), "[").otherwise(F.nullif(x["a"], F.lit(""))).alias("aname"), _number(x["y"]).alias("year"), F.nullif(x["j"], F.lit("")).alias("jname"),
             _number(F.when(has_volume, F.substr(x["v"], F.lit(2)))).alias("volume"), _number(page).alias("page"), doi.alias("doi"), x["patent"].alias("patent"),
+            has_volume.alias("has_volume"), page.isNotNull().alias("has_page"),
         )
 
     def typed(x: Column) -> Column:
-        has = {c: x[c].isNotNull() for c in NAMES}
+        # a volume or page that is no number is a field all the same
+        has = {c: x[c].isNotNull() for c in NAMES} | {"volume": x["has_volume"], "page": x["has_page"]}
         nf = sum((c.cast("int") for c in has.values()), F.lit(0))
         report = F.startswith(raw, F.lit("*"))
         kind = (

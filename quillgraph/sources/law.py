@@ -101,7 +101,7 @@ def parse_case(text: str) -> tuple[dict, list[tuple[str, int, str]]]:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path)
+    return spark.read.text(path, wholetext=True)
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:

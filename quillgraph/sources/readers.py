@@ -12,7 +12,7 @@ BIBLIOGRAPHIC = ("Authors", "Title", "Year", "Source title", "Volume", "Page sta
 
 
 def _clean(name: str) -> str:
-    return name.replace("﻿", "").strip().strip('"')
+    return name.replace("\ufeff", "").strip().strip('"')
 
 
 def _int(c: Column) -> Column:
@@ -20,6 +20,16 @@ def _int(c: Column) -> Column:
     return F.nullif(F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), r"^\s*(\d{1,9})", 1), F.lit("")).cast("int"), F.lit(0))
 
 
+def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """(pos, value): lines in order, without carriage returns and byte-order marks. Spark's text reader takes UTF-8 only; files
+    in other encodings are decoded whole, which suits lists and settings."""
+    if encoding.upper() in ("UTF-8", "UTF8", "ASCII", "US-ASCII"):
+        rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), "value")
+    else:
+        rows = spark.read.format("binaryFile").load(path).select(F.posexplode(F.split(F.decode("content", encoding), "\n")).alias("pos", "value"))
+    return rows.select("pos", F.translate("value", "\ufeff\r", "").alias("value"))
+
+
 def _list(c: Column, mark: str = ";") -> Column:
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), mark), lambda x: F.lower(F.trim(x))), lambda x: x != "")
 
@@ -27,7 +37,7 @@ def _list(c: Column, mark: str = ";") -> Column:
 def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", required: tuple[str, ...] = ()) -> DataFrame:
     """Records with a header; cells of the header are matched without quotes and byte-order marks. Doubled quotes in a
     quoted cell stand for one. Lines without text are skipped. Raises where a required column is missing."""
-    raw = spark.read.csv(path, header=True, sep=sep, quote='"' if sep == "," else "", escape='"' if sep == "," else "", encoding=encoding, enforceSchema=False)
+    raw = spark.read.csv(path, header=True, sep=sep, quote='"' if sep == "," else "", escape='"' if sep == "," else "", encoding=encoding, enforceSchema=False, multiLine=encoding.upper().startswith("UTF-16"))
     rows = raw.toDF(*map(_clean, raw.columns))
     if missing := [c for c in required if c not in rows.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
@@ -67,14 +77,13 @@ def doc_authors(docs: DataFrame) -> DataFrame:
 
 def read_terms(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """(pos, term): a list with a term on each line, lower-cased, blank lines skipped; pos keeps the order."""
-    rows = spark.read.option("encoding", encoding).text(path).select(F.monotonically_increasing_id().alias("pos"), F.lower(F.trim(F.translate("value", "﻿\r", ""))).alias("term"))
-    return rows.where("term <> ''")
+    return read_lines(spark, path, encoding).select("pos", F.lower(F.trim("value")).alias("term")).where("term <> ''")
 
 
 def read_aliases(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """(variant, canonical) of tab-separated lines, lower-cased."""
-    parts = F.split(F.translate("value", "﻿\r", ""), "\t")
-    rows = spark.read.option("encoding", encoding).text(path).select(F.lower(F.trim(F.get(parts, F.lit(0)))).alias("variant"), F.lower(F.trim(F.get(parts, F.lit(1)))).alias("canonical"))
+    parts = F.split("value", "\t")
+    rows = read_lines(spark, path, encoding).select(F.lower(F.trim(F.get(parts, F.lit(0)))).alias("variant"), F.lower(F.trim(F.get(parts, F.lit(1)))).alias("canonical"))
     return rows.where("variant <> '' and canonical <> ''").dropDuplicates(["variant"])
 
 
@@ -87,8 +96,8 @@ def read_concordance(spark: SparkSession, path: str) -> DataFrame:
 
 def read_clans(spark: SparkSession, path: str) -> DataFrame:
     """(kind, weight, pattern): a header line, then tab-separated lines; patterns that begin with @ name another list."""
-    f = F.split(F.translate("value", "\r", ""), "\t")
-    rows = spark.read.text(path).where(~F.col("value").startswith("*") & (F.trim("value") != ""))
+    f = F.split("value", "\t")
+    rows = read_lines(spark, path).where(~F.col("value").startswith("*") & (F.trim("value") != ""))
     return rows.select(F.lower(F.trim(F.get(f, F.lit(0)))).alias("kind"), F.get(f, F.lit(1)).cast("double").alias("weight"), F.lower(F.trim(F.get(f, F.lit(2)))).alias("pattern"))
 
 
@@ -102,8 +111,8 @@ def read_edges(spark: SparkSession, path: str, delimiter: str = "tab_space", enc
     """(src, dst, weight) of lines ``cited citing [weight]``; the weight is 1 where there is none."""
     pattern = DELIMITERS[delimiter]
     pattern = pattern if pattern.startswith("[") else rf"\Q{pattern}\E"
-    f = F.filter(F.split(F.trim(F.translate("value", "﻿\r", "")), f"(?:{pattern})+"), lambda x: x != "")
-    rows = spark.read.option("encoding", encoding).text(path).select(f.alias("f")).where(F.size("f") >= 2)
+    f = F.filter(F.split(F.trim("value"), f"(?:{pattern})+"), lambda x: x != "")
+    rows = read_lines(spark, path, encoding).select(f.alias("f")).where(F.size("f") >= 2)
     return rows.select(F.get("f", F.lit(0)).alias("src"), F.get("f", F.lit(1)).alias("dst"), F.coalesce(F.expr("try_cast(get(f, 2) as double)"), F.lit(1.0)).alias("weight"))
 
 
@@ -112,7 +121,7 @@ def read_pajek(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
 
     A file is one row until it is cut into sections, since a line's meaning depends on those before it.
     """
-    text = spark.read.option("wholetext", True).text(path).select(F.translate("value", "\r", "").alias("value"))
+    text = spark.read.text(path, wholetext=True).select(F.translate("value", "\r", "").alias("value"))
     lines = text.select(F.explode(F.filter(F.split("value", r"(?m)^(?=\*)"), lambda s: F.trim(s) != "")).alias("section")).select(F.lower(F.regexp_extract("section", r"^\*(\w)", 1)).alias("kind"), F.lower(F.regexp_extract("section", r"^\*(\w+)", 1)).alias("name"), F.posexplode(F.slice(F.split("section", "\n"), 2, 2_000_000_000)).alias("line", "value"))
     lines = lines.where(F.trim("value") != "")
     nodes = lines.where("kind = 'v'").select(F.regexp_extract("value", r"^\s*(\d+)", 1).cast("int").alias("id"), F.regexp_extract("value", r'"([^"]*)"', 1).alias("label")).where("label <> ''")
