@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distances, names, patents, text
 from ..operators import clustering, graph, networks, paths, references, relevancy, stats, structure, weights
-from ..sources import sinks
+from ..sources import law, readers, sinks
 from .domain import Domain
 from .kernel import cut
 
@@ -730,6 +730,105 @@ def _(d):
     return references.resolve_prose(references.parse_prose(references.split_references(refs)), docs).select("src", "dst").distinct()
 
 
+# ---------------------------------------------------------------- readers and writers: through files in the shared folder
+
+
+def _folder(d: Domain) -> str:
+    """A new folder in the shared one."""
+    import uuid
+
+    cut(d.spark.range(1))
+    return f"{d.spark.sparkContext.getCheckpointDir().rstrip('/')}/files/{uuid.uuid4().hex}"
+
+
+@query("s15_k01_edge_list", _sql("SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, CAST(1 AS DOUBLE) AS weight FROM edges", _EDGES))
+def _(d):
+    """Written as an edge file and read again."""
+    path = _folder(d)
+    sinks.write_edges(d.edges(), path)
+    return readers.read_edges(d.spark, path)
+
+
+@query("s14_k02_pajek", _sql("SELECT a.label AS src, b.label AS dst, CAST(1 AS DOUBLE) AS weight, true AS directed FROM edges JOIN (SELECT node, CAST(node AS VARCHAR) AS label FROM kinds) a ON a.node = src JOIN (SELECT node, CAST(node AS VARCHAR) AS label FROM kinds) b ON b.node = dst", _EDGES))
+def _(d):
+    """Written as a Pajek file and read again, by labels."""
+    path, e = _folder(d), d.edges()
+    nodes = graph.nodes_of(e).select("node", F.col("node").cast("string").alias("alias"))
+    sinks.write_pajek(path, nodes, e)
+    n, arcs, _ = readers.read_pajek(d.spark, f"{path}/part*")
+    n = cut(n)
+    return arcs.join(n.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(n.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight", "directed")
+
+
+_RECORDS = "rec AS (SELECT o_orderkey AS k, CAST(year(o_orderdate) AS INT) AS year, lower(o_orderpriority) AS journal, o_orderkey % 90 + 1 AS volume, o_custkey + 1 AS page, name FROM orders JOIN (SELECT doc_id, first(name ORDER BY pos, name) AS name FROM members GROUP BY 1) f ON f.doc_id = o_orderkey)"
+
+
+def _records(d: Domain) -> DataFrame:
+    first = networks.first_names(d.authors()).select("doc_id", "name")
+    o = d.table("orders").select(F.col("o_orderkey").alias("doc_id"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("journal"), (F.col("o_orderkey") % 90 + 1).alias("volume"), (F.col("o_custkey") + 1).alias("page"))
+    return o.join(first, "doc_id")
+
+
+@query("s01_bibliographic_csv", _sql("SELECT CAST(k AS VARCHAR) AS doc_id, year, journal, CAST(volume AS INT) AS volume, CAST(page AS INT) AS bpage, lower(name) || ', jm; lee, k' AS authors, 'a \"title\", with marks' AS title FROM rec", _PEOPLE, _RECORDS))
+def _(d):
+    """Written as a bibliographic CSV file and read again."""
+    path, r = _folder(d), _records(d)
+    text_ = lambda c: F.col(c).cast("string")
+    empty = F.lit(None).cast("string")
+    cols = {"Authors": F.concat("name", F.lit(", J.M., Lee, K.")), "Title": F.lit('a "title", with marks'), "Year": text_("year"), "Source title": F.col("journal"), "Volume": text_("volume"), "Page start": F.concat(F.lit("S"), text_("page")), "Page end": empty, "Cited by": empty, "DOI": empty, "Abstract": empty, "Author Keywords": empty, "Index Keywords": empty, "References": empty, "EID": text_("doc_id")}
+    r.select(*(c.alias(n) for n, c in cols.items())).write.csv(path, header=True, quote='"', escape='"')
+    got = readers.read_bibliographic_csv(d.spark, path, author_pairs=True)
+    return got.select("doc_id", "year", "journal", "volume", "bpage", F.array_join("authors", "; ").alias("authors"), "title")
+
+
+@query("s03_tagged_tsv", _sql("SELECT CAST(k AS VARCHAR) AS doc_id, year, journal, CAST(volume AS INT) AS volume, CAST(page AS INT) AS bpage, lower(name) || ', jm' AS first_author FROM rec", _PEOPLE, _RECORDS))
+def _(d):
+    """Written as a tagged TSV file and read again."""
+    path, r = _folder(d), _records(d)
+    text_ = lambda c: F.col(c).cast("string")
+    r.select(F.concat(F.lit("WOS:"), text_("doc_id")).alias("UT"), F.concat("name", F.lit(", J.M.")).alias("AU"), text_("year").alias("PY"), F.col("journal").alias("SO"), F.lit("3").alias("TC"), text_("volume").alias("VL"), text_("page").alias("BP")).write.csv(path, header=True, sep="\t", quote="")
+    return readers.read_tagged_tsv(d.spark, path).select("doc_id", "year", "journal", "volume", "bpage", "first_author")
+
+
+@query("s05_case_law", _sql("SELECT src || '_U.S._1' AS cited, dst || '_F.2d_2' AS citing, CAST(CASE WHEN dst % 2 = 0 THEN 4 ELSE -2 END AS INT) AS weight FROM edges", _EDGES))
+def _(d):
+    """A text for each cited order, with the citing ones as examined (even) or distinguished cases, parsed again."""
+    path, e = _folder(d), d.edges()
+    pad = " " * 24
+    said = lambda stars: F.format_string(f"YEL 1 Doe v. Moe, %d F.2d 2, {stars}(1999)\n\n", "dst")
+    neg, pos = (F.array_join(F.array_sort(F.collect_list(F.when(cond, said(stars)))), "") for cond, stars in ((F.col("dst") % 2 == 1, "** "), (F.col("dst") % 2 == 0, "")))
+    body = F.concat(F.format_string(f"  (Cite as: %d U.S. 1)\nRED FLAG\n{pad}Decided May 1, 1995.\n{pad}KEYCITE\na\nb\nCiting References\n{pad}Negative Cases\nDistinguished by\n\n", "src"), F.col("neg"), F.lit(f"\n{pad}Positive Cases\n**** Examined\n\n"), F.col("pos"))
+    files = e.groupBy("src").agg(neg.alias("neg"), pos.alias("pos")).select(F.col("src").cast("string").alias("file"), body.alias("value"))
+    files.repartition("file").write.partitionBy("file").option("lineSep", "\n").text(path)
+    return law.read_case_citations(d.spark, f"{path}/*/*").select("cited", "citing", "weight")
+
+
+@query("s10_lists", "SELECT DISTINCT lower(p_name) AS term, lower(p_brand) AS canonical FROM part QUALIFY row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_brand) = 1")
+def _(d):
+    """Aliases, written as tab-separated lines and read again, for the terms of a list read from lines."""
+    a, b, p = _folder(d), _folder(d), d.table("part")
+    p.select(F.upper("p_name").alias("value")).distinct().write.text(a)
+    p.groupBy("p_name").agg(F.min("p_brand").alias("b")).select(F.concat("p_name", F.lit("\t"), "b").alias("value")).write.text(b)
+    return readers.read_terms(d.spark, a).join(readers.read_aliases(d.spark, b).withColumnRenamed("variant", "term"), "term").select("term", "canonical")
+
+
+@query("s12_concordance", "SELECT DISTINCT p_brand AS ipc, p_type AS isic, CAST(p_size AS DOUBLE) AS percent FROM part")
+def _(d):
+    """A concordance, written as a tab-separated table and read again."""
+    path = _folder(d)
+    d.table("part").select(F.col("p_type").alias("ISIC"), F.col("p_brand").alias("IPC"), F.col("p_size").cast("string").alias("%")).distinct().write.csv(path, header=True, sep="\t", quote="")
+    return readers.read_concordance(d.spark, path).select("ipc", "isic", "percent")
+
+
+@query("s13_clans", _sql("SELECT doc_id, CAST(200 AS DOUBLE) AS weight FROM members WHERE starts_with(lower(name), 'supplier#000000001') GROUP BY 1", _PEOPLE))
+def _(d):
+    """Documents by the weights of a clan list that is read from lines."""
+    path = _folder(d)
+    d.spark.createDataFrame([("*** CLAN ***",), ("Author\t200\tSupplier#000000001",)], "value string").coalesce(1).write.text(path)
+    members = d.authors().select("doc_id", F.lit("Author").alias("kind"), F.col("name").alias("value"))
+    return readers.clan_weights(members, readers.read_clans(d.spark, path))
+
+
 def queries() -> dict[str, Query]:
     """All queries, by name."""
     return dict(sorted(_QUERIES.items()))
