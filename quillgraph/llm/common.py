@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,8 +12,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+_MOVES = re.compile(r"\b(Join|Aggregate|Repartition\w*|RebalancePartitions|Sort|Window|Distinct|Deduplicate\w*|GlobalLimit|LocalLimit|Sample|FlatMapGroups\w*|FlatMapCoGroups\w*)\b")
+
+
+def on_path(spark: SparkSession) -> None:
+    """Let Python workers find this repository from whatever folder the driver was started."""
+    known = spark.sparkContext.environment
+    if ROOT not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known.get("PYTHONPATH")]))
+
+
+def steady(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with rows that stand in the same place each time it is computed, which row numbers need that are used twice.
+
+    What only reads and maps a table is so; anything that moves rows is written first, cut to ``columns`` if given.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().treeString()
+    if not any(_MOVES.search(re.sub(r"[#\[(].*", "", line)) for line in plan.splitlines()):
+        return df
+    return settle(df.select(*columns) if columns else df)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The whole table ``name`` below ``sf_dir``, read by Spark."""
+    on_path(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +55,7 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage: ``df`` written as Parquet below the shared folder and read again."""
     spark = df.sparkSession
+    on_path(spark)
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

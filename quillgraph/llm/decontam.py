@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, slices
+from .common import byte_rows, slices, steady
 
 WIDTH = 10
 #: Largest text, in bytes, of a block of the benchmark, and of an item (which can't be cut).
@@ -132,7 +132,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes:
 
         return run, "rid long, doc_id long, n_words long, spans array<long>, items array<string>"
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = steady(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = _scan(rows, benchmark, width, block_bytes, run_of)
     if len(found) == 1:
         return found[0]

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, settle
+from .common import fresh, settle, steady
 
 WHITE = r"[\x20\x09-\x0D]+"
 MIN_WORDS = 50
@@ -103,6 +103,7 @@ def judge(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_
     A null text has no words and so fails. A null source is a host of its own. Rows that repeat a doc_id, or have
     none, are judged each. An empty table gives an empty result.
     """
+    docs = steady(docs, "doc_id", "text", "source")
     rows = docs.withColumn("__rid", F.monotonically_increasing_id())
     host = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host")
     base = base_counts(rows.select("__rid", F.col("doc_id").cast("long").alias("doc_id"), "text"), "__rid", "doc_id")
@@ -129,6 +130,7 @@ def apply_rules(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float =
 
     All columns are returned, whatever their names; n_chars, where there is such a column, follows the text.
     """
+    docs = steady(docs)
     rid, bad, chars = (fresh(docs, c) for c in ("__rid", "__bad", "__chars"))
     rows = docs.withColumn(rid, F.monotonically_increasing_id())
     host = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host")

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, settle, slices
+from .common import byte_rows, settle, slices, steady
 
 LENGTH = 50
 GRAM = 24
@@ -38,6 +38,8 @@ SHARD_BYTES = 2 << 20
 BLOCK_ROWS = 9
 NAMES_BYTES = 8 << 20
 MOST_BUCKETS = 1 << 20
+#: Segments in one Arrow batch.
+MOST_ROWS = 200_000
 #: Segments that a task remembers to fold copies of; more only means that more are sent.
 REMEMBERED = 300_000
 
@@ -328,7 +330,9 @@ def _cut(length: int, gram: int):
             # copies known to go stand under a name of their own, so that they are spread
             h = np.where(copy, (rid * 31 + at) & ((1 << NAME_BITS) - 1), name)
             order = np.argsort(h, kind="stable")  # equal segments of a task stand together, which compresses better
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[order]) for x in (h, rid, doc, at, n)), pa.array([segments[i] for i in order.tolist()], pa.binary())], [c for c, _ in _SEGMENT])
+            for k in range(0, len(order), MOST_ROWS):
+                some = order[k : k + MOST_ROWS]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[some]) for x in (h, rid, doc, at, n)), pa.array([segments[i] for i in some.tolist()], pa.binary())], [c for c, _ in _SEGMENT])
 
     return run
 
@@ -449,6 +453,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True, length: int = LENGTH
     other. Rows with a null doc_id are neither smaller nor larger than others and stay whole. Bytes that are
     kept needn't be valid UTF-8. An empty table gives an empty result.
     """
+    docs = steady(docs, "doc_id", "text")
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     bits = min(MOST_BUCKETS, max(16, size // (2 * NAMES_BYTES))).bit_length()
