@@ -115,13 +115,12 @@ def main_path(weighted: DataFrame, kind: str = "global", k: int = 10, tolerance:
 
 
 def distances(edges: DataFrame, starts: DataFrame, cost: str = "weight", largest: bool = False) -> DataFrame:
-    """(start, node, cost, hops): the least (or largest) sum of ``cost`` from each of ``starts`` (node) to each node
-    that it reaches, and the fewest arcs with that sum. Arcs of cost zero are no links. Acyclic graphs only."""
+    """(start, node, cost): the least (or largest) sum of ``cost`` from each of ``starts`` (node) to each node that it
+    reaches. Arcs of cost zero are no links. Acyclic graphs only."""
     best = F.max if largest else F.min
     arcs = cut(edges.where(F.col(cost) != 0).groupBy(F.col("src").alias("node"), F.col("dst").alias("to")).agg(best(cost).cast("double").alias("c")))
     start = starts.select(F.col("node").alias("start"), "node", F.lit(0.0).alias("cost")).distinct()
     every = unfold(start, lambda now, k: arcs.join(now, "node").groupBy("start", F.col("to").alias("node")).agg(best(F.col("cost") + F.col("c")).alias("cost")).select("start", "node", "cost"))
-    # ``unfold`` keeps steps in order but unlabelled; the sum is what matters
     return every.where("start <> node").groupBy("start", "node").agg(best("cost").alias("cost"))
 
 

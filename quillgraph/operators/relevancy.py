@@ -36,6 +36,14 @@ def code_features(codes: DataFrame, to: int | str | None = None) -> DataFrame:
     return codes.select("doc_id", key.alias("key")).groupBy("doc_id", "key").agg(F.count("*").alias("cnt"))
 
 
+def pooled(features: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group, key, cnt): the keys of all documents of a group together, counts summed; ``groups`` has (group, doc_id).
+
+    Two documents, or three of a triad, whose neighbours, codes or keywords are to be compared as one vector are a group.
+    """
+    return groups.join(features, "doc_id").groupBy("group", "key").agg(F.sum("cnt").alias("cnt"))
+
+
 def keyword_features(doc_terms: DataFrame, report: DataFrame | None = None) -> DataFrame:
     """(doc_id, key, cnt) of a document's terms, of the report list where there is one."""
     rows = doc_terms.select("doc_id", F.col("term").alias("key"), F.col("n_total").alias("cnt"))

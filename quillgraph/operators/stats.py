@@ -234,6 +234,28 @@ def centralisation_against_random(links: DataFrame, groups: DataFrame, draws: in
     return facts.mapInPandas(simulate, f"group_id {kind}, n long, observed double, expected double, ratio double")
 
 
+def network_report(docs: DataFrame, edges: DataFrame, weighted: DataFrame, top: int = 5000) -> dict[str, DataFrame]:
+    """The sections of a network's report, by name, each a DataFrame that is computed when it is written.
+
+    ``docs`` has doc_id, year, times_cited; ``weighted`` the edges with spx.
+    """
+    from .graph import degrees, node_totals
+    from .structure import component_sizes, components
+
+    kinds, totals, parts = degrees(edges), node_totals(weighted), component_sizes(components(edges))
+    years = docs.select("doc_id", "year")
+    return {
+        "totals": corpus_totals(docs), "growth": growth(docs), "network": network_summary(edges, kinds), "components": component_histogram(parts), "largest_components": largest_components(parts),
+        "links": top_links(weighted, top), "articles": article_table(docs, kinds, totals), "spx_by_year": spx_by_year(weighted, years), "spx_histogram": spx_histogram(weighted), "top_nodes": top_nodes(totals), "spx_entropy": spx_entropy(totals, years),
+    }
+
+
+def write_report(sections: dict[str, DataFrame], path: str) -> None:
+    """Each section as tab-separated text with a header, in a folder of its name."""
+    for name, rows in sections.items():
+        rows.write.mode("overwrite").csv(f"{path}/{name}", header=True, sep="\t")
+
+
 def group_table(edges: DataFrame, members: DataFrame, groups: DataFrame, doc_paths: DataFrame, all_paths: float) -> DataFrame:
     """(group_id, n_members, self_cites, in_cites, out_cites, group_paths, m_index): arcs by whether documents of one
     group cite each other, are cited or cite others; m is the group's share of paths.

@@ -119,3 +119,19 @@ def test_law_weights(spark):
     df = spark.createDataFrame([(-3,), (2,)], "weight int")
     got = df.select(weights.law_weight("flat").alias("f"), weights.law_weight("linear", True).alias("l"), weights.law_weight("exponential").alias("e")).collect()
     assert [tuple(r) for r in got] == [(1.0, -3.0, 8.0), (1.0, 2.0, 4.0)]
+
+
+def test_pooling(spark):
+    f = spark.createDataFrame([("a", "k", 1), ("b", "k", 2), ("b", "l", 1)], "doc_id string, key string, cnt int")
+    g = spark.createDataFrame([("g", "a"), ("g", "b")], "group string, doc_id string")
+    assert {(r.key, r.cnt) for r in relevancy.pooled(f, g).collect()} == {("k", 3), ("l", 1)}
+
+
+def test_report(spark, tmp_path):
+    docs = spark.createDataFrame([("a", 2000, 1), ("b", 2001, 1), ("c", 2003, 0)], "doc_id string, year int, times_cited int")
+    e = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0)], "src string, dst string, weight double")
+    sections = stats.network_report(docs, e, weights.spx(e))
+    stats.write_report({k: sections[k] for k in ("totals", "spx_by_year")}, str(tmp_path))
+    back = spark.read.csv(str(tmp_path / "spx_by_year"), header=True, sep="\t").orderBy("year").collect()
+    assert [(r.year, r.n_links) for r in back] == [("2000", "1"), ("2001", "1"), ("2002", "0"), ("2003", "0")]
+    assert sections["network"].first().n_links == 2
