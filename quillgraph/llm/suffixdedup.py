@@ -101,11 +101,11 @@ def runs(texts: list[bytes | None], length: int = LENGTH, gram: int = GRAM) -> t
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Places of ``text`` (small whole numbers) by the at least ``depth`` symbols from each."""
     n = len(text)
-    pad = np.concatenate([text.astype(np.int64), np.zeros(6, dtype=np.int64)])
+    pad = np.concatenate([text.astype(np.int64), np.zeros(7, dtype=np.int64)])
     key = np.zeros(n, dtype=np.int64)
-    for j in range(6):
+    for j in range(7):  # of 9 bits each
         key = (key << 9) | pad[j : j + n]
-    width = 6
+    width = 7
     while True:
         order = np.argsort(key)
         s = key[order]
@@ -340,17 +340,17 @@ def _cut(length: int, gram: int):
 def _shards(length: int, shard_bytes: int):
     """Of segments sorted by h: (block, kind, body), removed spans as packed numbers (rid, place, size)."""
 
-    def spans_of(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        if not rows:
-            return _batch(_PART, ([], [], []))
-        a = np.array(rows, dtype="<i8")
+    def spans_of(parts: list[np.ndarray]) -> pa.RecordBatch:
+        a = np.concatenate([np.zeros((0, 3), dtype="<i8"), *parts])
         a = a[np.argsort(a[:, 0], kind="stable")]
+        if not len(a):
+            return _batch(_PART, ([], [], []))
         block = a[:, 0] >> BLOCK_ROWS
         cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
         out = [(int(block[x]), _GONE, a[x:y].tobytes()) for x, y in zip(cut[:-1], cut[1:], strict=True)]
         return _batch(_PART, list(zip(*out, strict=True)))
 
-    def solve(groups: list[tuple[dict[bytes, int], list]]) -> list[tuple[int, int, int]]:
+    def solve(groups: list[tuple[dict[bytes, int], list]]) -> np.ndarray:
         segments = [s for g in groups for s in g[0]]
         least = least_owners(segments, [w for g in groups for w in g[0].values()], length) if segments else []
         out: list[tuple[int, int, int]] = []
@@ -362,42 +362,61 @@ def _shards(length: int, shard_bytes: int):
                 gone = least[number[s]] < doc
                 if gone.any():
                     out += [(rid, a, n) for a, n in _spans(gone, at, length)]
-        return out
+        return np.array(out, dtype="<i8").reshape(-1, 3)
+
+    def split(part: pa.RecordBatch, done: list[np.ndarray], groups: list[tuple[dict[bytes, int], list]]) -> int:
+        """Whole names: spans that are known go to ``done``, names with different segments to ``groups``; their bytes."""
+        h, rid, doc, at, n = (part.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        known = part.column(5).is_null().to_numpy(zero_copy_only=False)
+        done.append(np.stack([rid[known], at[known], n[known] + length - 1], axis=1))
+        rest = np.flatnonzero(~known)
+        if not len(rest):
+            return 0
+        h, rid, doc, at, n = (x[rest] for x in (h, rid, doc, at, n))
+        segment = part.column(5).take(pa.array(rest))
+        code = segment.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        owner = np.repeat(np.arange(len(edge)), np.diff(np.r_[edge, len(h)]))
+        one = np.minimum.reduceat(code, edge) == np.maximum.reduceat(code, edge)
+        # one segment everywhere: its least doc_id keeps it
+        gone = one[owner] & (doc > np.minimum.reduceat(doc, edge)[owner])
+        done.append(np.stack([rid[gone], at[gone], n[gone] + length - 1], axis=1))
+        many = np.flatnonzero(~one[owner])
+        size, last = 0, None
+        for g, r, d, a, s in zip(owner[many].tolist(), rid[many].tolist(), doc[many].tolist(), at[many].tolist(), segment.take(pa.array(many)).to_pylist(), strict=True):
+            if g != last:
+                groups.append(({}, []))
+                last = g
+            variants, places = groups[-1]
+            low = variants.get(s)
+            if low is None:
+                size += len(s)
+            variants[s] = d if low is None or d < low else low
+            places.append((r, d, a, s))
+        return size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, size, last = [], 0, None
-        variants: dict[bytes, int] = {}
-        places: list[tuple[int, int, int, bytes]] = []
-        done: list[tuple[int, int, int]] = []
-
-        def close() -> None:
-            nonlocal size
-            if len(variants) > 1:
-                groups.append((variants, places))
-                size += sum(map(len, variants))
-            elif variants:  # one segment everywhere
-                low = next(iter(variants.values()))
-                done.extend((rid, at, len(s)) for rid, doc, at, s in places if doc > low)
-
+        groups: list[tuple[dict[bytes, int], list]] = []
+        done: list[np.ndarray] = []
+        size, left = 0, None
         for b in batches:
-            for h, rid, doc, at, n, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if s is None:
-                    done.append((rid, at, n + length - 1))
-                    continue
-                if h != last:
-                    close()
-                    variants, places, last = {}, [], h
-                    if size > shard_bytes:
-                        done += solve(groups)
-                        groups, size = [], 0
-                low = variants.get(s)
-                variants[s] = doc if low is None or doc < low else low
-                places.append((rid, doc, at, s))
-            if len(done) > 200_000:
+            if not b.num_rows:
+                continue
+            rows = b if left is None else pa.concat_batches([left, b])
+            h = rows.column(0).to_numpy(zero_copy_only=False)
+            cut = int(np.searchsorted(h, h[-1]))  # the last name may go on
+            left = rows.slice(cut)
+            if cut:
+                size += split(rows.slice(0, cut), done, groups)
+            if size > shard_bytes:
+                done.append(solve(groups))
+                groups, size = [], 0
+            if sum(map(len, done)) > 200_000:
                 yield spans_of(done)
                 done.clear()
-        close()
-        yield spans_of(done + solve(groups))
+        if left is not None:
+            split(left, done, groups)
+        yield spans_of([*done, solve(groups)])
 
     return run
 
