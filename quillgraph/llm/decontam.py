@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import byte_rows, slices, steady
+from .common import byte_rows, fresh, slices, steady
 
 WIDTH = 10
 #: Largest text, in bytes, of a block of the benchmark, and of an item (which can't be cut).
@@ -165,32 +166,45 @@ def query(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes
 def remove_passages(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least_words: int = 1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with the text of benchmark passages cut out, from a passage's first word to its last.
 
-    A document with fewer than ``least_words`` words left goes, if anything was cut from it. n_chars, where there
-    is such a column, follows the text. Documents without hits are returned as they are; a null text has no hits.
+    Spans of all blocks are united over the original text, as in ``hits``, and cut once. A document with fewer than
+    ``least_words`` words left goes, if anything was cut from it. n_chars, where there is such a column, follows the
+    text. Documents without hits are returned as they are; a null text has no hits.
     """
+    at, n = docs.columns.index("text"), len(docs.columns)
+    name = fresh(docs, "__spans")
 
-    def run_of(windows):
+    def run_of(windows, first: bool, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = windows.value
             for b in slices(batches):
-                out, keep = [], []
-                for raw in byte_rows(b.column(at)):
+                out, keep, found = [], [], []
+                before = [None] * b.num_rows if first else b.column(n).to_pylist()
+                for raw, old in zip(byte_rows(b.column(at)), before, strict=True):
                     s, _ = w.scan(ws := words(raw))
-                    if s:
-                        raw, left = cut(raw, ws, merged(s))
-                        keep.append(left >= least_words)
-                    else:
-                        keep.append(True)
+                    if old:
+                        s = sorted([*s, *zip(old[::2], old[1::2], strict=True)])
+                    spans = merged(s)
+                    if not last:
+                        found.append([x for y in spans for x in y])
+                        continue
+                    left = least_words
+                    if spans:
+                        raw, left = cut(raw, ws, spans)
+                    keep.append(left >= least_words)
                     out.append(raw)
-                cols = [pa.array(out, pa.binary()).cast(pa.string()) if i == at else c for i, c in enumerate(b.columns)]
-                yield pa.RecordBatch.from_arrays(cols, b.schema.names).filter(pa.array(keep, pa.bool_()))
+                if last:
+                    cols = [pa.array(out, pa.binary()).cast(pa.string()) if i == at else c for i, c in enumerate(b.columns[:n])]
+                    yield pa.RecordBatch.from_arrays(cols, b.schema.names[:n]).filter(pa.array(keep, pa.bool_()))
+                else:
+                    yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(found, pa.list_(pa.int64()))], [*b.schema.names[:n], name])
 
-        return run, docs.schema
+        return run, docs.schema if last else StructType([*docs.schema.fields, StructField(name, ArrayType(LongType()))])
 
-    at = docs.columns.index("text")
+    sc = docs.sparkSession.sparkContext
+    known = [sc.broadcast(Windows(items, width)) for items in blocks(benchmark, block_bytes)]
     out = docs
-    for items in blocks(benchmark, block_bytes):
-        out = out.mapInArrow(*run_of(docs.sparkSession.sparkContext.broadcast(Windows(items, width))))
+    for k, windows in enumerate(known):
+        out = out.mapInArrow(*run_of(windows, k == 0, k == len(known) - 1))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
