@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import distances, names, patents, text
@@ -114,11 +114,13 @@ def _(d):
 
 @query("g05_cycles")
 def _(d):
-    """Cycles of the network of nations that supply orders together, an arc from the more to the less frequent first name."""
+    """All simple cycles of the network of nations that supply orders together: from each nation, as an order's first
+    name, an arc to the two that most often come with it (of equal ones the least names), so that the core is sparse."""
     e = d.assignees()
     first = networks.first_names(e)
     arcs = e.select("doc_id", F.col("name").alias("dst")).join(first.withColumnRenamed("name", "src"), "doc_id").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
-    return graph.cycles(arcs.select("src", "dst"), max_length=2).select(F.array_join("nodes", ">").alias("nodes"), *_long("length"))
+    ranked = arcs.withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst")))
+    return graph.cycles(ranked.where("k <= 2").select("src", "dst")).select(F.array_join("nodes", ">").alias("nodes"), *_long("length"))
 
 
 @query("g06_levels", _sql("SELECT node, CAST(max(p) AS BIGINT) AS level FROM fw GROUP BY node", _WALKS))
