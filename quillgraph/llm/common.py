@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-_MOVES = re.compile(r"\b(Join|Aggregate|Repartition\w*|RebalancePartitions|Sort|Window|Distinct|Deduplicate\w*|GlobalLimit|LocalLimit|Sample|FlatMapGroups\w*|FlatMapCoGroups\w*)\b")
 
 
 def on_path(spark: SparkSession) -> None:
@@ -23,17 +22,6 @@ def on_path(spark: SparkSession) -> None:
         known["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known.get("PYTHONPATH")]))
 
 
-def steady(df: DataFrame, *columns: str) -> DataFrame:
-    """``df`` with rows that stand in the same place each time it is computed, which row numbers need that are used twice.
-
-    What only reads and maps a table is so; anything that moves rows is written first, cut to ``columns`` if given.
-    """
-    plan = df._jdf.queryExecution().optimizedPlan().treeString()
-    if not any(_MOVES.search(re.sub(r"[#\[(].*", "", line)) for line in plan.splitlines()):
-        return df
-    return settle(df.select(*columns) if columns else df)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The whole table ``name`` below ``sf_dir``, read by Spark."""
     on_path(spark)
@@ -41,13 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one is set only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary one; on a cluster
+    there is none that executors could read, and this raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(found)
         return found.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillgraph-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -69,6 +60,26 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each doc_id: the least by text, then by all its columns as JSON. Rows without a doc_id stay.
+
+    Only rows whose doc_id is repeated move.
+    """
+    docs_id = F.col("doc_id").cast("long")
+    key, row = fresh(docs, "__key"), fresh(docs, "__row")
+    again = settle(docs.where(docs_id.isNotNull()).groupBy(docs_id.alias(key)).count().where("count > 1").select(key))
+    single = docs.join(again, docs_id == F.col(key), "left_anti")
+    many = docs.join(again, docs_id == F.col(key), "left_semi")
+    whole = F.struct(*columns_of(docs))
+    least = many.groupBy(docs_id.alias(key)).agg(F.min_by(whole, F.struct(F.col("text").cast("string"), F.to_json(whole))).alias(row))
+    return single.unionByName(least.select(*(F.col(row)[c].alias(c) for c in docs.columns)))
+
+
 def byte_rows(column: pa.Array) -> list[bytes | None]:
     """A text column as UTF-8 bytes; null stays None."""
     return column.cast(pa.large_binary()).to_pylist()

@@ -4,8 +4,10 @@ Words are runs of a-z (A-Z lower-cased), digits and characters beyond ASCII. A w
 of an item; an item of fewer words is one window. Windows' hashes go to every worker; a document's words are
 numbered by the benchmark's vocabulary, hashed window by window, and hits are verified word by word.
 
-The benchmark is dealt into blocks of at most BLOCK_BYTES of text, each of which is broadcast in turn, so that
-what is broadcast stays bounded at any size of the benchmark; an ordinary one has a single block.
+Items are cut into pieces that overlap by WIDTH - 1 words, so they may have any length, and pieces are dealt into
+blocks of about BLOCK_BYTES, each of which is broadcast by itself, so that what is broadcast stays bounded at any size of
+the benchmark; an ordinary one has a single block. With several, the documents are written once with a number
+for each row, each block is scanned for by itself, and spans are united by that number.
 """
 
 from __future__ import annotations
@@ -17,45 +19,56 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import byte_rows, fresh, slices, steady
+from .common import byte_rows, columns_of, fresh, settle, slices
 
 WIDTH = 10
-#: Largest text, in bytes, of a block of the benchmark, and of an item (which can't be cut).
-BLOCK_BYTES = 16 << 20
+#: Largest text, in bytes, of a block of the benchmark, about; a piece of an item has an eighth of it at most.
+BLOCK_BYTES = 8 << 20
+#: Words of more bytes than this are compared by their SHA-256.
+LONG = 1024
 
 _WORD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b > 0x7F else 0x20 for b in range(256))
 _BASE = 0x9E3779B97F4A7C15
 
 
 def words(text: bytes | None) -> list[bytes]:
-    return text.translate(_WORD).split() if text else []
+    ws = text.translate(_WORD).split() if text else []
+    if ws and len(text) > LONG and max(map(len, ws)) > LONG:
+        ws = [w if len(w) <= LONG else b"\0" + hashlib.sha256(w).hexdigest().encode() for w in ws]
+    return ws
 
 
 class Windows:
-    """The hash set: windows of items by length and hash, and which items have them."""
+    """The hash set: windows of items by length and hash, as arrays: hashes, places in the items' words, and items."""
 
-    def __init__(self, items: list[tuple[object, bytes | None]], width: int = WIDTH) -> None:
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], width: int = WIDTH) -> None:
+        """``items``: pieces of items, each with its item's name and its words."""
         self.number: dict[bytes, int] = {}
-        self.items: list[object] = []
-        found: dict[tuple[int, ...], set[int]] = {}
-        for name, text in items:
-            ws = words(text)
+        self.items: list[str | None] = []
+        names: dict[str | None, int] = {}
+        ids: list[int] = []
+        at: dict[int, list[np.ndarray]] = {}
+        owner: dict[int, list[np.ndarray]] = {}
+        for name, ws in items:
             if not ws:
                 continue
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in ws]
-            k = min(width, len(ids))
-            for i in range(len(ids) - k + 1):
-                found.setdefault(tuple(ids[i : i + k]), set()).add(len(self.items))
-            self.items.append(name)
-        self.by_length: dict[int, tuple[np.ndarray, dict[int, list[tuple[tuple[int, ...], set[int]]]]]] = {}
-        for k in sorted({len(w) for w in found}):
-            own = [w for w in found if len(w) == k]
-            table: dict[int, list] = {}
-            for h, w in zip(self._hashes(np.array(own, dtype=np.uint64).T).tolist(), own, strict=True):
-                table.setdefault(h, []).append((w, found[w]))
-            self.by_length[k] = np.sort(np.array(list(table), dtype=np.uint64)), table
+            k, n = min(width, len(ws)), len(ws)
+            at.setdefault(k, []).append(len(ids) + np.arange(n - k + 1))
+            owner.setdefault(k, []).append(np.full(n - k + 1, names.setdefault(name, len(names))))
+            ids += [self.number.setdefault(w, len(self.number) + 1) for w in ws]
+        self.items, self.flat = list(names), np.array(ids, dtype=np.uint32)
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k in sorted(at):
+            start, own = np.concatenate(at[k]).astype(np.uint32), np.concatenate(owner[k]).astype(np.int32)
+            h = self._hashes([self.flat[start + j].astype(np.uint64) for j in range(k)])
+            order = np.lexsort((own, h))
+            h, start, own = h[order], start[order], own[order]
+            again = np.zeros(len(h), dtype=bool)  # the same window of the same item
+            again[1:] = (h[1:] == h[:-1]) & (own[1:] == own[:-1])
+            for j in range(k):
+                again[1:] &= self.flat[start[1:] + j] == self.flat[start[:-1] + j]
+            self.by_length[k] = h[~again], start[~again], own[~again]
 
     @staticmethod
     def _hashes(columns) -> np.ndarray:
@@ -65,25 +78,27 @@ class Windows:
             h ^= h >> np.uint64(31)
         return h
 
-    def scan(self, ws: list[bytes]) -> tuple[list[tuple[int, int]], list[object]]:
+    def scan(self, ws: list[bytes]) -> tuple[list[tuple[int, int]], list[str | None]]:
         """Word spans [start, end) of all occurrences, by start, and the items that have them."""
         get = self.number.get
         ids = np.fromiter((get(w, 0) for w in ws), dtype=np.uint64, count=len(ws))
         none = np.r_[0, np.cumsum(ids == 0)]
         spans, items = [], set()
-        for k, (known, table) in self.by_length.items():
+        for k, (known, start, owner) in self.by_length.items():
             at = np.flatnonzero(none[k:] == none[:-k]) if len(ids) >= k else none[:0]
             if not len(at):
                 continue
             h = self._hashes([ids[at + j] for j in range(k)])
-            near = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            for i in np.flatnonzero(known[near] == h).tolist():
-                start = int(at[i])
-                own = tuple(ids[start : start + k].tolist())
-                for w, names in table[int(h[i])]:
-                    if w == own:
-                        spans.append((start, start + k))
-                        items |= names
+            low = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            found = np.flatnonzero(known[low] == h)
+            high = np.searchsorted(known, h[found], side="right")
+            for i, a, b in zip(at[found].tolist(), low[found].tolist(), high.tolist(), strict=True):
+                same = np.ones(b - a, dtype=bool)
+                for j in range(k):
+                    same &= self.flat[start[a:b] + j] == ids[i + j]
+                if same.any():
+                    spans.append((i, i + k))
+                    items.update(owner[a:b][same].tolist())
         return sorted(spans), [self.items[i] for i in items]
 
 
@@ -98,69 +113,106 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[object, bytes | None]]]:
-    """The benchmark's (item_id, text) in lists of bounded size; a check of sizes comes before any row is gathered."""
-    rows = benchmark.select(F.col("item_id"), F.col("text").cast("string")).where("text is not null")
-    size = rows.agg(F.sum(F.octet_length("text") + 64), F.max(F.octet_length("text"))).first()
-    if (size[1] or 0) > block_bytes:
-        raise ValueError(f"a benchmark item has more than {block_bytes} bytes")
-    n = 1 + (size[0] or 0) // max(1, block_bytes // 2)
+def pieces(benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(item, body): the items' words, one space apart, in pieces that overlap by ``width`` - 1 words."""
+    most = max(1, block_bytes // 8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            for name, raw in zip(b.column(0).to_pylist(), byte_rows(b.column(1)), strict=True):
+                ws, at = words(raw), 0
+                while at < len(ws):
+                    end, size = at, 0
+                    while end < len(ws) and (size < most or end - at < 2 * width):
+                        size += len(ws[end]) + 1
+                        end += 1
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([b" ".join(ws[at:end])], pa.binary())], ["item", "body"])
+                    if end == len(ws):
+                        break
+                    at = end - width + 1
+
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).mapInArrow(run, "item string, body binary")
+
+
+def blocks(benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """The benchmark's (item, words) in lists of bounded size; sizes are known before any row is gathered."""
+    rows = settle(pieces(benchmark, width, block_bytes))
+    size = rows.agg(F.sum(F.octet_length("body") + 64)).first()[0] or 0
+    n = 1 + size // max(1, block_bytes // 2)
     for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r[0], r[1].encode()) for r in part.toLocalIterator()]
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "body"), F.lit(n)) == k)
+        yield [(r[0], bytes(r[1]).split(b" ")) for r in part.toLocalIterator()]
 
 
-def _scan(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int, run_of) -> list[DataFrame]:
+def _known(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int) -> list:
+    """A broadcast for each block; one is made at a time."""
     sc = docs.sparkSession.sparkContext
-    return [docs.mapInArrow(*run_of(sc.broadcast(Windows(items, width)))) for items in blocks(benchmark, block_bytes)]
+    return [sc.broadcast(Windows(items, width)) for items in blocks(benchmark, width, block_bytes)]
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(rid, doc_id, n_words, spans, items) for each row: merged word spans as a flat array, and items as strings."""
+_HITS = "rid long, doc_id long, n_words long, spans array<long>, items array<string>"
+
+
+def _flat(spans: list[list[int]]) -> list[int]:
+    return [x for y in spans for x in y]
+
+
+def _scan(windows, hits_only: bool):
+    """Of rows (rid, doc_id, text): merged word spans and items, by row; with ``hits_only`` of rows that have such."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = windows.value
+        for b in slices(batches):
+            n, spans, items = [], [], []
+            for raw in byte_rows(b.column(2)):
+                ws = words(raw)
+                s, found = w.scan(ws)
+                n.append(len(ws))
+                spans.append(_flat(merged(s)))
+                items.append(found)
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["rid", "doc_id", "n_words", "spans", "items"])
+            yield out.filter(pa.array([bool(s) for s in spans], pa.bool_())) if hits_only else out
+
+    return run
+
+
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        spans = [_flat(merged(sorted((s[i], s[i + 1]) for s in row for i in range(0, len(s), 2)))) for row in b.column(3).to_pylist()]
+        items = [list({x for y in row for x in y}) for row in b.column(4).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["rid", "doc_id", "n_words", "spans", "items"])
 
-    def run_of(windows):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            w = windows.value
-            for b in slices(batches):
-                n, spans, items = [], [], []
-                for raw in byte_rows(b.column(2)):
-                    ws = words(raw)
-                    s, found = w.scan(ws)
-                    n.append(len(ws))
-                    spans.append([x for y in merged(s) for x in y])
-                    items.append(sorted(map(str, found)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["rid", "doc_id", "n_words", "spans", "items"])
-
-        return run, "rid long, doc_id long, n_words long, spans array<long>, items array<string>"
-
-    rows = steady(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = _scan(rows, benchmark, width, block_bytes, run_of)
-    if len(found) == 1:
-        return found[0]
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-
-    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            spans = [[x for y in merged(sorted((s[i], s[i + 1]) for s in row for i in range(0, len(s), 2))) for x in y] for row in b.column(3).to_pylist()]
-            items = [sorted({x for y in row for x in y}) for row in b.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["rid", "doc_id", "n_words", "spans", "items"])
-
-    # one row for each block and document, whatever the document's hits
+
+def _united(rows: DataFrame, known: list, all_rows: bool) -> DataFrame:
+    """Hits of all blocks in ``rows``, a written table with rid: one row for each block and hit document is shuffled."""
+    out = None
+    for k, windows in enumerate(known):
+        found = rows.mapInArrow(_scan(windows, not (all_rows and k == 0)), _HITS)
+        out = found if out is None else out.unionByName(found)
     out = out.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
-    return out.mapInArrow(unite, "rid long, doc_id long, n_words long, spans array<long>, items array<string>")
+    return out.mapInArrow(_unite, _HITS)
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(rid, doc_id, n_words, spans, items) for each row: merged word spans as a flat array, and items as strings."""
+    known = _known(docs, benchmark, width, block_bytes)
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if len(known) == 1:
+        return rows.mapInArrow(_scan(known[0], False), _HITS)
+    return _united(settle(rows), known, True)
 
 
 def query(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of ``docs``.
 
     Null and empty texts have no words. Rows that repeat a doc_id are scanned each. Items without words have no
-    windows; without benchmark rows nothing is hit. Items that share an item_id count once.
+    windows; without benchmark rows nothing is hit. Items that share an item_id count once; those without one count
+    as one item, which has no place in the list of ids. Items and words may have any length.
     """
     n_hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    found = hits(docs, benchmark, width, block_bytes).withColumn("n_hit", n_hit).withColumn("items", F.array_distinct("items"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    found = hits(docs, benchmark, width, block_bytes).withColumn("n_hit", n_hit)
+    listed = F.array_join(F.array_sort(F.array_compact("items")), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def remove_passages(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least_words: int = 1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -168,49 +220,42 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, l
 
     Spans of all blocks are united over the original text, as in ``hits``, and cut once. A document with fewer than
     ``least_words`` words left goes, if anything was cut from it. n_chars, where there is such a column, follows the
-    text. Documents without hits are returned as they are; a null text has no hits.
+    text. Documents without hits are returned as they are; a null text has no hits. Rows that repeat a doc_id are
+    cut each; an empty table gives an empty result.
     """
     at, n = docs.columns.index("text"), len(docs.columns)
-    name = fresh(docs, "__spans")
-
-    def run_of(windows, first: bool, last: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            w = windows.value
-            for b in slices(batches):
-                out, keep, found = [], [], []
-                before = [None] * b.num_rows if first else b.column(n).to_pylist()
-                for raw, old in zip(byte_rows(b.column(at)), before, strict=True):
-                    s, _ = w.scan(ws := words(raw))
-                    if old:
-                        s = sorted([*s, *zip(old[::2], old[1::2], strict=True)])
-                    spans = merged(s)
-                    if not last:
-                        found.append([x for y in spans for x in y])
-                        continue
-                    left = least_words
-                    if spans:
-                        raw, left = cut(raw, ws, spans)
-                    keep.append(left >= least_words)
-                    out.append(raw)
-                if last:
-                    cols = [pa.array(out, pa.binary()).cast(pa.string()) if i == at else c for i, c in enumerate(b.columns[:n])]
-                    yield pa.RecordBatch.from_arrays(cols, b.schema.names[:n]).filter(pa.array(keep, pa.bool_()))
-                else:
-                    yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(found, pa.list_(pa.int64()))], [*b.schema.names[:n], name])
-
-        return run, docs.schema if last else StructType([*docs.schema.fields, StructField(name, ArrayType(LongType()))])
-
-    sc = docs.sparkSession.sparkContext
-    known = [sc.broadcast(Windows(items, width)) for items in blocks(benchmark, block_bytes)]
-    out = docs
-    for k, windows in enumerate(known):
-        out = out.mapInArrow(*run_of(windows, k == 0, k == len(known) - 1))
+    known = _known(docs, benchmark, width, block_bytes)
+    rid, name = fresh(docs, "__rid"), fresh(docs, "__spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = known[0].value if len(known) == 1 else None
+        for b in slices(batches):
+            out, keep = [], []
+            before = [None] * b.num_rows if w else b.column(n).to_pylist()
+            for raw, old in zip(byte_rows(b.column(at)), before, strict=True):
+                spans = merged(w.scan(words(raw))[0]) if w else [old[i : i + 2] for i in range(0, len(old), 2)] if old else []
+                left = least_words
+                if spans:
+                    raw, left = cut(raw, spans)
+                keep.append(left >= least_words)
+                out.append(raw)
+            cols = [pa.array(out, pa.binary()).cast(pa.string()) if i == at else c for i, c in enumerate(b.columns[:n])]
+            yield pa.RecordBatch.from_arrays(cols, b.schema.names[:n]).filter(pa.array(keep, pa.bool_()))
+
+    rows = docs
+    if len(known) > 1:
+        kept = settle(docs.withColumn(rid, F.monotonically_increasing_id()))
+        numbered = kept.select(F.col(rid).alias("rid"), F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        spans = settle(_united(numbered, known, False).select(F.col("rid").alias(rid), F.col("spans").alias(name)))
+        rows = kept.join(spans, rid, "left").select(*columns_of(docs), name)
+    out = rows.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
-def cut(raw: bytes, ws: list[bytes], spans: list[list[int]]) -> tuple[bytes, int]:
+def cut(raw: bytes, spans: list[list[int]]) -> tuple[bytes, int]:
     """``raw`` without the words of ``spans`` and what stands between them, and how many words are left."""
     lower, at, ends = raw.translate(_WORD), 0, []
+    ws = lower.split()
     wanted = {x for a, b in spans for x in (a, b - 1)}
     place = {}
     for i, w in enumerate(ws):

@@ -5,8 +5,8 @@ The others need a tokenizer, XXH64 or a trained model, which SQL lacks; tests ho
 
 from __future__ import annotations
 
-from .quality import DEPLETED, LINE_DOCS, LINE_SHARE, MIN_WORDS, REPEAT_PERCENT
-from .urls import ALIKE, BLOCK_ABOVE, CROWDED, NEUTRAL, REPEATS, RULES, SMOOTH
+from .quality import DEPLETED_PERCENT, LINE_DOCS, LINE_PERCENT, MIN_WORDS, REPEAT_PERCENT
+from .urls import ALIKE, BLOCK_ABOVE, CROWDED, NAME, NEUTRAL, REPEATS, RULES, SEGMENTS, SMOOTH, WILD
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -32,9 +32,9 @@ g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT
 rep AS (SELECT r, count(DISTINCT i + o) AS n FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM g), (SELECT unnest([0, 1, 2]) AS o) WHERE c > 1 GROUP BY r),
 base AS (SELECT x.r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM x LEFT JOIN rep USING (r)),
 ln AS (SELECT r, host, t, length({_BLANK.format('v')}) AS size, trim(regexp_replace(lower(v), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM (SELECT r, host, t, unnest(ls) AS v FROM x)),
-fr AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT t) AS n FROM ln GROUP BY 1, 2) JOIN (SELECT host, count(DISTINCT t) AS a FROM d WHERE t <> '' GROUP BY 1) USING (host) WHERE n > {LINE_DOCS} AND n > {LINE_SHARE} * a),
+fr AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT t) AS n FROM ln GROUP BY 1, 2) JOIN (SELECT host, count(DISTINCT t) AS a FROM d WHERE t <> '' GROUP BY 1) USING (host) WHERE n > {LINE_DOCS} AND 100 * n > {LINE_PERCENT} * a),
 lost AS (SELECT r, sum(size) AS lost FROM ln JOIN fr USING (host, line) GROUP BY r)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f AS base_failed, NOT f AND NOT (coalesce(lost, 0) > {DEPLETED} * word_chars) AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f AS base_failed, NOT f AND NOT (100 * coalesce(lost, 0) > {DEPLETED_PERCENT} * word_chars) AS kept
 FROM (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS f FROM base) LEFT JOIN lost USING (r)
 """
 
@@ -63,30 +63,32 @@ def _shape(s: str) -> str:
     return f"CASE WHEN regexp_matches({stem}, '^[0-9]+$') THEN '{{n}}' || {end} WHEN regexp_matches({stem}, '^[0-9A-Fa-f-]{{8,}}$') AND regexp_matches({stem}, '[0-9]') THEN '{{x}}' || {end} WHEN length({stem}) > 24 OR regexp_matches({stem}, '[0-9].*[0-9]') THEN '{{s}}' || {end} ELSE {s} END"
 
 
-def _level(k: int) -> str:
-    above = ["host", *(f"t{i}" for i in range(1, k))]
-    same = " AND ".join(f"c.{a} IS NOT DISTINCT FROM n.{a}" for a in above)
-    cols = ", ".join(above)
-    return f"""n{k} AS (SELECT {cols} FROM (SELECT {cols}, g{k}, sum(n) AS n FROM c{k} WHERE g{k} IS NOT NULL GROUP BY {cols}, g{k}) GROUP BY {cols} HAVING count(*) > {CROWDED} AND sum(n) < {REPEATS} * count(*)),
-c{k + 1} AS (SELECT c.*, CASE WHEN g{k} IS NOT NULL AND n.host IS NOT NULL THEN '{{*}}' ELSE g{k} END AS t{k} FROM c{k} c LEFT JOIN n{k} n ON {same})"""
-
+_LAST = f"array_to_string(list_slice(raw, {SEGMENTS}, len(raw)), '/')"
+_SKELETON = rf"CASE WHEN regexp_matches(v, '{WILD}') THEN v ELSE '{NAME}' || regexp_extract(v, '(\.[A-Za-z]{{2,5}})$', 1) END"
 
 OP3 = f"""
-WITH u AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE u AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 hp AS (SELECT r, page_id, {_LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^([^/?#]*)', 1)) + 1), '^([^?#]*)', 1) AS path FROM u),
-ru AS (SELECT r, page_id, host, path, {_rule('rule')} AS rule, {_rule('says')} AS says, list_filter(string_split(path, '/'), lambda v: v <> '') AS seg FROM hp),
-gs AS (SELECT r, page_id, host, path, rule, says, {', '.join(f"CASE WHEN len(seg) >= {k} THEN {_shape(f'seg[{k}]')} END AS g{k}" for k in (1, 2, 3))} FROM ru),
-c1 AS (SELECT host, g1, g2, g3, count(*) AS n, count(*) FILTER (says = 'block') AS blocked, count(says) AS labelled FROM gs GROUP BY 1, 2, 3, 4),
-{_level(1)}, {_level(2)}, {_level(3)},
-hs AS (SELECT host, (sum(blocked) + {SMOOTH} * {NEUTRAL}) / (sum(labelled) + {SMOOTH}) AS share FROM c4 GROUP BY 1),
-br AS (SELECT host, t1, t2, t3, sum(blocked) AS blocked, sum(labelled) AS labelled, coalesce(regexp_extract(t2, '^(\\{{.\\}})', 1), '-') || '/' || CASE WHEN t3 IS NULL THEN '-' ELSE '+' END AS shape FROM c4 GROUP BY 1, 2, 3, 4),
-gr AS (SELECT *, sum(blocked) OVER w AS gb, sum(labelled) OVER w AS gl FROM br WINDOW w AS (PARTITION BY host, t1, shape)),
-po AS (SELECT gr.*, CAST((gb + {SMOOTH} * share) / (gl + {SMOOTH}) AS DOUBLE) AS pooled FROM gr JOIN hs USING (host)),
-me AS (SELECT *, abs(blocked - pooled * labelled) <= {ALIKE} * sqrt(pooled * (1 - pooled) * labelled) AS merged, (blocked + {SMOOTH} * pooled) / (labelled + {SMOOTH}) AS own FROM po),
-lf AS (SELECT host, t1, t2, t3, '/' || coalesce(t1, '') || CASE WHEN merged THEN '/~' || shape ELSE '/' || concat_ws('/', t2, t3) END AS branch, CASE WHEN merged THEN pooled ELSE own END AS purity, CASE WHEN merged THEN gl ELSE labelled END AS evidence FROM me),
-pg AS (SELECT gs.*, c4.t1, c4.t2, c4.t3 FROM gs JOIN c4 ON c4.host = gs.host AND c4.g1 IS NOT DISTINCT FROM gs.g1 AND c4.g2 IS NOT DISTINCT FROM gs.g2 AND c4.g3 IS NOT DISTINCT FROM gs.g3)
-SELECT page_id, pg.host, path, rule, coalesce(says, CASE WHEN purity > {BLOCK_ABOVE} AND evidence > 0 THEN 'block' ELSE 'allow' END) AS verdict, branch AS template, round(purity, 6) AS purity
-FROM pg JOIN lf ON lf.host = pg.host AND lf.t1 IS NOT DISTINCT FROM pg.t1 AND lf.t2 IS NOT DISTINCT FROM pg.t2 AND lf.t3 IS NOT DISTINCT FROM pg.t3
+ru AS (SELECT r, page_id, host, path, {_rule('rule')} AS rule, {_rule('says')} AS says, list_filter(string_split(path, '/'), lambda v: v <> '') AS raw FROM hp),
+gs AS (SELECT r, page_id, host, path, rule, says, list_transform(CASE WHEN len(raw) > {SEGMENTS} THEN list_append(list_slice(raw, 1, {SEGMENTS - 1}), {_LAST}) ELSE raw END, lambda v: {_shape('v')}) AS seg FROM ru),
+c AS (SELECT host, seg, count(*) AS n, count(*) FILTER (says = 'block') AS b, count(says) AS l FROM gs GROUP BY 1, 2),
+tree AS (
+    SELECT 0 AS k, host, seg, CAST([] AS VARCHAR[]) AS t, n, b, l FROM c
+    UNION ALL
+    SELECT k + 1, host, seg, list_append(t, CASE WHEN fan > {CROWDED} AND al < {REPEATS} * fan THEN '{{*}}' ELSE seg[k + 1] END), n, b, l
+    FROM (SELECT *, count(DISTINCT seg[k + 1]) OVER (PARTITION BY host, t) AS fan, sum(n) OVER (PARTITION BY host, t) AS al FROM tree WHERE len(seg) > k)
+),
+te AS (SELECT host, seg, t, b, l FROM tree WHERE k = len(seg)),
+lf AS (SELECT host, t, CAST(sum(b) AS DOUBLE) AS b, CAST(sum(l) AS DOUBLE) AS l FROM te GROUP BY 1, 2),
+lv AS (SELECT host, t, m, b, l, '/' || array_to_string(list_concat(list_slice(t, 1, m), list_slice(list_transform(t, lambda v: {_SKELETON}), m + 1, len(t))), '/') AS branch
+    FROM (SELECT *, unnest(range(0, len(t) + 1)) AS m FROM lf) WHERE m = len(t) OR NOT regexp_matches(t[m + 1], '{WILD}')),
+su AS (SELECT host, m, branch, sum(b) AS b, sum(l) AS l FROM lv GROUP BY 1, 2, 3),
+ch AS (SELECT lv.host, lv.t, m, branch, su.l, (su.b + {SMOOTH * NEUTRAL}::DOUBLE) / (su.l + {SMOOTH}::DOUBLE) AS p, lag(su.b) OVER w AS b0, lag(su.l) OVER w AS l0
+    FROM lv JOIN su USING (host, m, branch) WINDOW w AS (PARTITION BY lv.host, lv.t ORDER BY m DESC)),
+ap AS (SELECT *, sum(CASE WHEN abs(b0 - p * l0) > {ALIKE}::DOUBLE * sqrt(p * (1 - p) * l0) THEN 1 ELSE 0 END) OVER (PARTITION BY host, t ORDER BY m DESC) AS apart FROM ch),
+wi AS (SELECT host, t, arg_min(branch, m) AS branch, arg_min(p, m) AS p, arg_min(l, m) AS l FROM ap WHERE apart = 0 GROUP BY 1, 2)
+SELECT page_id, gs.host, path, rule, coalesce(says, CASE WHEN p > {BLOCK_ABOVE} AND wi.l > 0 THEN 'block' ELSE 'allow' END) AS verdict, branch AS template, round(p, 6) AS purity
+FROM gs JOIN te ON te.host = gs.host AND te.seg = gs.seg JOIN wi ON wi.host = te.host AND wi.t = te.t
 """
 
 SQL: dict[str, str] = {"op3_url_filters": OP3, "op5_decontamination": OP5, "op7_quality_rules": OP7, "op9_suffix_dedup": OP9}

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, settle, shared_dir, slices
+from .common import byte_rows, fresh, one_row_each, settle, shared_dir, slices
 
 SHINGLE = 3
 RADIUS = 2
@@ -265,9 +265,9 @@ def query(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of its least doc_id.
 
-    Where several rows have that doc_id, one of them stays. Rows with a null doc_id can't be named as members of
+    Where several rows have that doc_id, the least by text stays. Rows with a null doc_id can't be named as members of
     a group and stay. All columns are returned, whatever their names.
     """
-    keep = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    named = docs.join(keep, docs["doc_id"].cast("long") == keep["__keep"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    drop = fresh(docs, "__drop")
+    gone = settle(near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(drop)).distinct())
+    return one_row_each(docs.join(gone, F.col("doc_id").cast("long") == F.col(drop), "left_anti"))

@@ -3,18 +3,21 @@
 Each byte goes that is covered by a string of LENGTH bytes which also starts in a document with a smaller doc_id.
 
 How it is dealt out. A window (LENGTH bytes at some place) is named by the least hash of the GRAM-byte strings in it;
-equal windows have equal names. Neighbouring windows mostly share a name and form a run, one for every 16 bytes
-or so. Documents travel in blocks of BLOCK_ROWS rows. (1) Each block's distinct names are shuffled by name, as packed
-numbers without text; names of one document only are done with, the others go back to their blocks. (2) There
-their runs become segments; of equal segments in a task those of larger doc_id are known to go, so a task
-sends one for each segment, however many copies there are. (3) Segments are shuffled
-by name and gathered to shards of about SHARD_BYTES; a name's segment that is the same everywhere goes where its document
-isn't the least; the others' shards are sorted, transformed, and their common prefixes are
-derived by increasing value: breadth-first, the intervals of strings of length l are extended backwards by one
-character, which sets the borders of those of length l + 1, and no border is looked for from LENGTH on. The
-intervals that are left hold the equal windows; each goes where its document isn't the interval's least. (4) Removed
-spans meet their texts. Texts that repeat a whole text of a smaller doc_id are told by hash beforehand: they go,
-if they have LENGTH bytes, and send no segments.
+equal windows have equal names. Neighbouring windows mostly share a name and form a run, one for every 14 bytes or so.
+
+(0) The texts are written once, in blocks of about BLOCK_BYTES that belong to units of about UNIT_BYTES; a row's unit and
+its number there are data from then on, however the table is cut when it is read again.
+(1) Each unit's distinct names are shuffled by ranges of names, as packed numbers without text; names of one document only
+are done with, the others go back to their units. A unit has at most 2 ** NAME_RANGES ranges, so rows are few for any
+size of the data.
+(2) There their runs become segments. Equal segments of a task are folded: it sends the one of least doc_id, and those
+that follow with larger ones are known to go, so a task sends one for each segment, however many copies there are.
+(3) Segments are shuffled by ranges of names, packed, and each distinct one is put with its least doc_id into a shard of
+about SHARD_SYMBOLS together with all of its name. A shard is sorted and transformed, and its common prefixes are derived
+by increasing value: breadth-first, the intervals of strings of length l are extended backwards by one character, which
+sets the borders of those of length l + 1, and no border is looked for from LENGTH on. The intervals that are left
+hold the equal windows; each goes where its document isn't the interval's least.
+(4) Removed spans meet their units' texts.
 """
 
 from __future__ import annotations
@@ -25,23 +28,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, settle, slices, steady
+from .common import byte_rows, settle, slices
 
 LENGTH = 50
 GRAM = 24
 NAME_BITS = 48
-SHARD_BYTES = 2 << 20
-#: Rows of a block, as a power of two; the bytes of names that meet in a task at most, about.
-BLOCK_ROWS = 9
+#: Bytes of text of a block and of a unit, about (a longer text is a block of its own), and of what is named at once.
+BLOCK_BYTES, UNIT_BYTES, CHUNK = 4 << 20, 64 << 20, 1 << 20
+#: Symbols of a shard that is transformed, about; all segments of a name are in one.
+SHARD_SYMBOLS = 192 << 10
+#: Bytes of names that meet in a task at most, about; and the ranges of names as powers of two, at most.
 NAMES_BYTES = 8 << 20
-MOST_BUCKETS = 1 << 20
-#: Segments in one Arrow batch.
-MOST_ROWS = 200_000
-#: Segments that a task remembers to fold copies of; more only means that more are sent.
-REMEMBERED = 300_000
+NAME_RANGES, SEGMENT_RANGES = 18, 20
+#: Segments that are packed together, segments that a task remembers to fold copies of, and windows judged at once.
+PACKED, REMEMBERED, JUDGED = 500_000, 300_000, 4_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -76,26 +80,29 @@ def _sliding_least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def runs(texts: list[bytes | None], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Name, number of the text, first window and number of windows of each run."""
+def runs(texts: list[bytes | None], length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Name, number of the text, first window and number of windows of each run; a run may be given in parts."""
     sizes = np.array([len(t or b"") for t in texts], dtype=np.int64)
     buf = np.frombuffer(b"".join(t for t in texts if t), dtype=np.uint8)
-    none = np.zeros(0, dtype=np.int64)
-    if len(buf) < length:
-        return none, none, none, none
     ends = np.cumsum(sizes)
-    names = (_sliding_least(_gram_hashes(buf, gram), length - gram + 1) & np.uint64((1 << NAME_BITS) - 1)).view(np.int64)
-    owner = np.repeat(np.arange(len(texts)), sizes)[: len(names)]
-    valid = np.arange(len(names)) + length <= ends[owner]
-    new = np.ones(len(names), dtype=bool)
-    new[1:] = (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])
-    first = np.flatnonzero(new & valid)  # a text's windows without room for LENGTH bytes are its last ones
-    if not len(first):
-        return none, none, none, none
-    edge = np.flatnonzero(new | ~valid)
-    after = np.searchsorted(edge, first, side="right")
-    last = np.append(edge, len(names))[after]
-    return names[first], owner[first], first - (ends - sizes)[owner[first]], last - first
+    found: list[tuple[np.ndarray, ...]] = []
+    for a in range(0, len(buf) - length + 1, chunk):
+        b = min(a + chunk, len(buf) - length + 1)
+        names = (_sliding_least(_gram_hashes(buf[a : b + length - 1], gram), length - gram + 1) & np.uint64((1 << NAME_BITS) - 1)).view(np.int64)
+        lo = int(np.searchsorted(ends, a, side="right"))
+        hi = int(np.searchsorted(ends, b - 1, side="right"))
+        owner = np.repeat(np.arange(lo, hi + 1), np.diff(np.r_[a, np.minimum(ends[lo : hi + 1], b)]))
+        valid = np.arange(a, b) + length <= ends[owner]
+        new = np.ones(len(names), dtype=bool)
+        new[1:] = (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])
+        first = np.flatnonzero(new & valid)  # a text's windows without room for LENGTH bytes are its last ones
+        edge = np.flatnonzero(new | ~valid)
+        last = np.append(edge, len(names))[np.searchsorted(edge, first, side="right")]
+        own = owner[first]
+        found.append((names[first], own, first + a - (ends - sizes)[own], last - first))
+    if not found:
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -145,178 +152,251 @@ def equal_windows(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, n
     return order, np.cumsum(border, dtype=np.int64)
 
 
-def least_owners(segments: list[bytes], owners: list[int], length: int = LENGTH) -> list[np.ndarray]:
-    """For each segment, the least owner of a segment that has the window at each place."""
-    sizes = np.array([len(s) for s in segments], dtype=np.int64)
-    total = int(sizes.sum()) + len(segments)
+def joined(segments: list[bytes]) -> tuple[bytes, np.ndarray]:
+    return b"".join(segments), np.array([len(s) for s in segments], dtype=np.int64)
+
+
+def least_in_shard(data: np.ndarray, sizes: np.ndarray, owners: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For each window of the segments, one after another, the least owner of a segment that has it.
+
+    ``data`` has the segments' bytes one after another; each has ``length`` bytes at least.
+    """
+    total = len(data) + len(sizes)
+    starts = np.cumsum(sizes + 1) - sizes - 1
     text = np.ones(total, dtype=np.uint16)
-    starts = np.r_[0, np.cumsum(sizes + 1)][:-1]
     where = np.ones(total, dtype=bool)
     where[starts + sizes] = False
-    text[where] = np.frombuffer(b"".join(segments), dtype=np.uint8).astype(np.uint16) + 2
-    big = np.iinfo(np.int64).max
-    own = np.full(total + 1, big, dtype=np.int64)
-    for at, n, who in zip(starts.tolist(), sizes.tolist(), owners, strict=True):
-        own[at : at + n - length + 1] = who
+    text[where] = data.astype(np.uint16) + 2
+    own = np.full(total + 1, np.iinfo(np.int64).max, dtype=np.int64)
+    counts = sizes - length + 1
+    place = ragged(starts, counts)
+    own[place] = np.repeat(owners, counts)
     order, number = equal_windows(text, length)
     least = np.minimum.reduceat(own[order], np.flatnonzero(np.r_[True, number[1:] != number[:-1]]))
     at_place = np.empty(total + 1, dtype=np.int64)
     at_place[order] = least[number - number[0]]
-    return [at_place[a : a + n - length + 1] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    return at_place[place]
+
 
+def least_owners(segments: list[bytes], owners: list[int], length: int = LENGTH) -> list[np.ndarray]:
+    """For each segment, the least owner of a segment that has the window at each place."""
+    data, sizes = joined(segments)
+    least = least_in_shard(np.frombuffer(data, dtype=np.uint8), sizes, np.array(owners, dtype=np.int64), length)
+    return np.split(least, np.cumsum(sizes - length + 1)[:-1])
 
-def _spans(gone: np.ndarray, at: int, length: int) -> Iterator[tuple[int, int]]:
-    """(start, bytes) of what the windows marked in ``gone``, the first at byte ``at``, cover; a row for each stretch."""
-    edge = np.flatnonzero(np.diff(np.r_[0, gone.view(np.int8), 0]))
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        yield at + a, b - a + length - 1
+
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (counts[0] of them), starts[1], ... ."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
 
 
 def _batch(schema: list[tuple[str, pa.DataType]], columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema, strict=True)], [n for n, _ in schema])
 
 
+def _planes(x: np.ndarray, width: int = 8) -> bytes:
+    """Whole numbers as bytes, those of one weight together, which compress better."""
+    return x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_planes(raw: bytes, n: int, width: int = 8) -> np.ndarray:
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(raw, dtype=np.uint8).reshape(width, n).T
+    return out.view("<i8").ravel()
+
+
 def _pack_names(names: np.ndarray) -> bytes:
-    """Sorted distinct names, as differences whose bytes of one weight stand together, compressed."""
-    steps = np.diff(names, prepend=np.int64(0)).astype("<i8")
-    return zstandard.compress(steps.view(np.uint8).reshape(-1, 8)[:, : NAME_BITS // 8].T.tobytes(), 1)
+    """Sorted distinct names, as differences."""
+    return zstandard.compress(_planes(np.diff(names, prepend=np.int64(0)), NAME_BITS // 8), 1)
 
 
 def _unpack_names(body: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(body), dtype=np.uint8).reshape(NAME_BITS // 8, -1)
-    steps = np.zeros((planes.shape[1], 8), dtype=np.uint8)
-    steps[:, : NAME_BITS // 8] = planes.T
-    return np.cumsum(steps.view("<i8").ravel())
-
-
-def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[int | None], list[bytes | None]]]:
-    """Of rows (rid, doc_id, text) in the order of rid: block, rids, doc_ids and texts."""
-    block, rids, docs, texts = None, [], [], []
-    for b in slices(batches):
-        for rid, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), byte_rows(b.column(2)), strict=True):
-            if rid >> BLOCK_ROWS != block:
-                if rids:
-                    yield block, rids, docs, texts
-                block, rids, docs, texts = rid >> BLOCK_ROWS, [], [], []
-            rids.append(rid)
-            docs.append(doc)
-            texts.append(text)
-    if rids:
-        yield block, rids, docs, texts
-
-
-def _names(length: int, gram: int, bits: int):
-    """Of rows (rid, doc_id, text): (bucket, block, one, many), a block's names that one, or more, of its documents have."""
+    raw = zstandard.decompress(body)
+    return np.cumsum(_from_planes(raw, len(raw) * 8 // NAME_BITS, NAME_BITS // 8))
+
+
+_PART = [("unit", pa.int64()), ("kind", pa.int64()), ("block", pa.int64()), ("body", pa.binary())]
+_PART_SQL = "unit long, kind long, block long, body binary"
+#: What a unit is told (it comes before the texts), and its texts.
+_TOLD, _TEXTS = 0, 1
+
+
+def _pack_texts(block_bytes: int, unit_bytes: int):
+    """Of rows (doc_id, text): (unit, block, size, body), texts compressed together and where they belong."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, docs, texts in _in_blocks(batches):
-            name, row, _, _ = runs([t if d is not None else None for t, d in zip(texts, docs, strict=True)], length, gram)
-            if not len(name):
-                continue
-            order = np.lexsort((row, name))
-            name, row = name[order], row[order]
-            edge = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
-            many = row[edge] != row[np.r_[edge[1:], len(name)] - 1]
-            name = name[edge]
-            bucket = name >> (NAME_BITS - bits)
-            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-            rows = [(int(bucket[a]), block, _pack_names(name[a:b][~many[a:b]]), _pack_names(name[a:b][many[a:b]])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield _batch(_NAMES, list(zip(*rows, strict=True)))
+        unit, block, base, unit_size = TaskContext.get().partitionId() << 24, 0, 0, 0
+        head: list[tuple[int, int, int]] = []
+        texts: list[bytes] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            raw = np.array([base, len(head)], dtype="<i8").tobytes() + np.array(head, dtype="<i8").tobytes() + b"".join(texts)
+            return _batch([("unit", pa.int64()), ("block", pa.int64()), ("size", pa.int64()), ("body", pa.binary())], ([unit], [block], [size], [zstandard.compress(raw, 3)]))
+
+        for b in slices(batches):
+            for doc, text in zip(b.column(0).to_pylist(), byte_rows(b.column(1)), strict=True):
+                head.append((doc or 0, doc is not None, len(text or b"")))
+                texts.append(text or b"")
+                size += len(texts[-1]) + 32
+                if size >= block_bytes:
+                    yield out()
+                    unit_size += size
+                    block, base = block + 1, base + len(head)
+                    head, texts, size = [], [], 0
+                    if unit_size >= unit_bytes:
+                        unit, block, base, unit_size = unit + 1, 0, 0, 0
+        if head:
+            yield out()
 
     return run
 
 
-_NAMES = [("bucket", pa.int64()), ("block", pa.int64()), ("one", pa.binary()), ("many", pa.binary())]
-_PART = [("block", pa.int64()), ("kind", pa.int64()), ("body", pa.binary())]
-_TEXTS, _SHARED, _GONE = 0, 1, 2
+def _unpack_texts(body: bytes) -> tuple[int, np.ndarray, list[bytes]]:
+    """The number of the first row, rows (doc_id or 0, whether it has one, bytes), and the texts of a block."""
+    raw = zstandard.decompress(body)
+    base, n = np.frombuffer(raw, dtype="<i8", count=2).tolist()
+    head = np.frombuffer(raw, dtype="<i8", count=3 * n, offset=16).reshape(n, 3)
+    at = 16 + 24 * n + np.r_[0, np.cumsum(head[:, 2])]
+    return base, head, [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def _owned(head: np.ndarray, texts: list[bytes]) -> list[bytes | None]:
+    return [t if own else None for own, t in zip(head[:, 1].tolist(), texts, strict=True)]
+
+
+_NAMES = [("bucket", pa.int64()), ("unit", pa.int64()), ("one", pa.binary()), ("many", pa.binary())]
+
+
+def _names(length: int, gram: int, bits: int, flush: int = 4_000_000):
+    """Of blocks: (bucket, unit, one, many), a unit's names that one, or more, of its documents have."""
+
+    def told(unit: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        # a block's documents are its own, so a name of two blocks has two documents
+        name = np.concatenate([n for n, _ in parts])
+        many = np.concatenate([m for _, m in parts])
+        order = np.argsort(name, kind="stable")
+        name, many = name[order], many[order]
+        edge = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+        many = np.logical_or.reduceat(many, edge) | (np.diff(np.r_[edge, len(name)]) > 1)
+        name = name[edge]
+        bucket = name >> (NAME_BITS - bits)
+        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+        rows = [(int(bucket[a]), unit, _pack_names(name[a:b][~many[a:b]]), _pack_names(name[a:b][many[a:b]])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return _batch(_NAMES, list(zip(*rows, strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, parts, n = None, [], 0
+        for b in batches:
+            for u, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if parts and (u != unit or n >= flush):
+                    yield told(unit, parts)
+                    parts, n = [], 0
+                unit = u
+                _, head, texts = _unpack_texts(body)
+                name, row, _, _ = runs(_owned(head, texts), length, gram)
+                if len(name):
+                    order = np.lexsort((row, name))
+                    name, row = name[order], row[order]
+                    edge = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+                    parts.append((name[edge], row[edge] != row[np.r_[edge[1:], len(name)] - 1]))
+                    n += len(edge)
+        if parts:
+            yield told(unit, parts)
+
+    return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of names sorted by bucket: (block, kind, body), each block's names that two documents at least have."""
+    """Of names sorted by bucket: what each unit is told, its names that two documents at least have."""
 
     def solve(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
         one = [_unpack_names(r[1]) for r in rows]
         many = [_unpack_names(r[2]) for r in rows]
         once = np.sort(np.concatenate(one))
         known = np.unique(np.concatenate([once[1:][once[1:] == once[:-1]], *many]))
-        # a name that is in some block's ``many`` and once in another's ``one`` is known by the former
+        # a name that is in some unit's ``many`` and once in another's ``one`` is known by the former
         out = []
-        for (block, _, _), a, m in zip(rows, one, many, strict=True):
+        for (unit, _, _), a, m in zip(rows, one, many, strict=True):
             at = np.minimum(np.searchsorted(known, a), max(0, len(known) - 1))
             found = np.union1d(a[known[at] == a] if len(known) else a[:0], m)
             if len(found):
-                out.append((block, _SHARED, _pack_names(found)))
-        return _batch(_PART, list(zip(*out, strict=True)) if out else [[], [], []])
+                out.append((unit, _TOLD, 0, _pack_names(found)))
+        return _batch(_PART, list(zip(*out, strict=True)) if out else [[], [], [], []])
 
     bucket, rows = None, []
     for b in batches:
-        for k, block, one, many in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for k, unit, one, many in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if k != bucket and rows:
                 yield solve(rows)
                 rows = []
             bucket = k
-            rows.append((block, one, many))
+            rows.append((unit, one, many))
     if rows:
         yield solve(rows)
 
 
-def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (rid, doc_id, text): (block, kind, body), each block's texts compressed together."""
-    for block, rids, docs, texts in _in_blocks(batches):
-        head = np.array([[r, d if d is not None else 0, d is not None, len(t or b"")] for r, d, t in zip(rids, docs, texts, strict=True)], dtype="<i8")
-        yield _batch(_PART, ([block], [_TEXTS], [zstandard.compress(len(rids).to_bytes(8, "little") + head.tobytes() + b"".join(t or b"" for t in texts), 3)]))
-
+def _by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], bytes]]:
+    """Of parts sorted by unit, kind and block: for each block its unit, what the unit was told, and the texts."""
+    unit, told = None, []
+    for b in batches:
+        for u, kind, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
+            if u != unit:
+                unit, told = u, []
+            if kind == _TOLD:
+                told.append(body)
+            else:
+                yield unit, told, body
 
-def _unpack_texts(body: bytes) -> tuple[np.ndarray, list[bytes]]:
-    """Rows (rid, doc_id or 0, whether it has one, bytes) and the texts of a block."""
-    raw = zstandard.decompress(body)
-    n = int.from_bytes(raw[:8], "little")
-    head = np.frombuffer(raw, dtype="<i8", count=4 * n, offset=8).reshape(n, 4)
-    at = 8 + 32 * n + np.r_[0, np.cumsum(head[:, 3])]
-    return head, [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
+_SEGMENTS = [("bucket", pa.int64()), ("unit", pa.int64()), ("body", pa.binary())]
 
-def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[bytes]]]:
-    """Of rows (block, kind, body) sorted by block: the bodies of each block, by kind."""
-    block, parts = None, [[], [], []]
-    for b in batches:
-        for k, kind, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if k != block and block is not None:
-                yield parts
-                parts = [[], [], []]
-            block = k
-            parts[kind].append(body)
-    if block is not None:
-        yield parts
 
+def _pack_spans(spans: np.ndarray) -> bytes:
+    """Rows (row number, first byte, bytes)."""
+    return zstandard.compress(b"".join(_planes(spans[:, k], 5) for k in range(3)), 1)
 
-def _gone(parts: list[bytes]) -> np.ndarray:
-    """Spans (rid, place, size) of a block."""
-    return np.concatenate([np.frombuffer(p, dtype="<i8").reshape(-1, 3) for p in parts]) if parts else np.zeros((0, 3), dtype=np.int64)
 
+def _unpack_spans(body: bytes) -> np.ndarray:
+    raw = zstandard.decompress(body)
+    n = len(raw) // 15
+    return np.stack([_from_planes(raw[5 * n * k : 5 * n * (k + 1)], n, 5) for k in range(3)], axis=1)
 
-_SEGMENT = [("h", pa.int64()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("segment", pa.binary())]
 
+def _cut(length: int, gram: int, bits: int):
+    """Of units with their shared names and texts: (bucket, null, segments), one for each run of a shared name; and (bucket,
+    unit, spans) of copies that are known to go."""
 
-def _cut(length: int, gram: int):
-    """Of blocks with their texts, shared names and copies: segments, one for each run of a shared name but for copies that
-    are known to go; those have no bytes and only n windows."""
+    def packed(columns: list[np.ndarray], segments: list[bytes]) -> pa.RecordBatch:
+        name = columns[0]
+        order = np.argsort(name, kind="stable")
+        bucket = (name >> (NAME_BITS - bits))[order]
+        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(order) else np.zeros(1, dtype=np.int64)
+        out = []
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            some = order[a:b]
+            numbers = b"".join(_planes(x[some], w) for x, w in zip(columns, _WIDTHS, strict=True))
+            out.append((int(bucket[a]), None, zstandard.compress(len(some).to_bytes(8, "little") + numbers + b"".join([segments[i] for i in some.tolist()]), 3)))
+        return _batch(_SEGMENTS, list(zip(*out, strict=True)) if out else [[], [], []])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
-        for texts, shared, gone in _by_block(batches):
-            if not shared:
-                continue
-            head, text = _unpack_texts(texts[0])
-            whole = {int(r) for r, _, _ in _gone(gone)}
-            names = np.unique(np.concatenate([_unpack_names(x) for x in shared]))
-            name, row, at, n = runs([t if own and rid not in whole else None for (rid, _, own, _), t in zip(head.tolist(), text, strict=True)], length, gram)
-            if not len(name):
+        ready: list[tuple[np.ndarray, ...]] = []
+        segments: list[bytes] = []
+        unit, names = None, None
+        for u, told, body in _by_unit(batches):
+            if u != unit:
+                unit, names = u, np.unique(np.concatenate([_unpack_names(x) for x in told])) if told else np.zeros(0, dtype=np.int64)
+            if not len(names):
                 continue
+            base, head, text = _unpack_texts(body)
+            name, row, at, n = runs(_owned(head, text), length, gram)
             keep = names[np.minimum(np.searchsorted(names, name), len(names) - 1)] == name
             name, row, at, n = name[keep], row[keep], at[keep], n[keep]
-            rid, doc = head[row, 0], head[row, 1]
-            segments: list[bytes | None] = []
+            if not len(name):
+                continue
+            doc = head[row, 0]
+            own: list[bytes | None] = []
             get = seen.get
             for r, d, a, e in zip(row.tolist(), doc.tolist(), at.tolist(), (at + n + length - 1).tolist(), strict=True):
                 s = text[r][a:e]
@@ -325,167 +405,182 @@ def _cut(length: int, gram: int):
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen[s] = d
-                segments.append(s if least is None or d <= least else None)
-            copy = np.array([s is None for s in segments], dtype=bool)
-            # copies known to go stand under a name of their own, so that they are spread
-            h = np.where(copy, (rid * 31 + at) & ((1 << NAME_BITS) - 1), name)
-            order = np.argsort(h, kind="stable")  # equal segments of a task stand together, which compresses better
-            for k in range(0, len(order), MOST_ROWS):
-                some = order[k : k + MOST_ROWS]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[some]) for x in (h, rid, doc, at, n)), pa.array([segments[i] for i in some.tolist()], pa.binary())], [c for c, _ in _SEGMENT])
+                own.append(s if least is None or d <= least else None)
+            copy = np.array([s is None for s in own], dtype=bool)
+            if copy.any():
+                spans = np.stack([base + row[copy], at[copy], n[copy] + length - 1], axis=1)
+                yield _batch(_SEGMENTS, ([int(name[0]) >> (NAME_BITS - bits)], [unit], [_pack_spans(spans)]))
+            sent = ~copy
+            ready.append((name[sent], np.full(int(sent.sum()), unit), base + row[sent], doc[sent], at[sent], n[sent]))
+            segments += [s for s in own if s is not None]
+            if len(segments) >= PACKED:
+                yield packed([np.concatenate(x) for x in zip(*ready, strict=True)], segments)
+                ready, segments = [], []
+        if segments:
+            yield packed([np.concatenate(x) for x in zip(*ready, strict=True)], segments)
 
     return run
 
 
-def _shards(length: int, shard_bytes: int):
-    """Of segments sorted by h: (block, kind, body), removed spans as packed numbers (rid, place, size)."""
+#: Bytes of a segment's numbers: name, unit, row number there, doc_id, first byte, windows.
+_WIDTHS = (NAME_BITS // 8, 8, 5, 8, 4, 4)
+
+
+def _shards(length: int, shard_symbols: int):
+    """Of segments sorted by bucket: what each unit is told, removed spans."""
 
-    def spans_of(parts: list[np.ndarray]) -> pa.RecordBatch:
-        a = np.concatenate([np.zeros((0, 3), dtype="<i8"), *parts])
+    def told(parts: list[np.ndarray]) -> pa.RecordBatch:
+        a = np.concatenate(parts)
         a = a[np.argsort(a[:, 0], kind="stable")]
-        if not len(a):
-            return _batch(_PART, ([], [], []))
-        block = a[:, 0] >> BLOCK_ROWS
-        cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
-        out = [(int(block[x]), _GONE, a[x:y].tobytes()) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        cut = np.flatnonzero(np.r_[True, a[1:, 0] != a[:-1, 0], True])
+        out = [(int(a[x, 0]), _TOLD, 0, _pack_spans(a[x:y, 1:])) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
         return _batch(_PART, list(zip(*out, strict=True)))
 
-    def solve(groups: list[tuple[dict[bytes, int], list]]) -> np.ndarray:
-        segments = [s for g in groups for s in g[0]]
-        least = least_owners(segments, [w for g in groups for w in g[0].values()], length) if segments else []
-        out: list[tuple[int, int, int]] = []
-        base = 0
-        for variants, places in groups:
-            number = {s: base + k for k, s in enumerate(variants)}
-            base += len(variants)
-            for rid, doc, at, s in places:
-                gone = least[number[s]] < doc
-                if gone.any():
-                    out += [(rid, a, n) for a, n in _spans(gone, at, length)]
-        return np.array(out, dtype="<i8").reshape(-1, 3)
-
-    def split(part: pa.RecordBatch, done: list[np.ndarray], groups: list[tuple[dict[bytes, int], list]]) -> int:
-        """Whole names: spans that are known go to ``done``, names with different segments to ``groups``; their bytes."""
-        h, rid, doc, at, n = (part.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-        known = part.column(5).is_null().to_numpy(zero_copy_only=False)
-        done.append(np.stack([rid[known], at[known], n[known] + length - 1], axis=1))
-        rest = np.flatnonzero(~known)
-        if not len(rest):
-            return 0
-        h, rid, doc, at, n = (x[rest] for x in (h, rid, doc, at, n))
-        segment = part.column(5).take(pa.array(rest))
-        code = segment.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        owner = np.repeat(np.arange(len(edge)), np.diff(np.r_[edge, len(h)]))
-        one = np.minimum.reduceat(code, edge) == np.maximum.reduceat(code, edge)
-        # one segment everywhere: its least doc_id keeps it
-        gone = one[owner] & (doc > np.minimum.reduceat(doc, edge)[owner])
-        done.append(np.stack([rid[gone], at[gone], n[gone] + length - 1], axis=1))
-        many = np.flatnonzero(~one[owner])
-        size, last = 0, None
-        for g, r, d, a, s in zip(owner[many].tolist(), rid[many].tolist(), doc[many].tolist(), at[many].tolist(), segment.take(pa.array(many)).to_pylist(), strict=True):
-            if g != last:
-                groups.append(({}, []))
-                last = g
-            variants, places = groups[-1]
-            low = variants.get(s)
-            if low is None:
-                size += len(s)
-            variants[s] = d if low is None or d < low else low
-            places.append((r, d, a, s))
-        return size
+    def solve(bodies: list[bytes]) -> np.ndarray:
+        """Rows (unit, row number, first byte, bytes) of what goes of a bucket's segments."""
+        columns: list[list[np.ndarray]] = [[] for _ in _WIDTHS]
+        texts = []
+        for body in bodies:
+            raw = zstandard.decompress(body)
+            k, at = int.from_bytes(raw[:8], "little"), 8
+            for c, w in zip(columns, _WIDTHS, strict=True):
+                c.append(_from_planes(raw[at : at + k * w], k, w))
+                at += k * w
+            texts.append(raw[at:])
+        name, unit, row, doc, first, n = (np.concatenate(c) for c in columns)
+        data, sizes = b"".join(texts), n + length - 1
+        texts.clear()
+        offsets = np.r_[0, np.cumsum(sizes)]
+        own = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype("<i8").tobytes()), pa.py_buffer(data)])
+        code = own.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        # distinct segments by name, with their least doc_id
+        order = np.lexsort((doc, code, name))
+        edge = order[np.flatnonzero(np.r_[True, code[order][1:] != code[order][:-1]])]
+        least = np.empty(len(edge), dtype=object)
+        place = np.empty(len(edge), dtype=np.int64)  # of a distinct segment, in the order of names
+        place[code[edge]] = np.arange(len(edge))
+        counts = n[edge]
+        raw = np.frombuffer(data, dtype=np.uint8)
+        symbols = np.cumsum(sizes[edge])
+        ends = np.flatnonzero(np.r_[name[edge][1:] != name[edge][:-1], True])  # the last segment of each name
+        lows: list[np.ndarray] = []
+        a = 0
+        while a < len(edge):
+            base = int(symbols[a - 1]) if a else 0
+            b = int(ends[min(len(ends) - 1, np.searchsorted(ends, max(a, int(np.searchsorted(symbols, base + shard_symbols)) - 1)))]) + 1
+            part = edge[a:b]
+            lows.append(least_in_shard(raw[ragged(offsets[part], sizes[part])], sizes[part], doc[part], length))
+            a = b
+        least = np.concatenate(lows)
+        starts = np.cumsum(counts) - counts
+        out = [np.zeros((0, 4), dtype=np.int64)]
+        which = place[code]
+        steps = np.cumsum(n)
+        a = 0
+        while a < len(n):
+            b = max(a + 1, int(np.searchsorted(steps, (steps[a - 1] if a else 0) + JUDGED)))
+            k = n[a:b]
+            gone = least[ragged(starts[which[a:b]], k)] < np.repeat(doc[a:b], k)
+            owner = np.repeat(np.arange(a, b), k)
+            new = gone & np.r_[True, ~gone[:-1] | (owner[1:] != owner[:-1])]
+            end = gone & np.r_[~gone[1:] | (owner[1:] != owner[:-1]), True]
+            x, y = np.flatnonzero(new), np.flatnonzero(end)
+            who = owner[x]
+            out.append(np.stack([unit[who], row[who], first[who] + x - (np.cumsum(k) - k)[who - a], y - x + length], axis=1))
+            a = b
+        return np.concatenate(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: list[tuple[dict[bytes, int], list]] = []
+        bucket, bodies = None, []
         done: list[np.ndarray] = []
-        size, left = 0, None
         for b in batches:
-            if not b.num_rows:
-                continue
-            rows = b if left is None else pa.concat_batches([left, b])
-            h = rows.column(0).to_numpy(zero_copy_only=False)
-            cut = int(np.searchsorted(h, h[-1]))  # the last name may go on
-            left = rows.slice(cut)
-            if cut:
-                size += split(rows.slice(0, cut), done, groups)
-            if size > shard_bytes:
-                done.append(solve(groups))
-                groups, size = [], 0
-            if sum(map(len, done)) > 200_000:
-                yield spans_of(done)
-                done.clear()
-        if left is not None:
-            split(left, done, groups)
-        yield spans_of([*done, solve(groups)])
+            for k, unit, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if k != bucket:
+                    if bodies:
+                        done.append(solve(bodies))
+                        bodies = []
+                    bucket = k
+                    if sum(map(len, done)) > 500_000:
+                        yield told(done)
+                        done = []
+                if unit is None:
+                    bodies.append(body)
+                else:
+                    yield _batch(_PART, ([unit], [_TOLD], [0], [body]))
+        if bodies:
+            done.append(solve(bodies))
+        if sum(map(len, done)):
+            yield told(done)
 
     return run
 
 
+def merged(spans: np.ndarray) -> np.ndarray:
+    """Spans (row number, first byte, bytes) that overlap or touch as one, sorted: rows (row number, first byte, end)."""
+    start = (spans[:, 0] << 32) + spans[:, 1]
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], (start + spans[:, 2])[order]
+    reach = np.maximum.accumulate(end)
+    new = np.flatnonzero(np.r_[True, start[1:] > reach[:-1]]) if len(start) else np.zeros(0, dtype=np.int64)
+    last = reach[np.r_[new[1:], len(start)] - 1] if len(start) else reach
+    a, row = start[new], start[new] >> 32
+    return np.stack([row, a - (row << 32), last - (row << 32)], axis=1)
+
+
 def _finish(keep_text: bool):
-    """Of blocks with their texts and removed spans: a row for each row."""
+    """Of units with their removed spans and texts: a row for each row."""
     schema = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, _, gone in _by_block(batches):
-            head, text = _unpack_texts(texts[0])
-            spans = _gone(gone)
-            spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
-            own: dict[int, list[list[int]]] = {}
-            for rid, at, n in spans.tolist():
-                mine = own.setdefault(rid, [])
-                if mine and at <= mine[-1][1]:
-                    mine[-1][1] = max(mine[-1][1], at + n)
-                else:
-                    mine.append([at, at + n])
+        unit, spans = None, None
+        for u, told, body in _by_unit(batches):
+            if u != unit:
+                unit, spans = u, merged(np.concatenate([_unpack_spans(x) for x in told]) if told else np.zeros((0, 3), dtype=np.int64))
+            base, head, text = _unpack_texts(body)
+            lo, hi = np.searchsorted(spans[:, 0], [base, base + len(text)])
+            some = spans[lo:hi]
+            edge = np.searchsorted(some[:, 0], base + np.arange(len(text) + 1)).tolist()
+            some = some[:, 1:].tolist()
             rows = []
-            for (rid, doc, has, _), t in zip(head.tolist(), text, strict=True):
-                kept, last = [], 0
-                mine = own.get(rid, ())
-                for a, e in mine:
-                    kept.append(t[last:a])
-                    last = e
-                rest = b"".join([*kept, t[last:]]) if mine else t
+            for k, ((doc, has, _), t) in enumerate(zip(head.tolist(), text, strict=True)):
+                mine = some[edge[k] : edge[k + 1]]
+                rest = t
+                if mine:
+                    last, kept = 0, []
+                    for a, e in mine:
+                        kept.append(t[last:a])
+                        last = e
+                    rest = b"".join([*kept, t[last:]])
                 rows.append([doc if has else None, len(t), len(t) - len(rest), len(mine), hashlib.sha256(rest).hexdigest()] + [rest] * keep_text)
             yield _batch(schema, list(zip(*rows, strict=True)))
 
     return run
 
 
-def _copies(rows: DataFrame, length: int) -> DataFrame:
-    """(block, kind, body): whole texts that a document of smaller doc_id has too, as spans."""
-    hashed = rows.where(F.octet_length("text") >= length).select("rid", "doc_id", F.octet_length("text").cast("long").alias("size"), F.substring(F.sha2("text", 256), 1, 40).alias("body"))
-    least = hashed.groupBy("body").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("body", "low")
-    found = hashed.join(least, "body").where("doc_id > low").select("rid", F.lit(0).cast("long").alias("place"), "size")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1).astype("<i8")
-            yield _batch(_PART, ((a[:, 0] >> BLOCK_ROWS).tolist(), [_GONE] * len(a), [x.tobytes() for x in a]))
-
-    return found.mapInArrow(run, "block long, kind long, body binary")
+def _ranges(size: int, most: int) -> int:
+    """Bits of a name that choose its range: so many that about NAMES_BYTES of names share one."""
+    return min(most, max(4, (size // (2 * NAMES_BYTES)).bit_length()))
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = True, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_text: bool = True, length: int = LENGTH, gram: int = GRAM, shard_symbols: int = SHARD_SYMBOLS, block_bytes: int = BLOCK_BYTES, unit_bytes: int = UNIT_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if ``keep_text``, the bytes kept, for each row of ``docs``.
 
     A null text counts as empty. Rows that repeat a doc_id are each judged against smaller ids, and not against each
     other. Rows with a null doc_id are neither smaller nor larger than others and stay whole. Bytes that are
     kept needn't be valid UTF-8. An empty table gives an empty result.
     """
-    docs = steady(docs, "doc_id", "text")
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    bits = min(MOST_BUCKETS, max(16, size // (2 * NAMES_BYTES))).bit_length()
-    part = "block long, kind long, body binary"
-    names = rows.mapInArrow(_names(length, gram, bits), "bucket long, block long, one binary, many binary")
-    shared = names.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, part)
-    copies = settle(_copies(rows.where("doc_id is not null"), length))
-    texts = rows.mapInArrow(_pack_texts, part)
-    ready = texts.unionByName(shared).unionByName(copies).repartition("block").sortWithinPartitions("block")
-    segments = ready.mapInArrow(_cut(length, gram), "h long, rid long, doc_id long, at long, n long, segment binary")
-    spans = segments.repartition("h").sortWithinPartitions("h").mapInArrow(_shards(length, shard_bytes), part)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    packs = settle(rows.mapInArrow(_pack_texts(block_bytes, unit_bytes), "unit long, block long, size long, body binary"))
+    size = packs.agg(F.sum("size")).first()[0] or 0
+    name_bits, bits = _ranges(size, NAME_RANGES), _ranges(4 * size, SEGMENT_RANGES)
+    names = packs.select("unit", "body").mapInArrow(_names(length, gram, name_bits), "bucket long, unit long, one binary, many binary")
+    shared = names.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, _PART_SQL)
+    texts = packs.select("unit", F.lit(_TEXTS).cast("long").alias("kind"), "block", "body")
+    units = lambda told: texts.unionByName(told).repartition("unit").sortWithinPartitions("unit", "kind", "block")
+    segments = units(shared).mapInArrow(_cut(length, gram, bits), "bucket long, unit long, body binary")
+    spans = segments.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shards(length, shard_symbols), _PART_SQL)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return texts.unionByName(spans).unionByName(copies).repartition("block").sortWithinPartitions("block").mapInArrow(_finish(keep_text), schema)
+    return units(spans).mapInArrow(_finish(keep_text), schema)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -1,11 +1,17 @@
 """URL filters with a path-template tree, in DataFrame functions only.
 
-Rules (host, path) decide the urls they fit. Those urls are the labelled rows from which the method judges the rest:
-per host, paths form a tree whose variable segments (numbers, hashes, long or mixed names, and children of
-crowded nodes that hardly repeat) become wildcards; sibling branches whose labelled purity doesn't differ
-significantly from what their siblings have together, and whose shape is alike, are merged; a template is rejected if
-it or its merged siblings have labelled rows and its smoothed share of blocked ones is above BLOCK_ABOVE. The share
-is drawn to that of the host, and this to neutral, since which rules there are says nothing of other hosts.
+Rules (host, path) decide the urls they fit. Those urls are the labelled rows from which the method judges the rest.
+
+The tree. Per host, paths are split into segments, and variable ones (numbers, hashes, long or mixed names) become
+wildcards; from the root down, so do the children of a crowded node that hardly repeat. A leaf is a template.
+Merging goes from the leaves up: a branch is a template's first m segments and, of the rest, only the shape (wildcards and
+endings; plain names become ``{w}``), so the branch of m = 0 holds all templates of a host that are shaped alike,
+whatever their first segment. Each branch lies in the next wider one, and is merged into it as long as its labelled purity
+doesn't differ significantly from the wider one's; a branch without labelled rows always is. A template is rejected if
+the widest branch it is merged into has labelled rows and its smoothed share of blocked ones is above BLOCK_ABOVE.
+The share is drawn to neutral, so a few blocked rows don't reject anything.
+
+A path may have any number of segments; of more than SEGMENTS, those from the SEGMENTS-th on are one segment.
 
 All statistics are counts by (host, template), with map-side combine; a host with a third of all rows costs a few
 rows for each task.
@@ -13,7 +19,7 @@ rows for each task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle
@@ -21,16 +27,19 @@ from .common import settle
 # fixed values: the rules of the contract
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
-DEPTH = 3
+SEGMENTS = 64
 #: A node's children become one wildcard if it has more than CROWDED of them, with fewer than REPEATS urls each.
-CROWDED, REPEATS = 50, 3.0
-#: Rows by which a template's share of blocked rows is drawn to its siblings' and its host's, and the host's to neutral.
+CROWDED, REPEATS = 50, 3
+#: Rows by which a branch's share of blocked rows is drawn to neutral.
 SMOOTH, NEUTRAL = 5.0, 0.5
-BLOCK_ABOVE = 0.6
-#: Standard errors that a branch may be from its siblings' share and still be merged with them.
+BLOCK_ABOVE = 0.8
+#: Standard errors that a branch may be from the next wider one's share and still be merged into it.
 ALIKE = 2.0
+#: Levels of the tree after which what is known is written.
+WRITTEN = 4
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WILD, NAME = r"^\{[nxs*]\}", "{w}"
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -64,73 +73,79 @@ def segment_shape(s: Column) -> Column:
     return F.when(kind.isNotNull(), F.concat(kind, end)).otherwise(s)
 
 
+def skeleton(s: Column) -> Column:
+    """What is compared of a segment where only its shape counts."""
+    return F.when(s.rlike(WILD), s).otherwise(F.concat(F.lit(NAME), F.regexp_extract(s, r"(\.[A-Za-z]{2,5})$", 1)))
+
+
 def prepared(pages: DataFrame) -> DataFrame:
-    """page_id, host, path, rule, rule_verdict and the segments' shapes g1 to g3 (null where the path is shorter)."""
+    """page_id, host, path, rule, rule_verdict and seg, the segments' shapes."""
     host, path = parts(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"))
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("rule_verdict"), F.filter(F.split("path", "/"), lambda s: s != "").alias("seg"))
-    shape = [F.when(F.size("seg") > k, segment_shape(F.get("seg", F.lit(k)))).alias(f"g{k + 1}") for k in range(DEPTH)]
-    return rows.select("page_id", "host", "path", "rule", "rule_verdict", *shape)
+    last = F.array_join(F.slice("seg", SEGMENTS, F.greatest(F.size("seg"), F.lit(1))), "/")
+    seg = F.when(F.size("seg") > SEGMENTS, F.concat(F.slice("seg", 1, SEGMENTS - 1), F.array(last))).otherwise(F.col("seg"))
+    return rows.withColumn("seg", F.transform(seg, segment_shape))
 
 
 def template_counts(rows: DataFrame) -> DataFrame:
-    """(host, g1, g2, g3, n, blocked, labelled): what all statistics are made of."""
-    return rows.groupBy("host", *(f"g{k + 1}" for k in range(DEPTH))).agg(
-        F.count("*").alias("n"), F.count_if(F.col("rule_verdict") == "block").alias("blocked"), F.count("rule_verdict").alias("labelled")
-    )
+    """(host, seg, n, blocked, labelled): what all statistics are made of."""
+    return rows.groupBy("host", "seg").agg(F.count("*").alias("n"), F.count_if(F.col("rule_verdict") == "block").alias("blocked"), F.count("rule_verdict").alias("labelled"))
 
 
 def _generalised(counts: DataFrame) -> DataFrame:
-    """``counts`` with t1 to t3: at crowded nodes, children as wildcards, from the root down."""
-    for k in range(1, DEPTH + 1):
-        above = ["host", *(f"t{i}" for i in range(1, k))]
-        child = counts.groupBy(*above, f"g{k}").agg(F.sum("n").alias("n")).where(F.col(f"g{k}").isNotNull())
-        node = child.groupBy(*above).agg(F.count("*").alias("fan"), F.sum("n").alias("all")).where((F.col("fan") > CROWDED) & (F.col("all") < REPEATS * F.col("fan")))
-        counts = _joined(counts, node.select(*above, F.lit(True).alias("__wild")), above, "left")
-        name = F.when(F.col(f"g{k}").isNotNull() & F.col("__wild"), "{*}").otherwise(F.col(f"g{k}"))
-        counts = counts.withColumn(f"t{k}", name).drop("__wild")
-    return counts
-
+    """``counts`` with t, the template: at crowded nodes, children as wildcards, from the root down.
 
-def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Left with right's other columns, where ``keys``, null or not, are equal."""
-    marked = right.select(*(F.coalesce(F.col(k), F.lit("\0")).alias(f"__{k}") for k in keys), *(c for c in right.columns if c not in keys))
-    own = left.select("*", *(F.coalesce(F.col(k), F.lit("\0")).alias(f"__{k}") for k in keys))
-    return own.join(marked, [f"__{k}" for k in keys], how).drop(*(f"__{k}" for k in keys))
+    A level can only have a crowded node if a host has more than CROWDED templates that reach it; deeper ones need no step.
+    """
+    deep = counts.select("host", F.explode(F.sequence(F.lit(0), F.size("seg"))).alias("k")).groupBy("host", "k").count().where(F.col("count") > CROWDED)
+    levels = deep.agg(F.max("k")).first()[0] or 0
+    counts = counts.withColumn("t", F.array().cast("array<string>"))
+    for k in range(levels):
+        more, own = F.size("seg") > k, F.get("seg", F.lit(k))
+        child = counts.where(more).groupBy("host", "t", own.alias("own")).agg(F.sum("n").alias("n"))
+        node = child.groupBy("host", "t").agg(F.count("*").alias("fan"), F.sum("n").alias("n")).where((F.col("fan") > CROWDED) & (F.col("n") < REPEATS * F.col("fan")))
+        counts = counts.join(node.select("host", "t", F.lit(True).alias("wild")), ["host", "t"], "left")
+        longer = F.concat("t", F.array(F.when(F.col("wild"), "{*}").otherwise(own)))
+        counts = counts.select("host", "seg", "n", "blocked", "labelled", F.when(more, longer).otherwise(F.col("t")).alias("t"))
+        if (k + 1) % WRITTEN == 0:
+            counts = settle(counts)
+    return counts.withColumn("t", F.concat("t", F.slice("seg", levels + 1, F.greatest(F.size("seg"), F.lit(1)))))
 
 
 def template_verdicts(rows: DataFrame) -> DataFrame:
-    """(host, g1, g2, g3, branch, purity, reject): a row for each template of the tree's leaves."""
-    counts = settle(_generalised(template_counts(rows)))
-    hosts = counts.groupBy("host").agg(((F.sum("blocked") + SMOOTH * NEUTRAL) / (F.sum("labelled") + SMOOTH)).alias("host_share"))
-    branch = counts.groupBy("host", "t1", "t2", "t3").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
-    # siblings: templates of one host with the same parent (the first segment) whose further shape is alike
-    wild = lambda c: F.coalesce(F.regexp_extract(c, r"^(\{.\})", 1), F.lit("-"))
-    branch = branch.withColumn("shape", F.concat_ws("/", wild("t2"), F.when(F.col("t3").isNull(), "-").otherwise("+")))
-    group = branch.groupBy("host", "t1", "shape").agg(F.sum("blocked").alias("gb"), F.sum("labelled").alias("gl"))
-    both = _joined(_joined(branch, group, ["host", "t1", "shape"]), hosts, ["host"])
-    pooled = (F.col("gb") + SMOOTH * F.col("host_share")) / (F.col("gl") + SMOOTH)
-    own = (F.col("blocked") + SMOOTH * pooled) / (F.col("labelled") + SMOOTH)
-    error = F.sqrt(pooled * (1 - pooled) * F.col("labelled"))
-    merged = F.abs(F.col("blocked") - pooled * F.col("labelled")) <= ALIKE * error
-    name = F.concat_ws("/", F.lit(""), F.coalesce("t1", F.lit("")), F.when(merged, F.concat(F.lit("~"), F.col("shape"))).otherwise(F.concat_ws("/", "t2", "t3")))
-    leaves = both.select("host", "t1", "t2", "t3", name.alias("branch"), F.when(merged, pooled).otherwise(own).alias("purity"), F.when(merged, F.col("gl")).otherwise(F.col("labelled")).alias("evidence"))
-    found = _joined(counts.select("host", "g1", "g2", "g3", "t1", "t2", "t3"), leaves, ["host", "t1", "t2", "t3"])
-    return found.select("host", "g1", "g2", "g3", "branch", "purity", ((F.col("purity") > BLOCK_ABOVE) & (F.col("evidence") > 0)).alias("reject"))
+    """(host, seg, branch, purity, reject): a row for each distinct path of segments."""
+    counts = settle(_generalised(settle(template_counts(rows))))
+    leaf = counts.groupBy("host", "t").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
+    # a branch for each plain segment, generalised from there on, and the leaf itself
+    places = F.filter(F.sequence(F.lit(0), F.size("t")), lambda m: (m == F.size("t")) | ~F.get("t", m).rlike(WILD))
+    levels = leaf.select("host", "t", "blocked", "labelled", F.transform("t", skeleton).alias("s"), F.explode(places).alias("m"))
+    key = F.concat(F.lit("/"), F.array_join(F.concat(F.slice("t", 1, F.col("m")), F.slice("s", F.col("m") + 1, F.size("s") + 1)), "/"))
+    levels = levels.select("host", "t", "m", key.alias("branch"), "blocked", "labelled")
+    sums = levels.groupBy("host", "m", "branch").agg(F.sum("blocked").cast("double").alias("b"), F.sum("labelled").cast("double").alias("l"))
+    chain = levels.select("host", "t", "m", "branch").join(sums, ["host", "m", "branch"])
+    purity = (F.col("b") + SMOOTH * NEUTRAL) / (F.col("l") + SMOOTH)
+    up = Window.partitionBy("host", "t").orderBy(F.desc("m"))  # a template has SEGMENTS + 1 branches at most
+    chain = chain.withColumns({"p": purity, "b0": F.lag("b").over(up), "l0": F.lag("l").over(up)})
+    apart = F.abs(F.col("b0") - F.col("p") * F.col("l0")) > ALIKE * F.sqrt(F.col("p") * (1 - F.col("p")) * F.col("l0"))
+    chain = chain.withColumn("apart", F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(up)).where("apart = 0")
+    widest = chain.groupBy("host", "t").agg(F.min_by(F.struct("branch", "p", "l"), "m").alias("w"))
+    found = counts.select("host", "seg", "t").join(widest, ["host", "t"])
+    return found.select("host", "seg", "w.branch", F.col("w.p").alias("purity"), ((F.col("w.p") > BLOCK_ABOVE) & (F.col("w.l") > 0)).alias("reject"))
 
 
 def judge(pages: DataFrame) -> DataFrame:
-    """page_id, host, path, rule, verdict, and the method's template and purity, for each row of ``pages``.
+    """page_id, host, path, rule, verdict, and the method's template (the branch it is merged into) and purity, for each
+    row of ``pages``.
 
     A url that is null or has no ``://`` has an empty host and path, fits no rule, and is judged like any other
     template. Rows that repeat a page_id, or have none, are judged each. An empty table gives an empty result.
     """
     rows = prepared(pages)
-    leaf = template_verdicts(rows)
     # a left join by plain keys, of which Spark splits the side of the pages where a template is hot
-    judged = _joined(rows, leaf, ["host", "g1", "g2", "g3"], "left")
+    judged = rows.join(settle(template_verdicts(rows)), ["host", "seg"], "left")
     verdict = F.coalesce("rule_verdict", F.when(F.col("reject"), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col("branch").alias("template"), F.round("purity", 6).alias("purity"))
 
