@@ -49,7 +49,7 @@ AROUND = (-5, -4, -3, -2, -1, 1)
 KEPT, KEPT_CHARS = 300_000, 20_000_000
 
 _TOKEN = re.compile(r"[^\x00-\x2a\x2c\x2e\x3a-\x40\x5b-\x5e\x60\x7b-\x7f]+(?:\.[^\x00-\x2a\x2c\x2e\x3a-\x40\x5b-\x5e\x60\x7b-\x7f]+)*|[!-,.:-@\[-^`{-~]")
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[^\W\d_]+")
 #: Words, or beginnings of words, that stand before credentials.
 _LEXICON = re.compile(r"(?:^|[_.-])(?:key|apikey|token|secret|pass|pw|pwd|auth|bearer|basic|cred|private|client|access|session|sess|sig|cookie|login|pin|otp|jwt|ssh|aws|sas|hook|webhook|bot|license|licence|db|smtp|ftp|user|account|master|root|admin|encryption|signing|passcode|sha|hmac|salt)")
 
