@@ -4,24 +4,26 @@ Each language gets a codeword of BITS bits; for each bit a logistic classifier o
 predicts it, and loss-weighted decoding chooses the language whose codeword has the least logistic loss. The gap to the
 next codeword gives the score, and a small gap flags the text as ambiguous.
 
-The classifiers learn from a bounded sample of labelled rows: at most PER_LANGUAGE rows a language, chosen by a
-hash of the text, of at most MAX_BYTES each. Prediction reads whole texts.
+The classifiers learn from a bounded sample of labelled rows: of every value of ``lang``, the PER_LANGUAGE distinct texts
+of least hash (fewer where there are so many languages that they would be more than ROWS in all, but LEAST at least), and of a
+text longer than WINDOW characters a stretch of so many at a place that the hash chooses. Prediction reads whole texts.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_rows, slices
+from .common import byte_rows, settle, slices
 
-#: Rows of each language that training uses, the largest text among them in bytes, and languages at most.
-PER_LANGUAGE, MAX_BYTES, LANGUAGES = 400, 20_000, 64
+#: Texts of each language that training uses, of all languages (if LEAST of each allow it), and characters of a text.
+PER_LANGUAGE, ROWS, LEAST, WINDOW = 400, 40_000, 8, 1500
+#: Texts of a training step, steps at least, and rounds over all texts at least.
+BATCH, STEPS, ROUNDS = 2048, 150, 10
 SIZE = 1 << 13
 MIN_BITS = 15
 #: Least difference of the mean bit losses of the two nearest codewords.
@@ -75,24 +77,39 @@ def vectors(texts: list[bytes], size: int = SIZE) -> np.ndarray:
     return np.sqrt(flat)
 
 
+def counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed n-grams of a text, and how often each occurs."""
+    code, n = np.unique(grams([text])[0], return_counts=True)
+    return code.astype(np.uint16), np.minimum(n, 65535).astype(np.uint16)
+
+
 class Codes:
     """Languages, their codewords, and weights of the bits' classifiers."""
 
-    def __init__(self, languages: list[str], texts: list[bytes], labels: list[str], rounds: int = 150, l2: float = 1e-4) -> None:
+    def __init__(self, languages: list[str], texts: list[bytes], labels: list[str], l2: float = 1e-4, seed: int = 3) -> None:
         self.languages = languages
         self.words = codewords(len(languages))
-        x = vectors(texts)
         where = {lang: i for i, lang in enumerate(languages)}
-        y = 2.0 * self.words[[where[t] for t in labels]] - 1
-        share = np.bincount([where[t] for t in labels], minlength=len(languages))
-        weight = (1.0 / share[[where[t] for t in labels]])[:, None] / len(languages)
-        w, b = np.zeros((SIZE, y.shape[1]), dtype=np.float32), np.zeros(y.shape[1], dtype=np.float32)
+        label = np.array([where[t] for t in labels])
+        share = np.bincount(label, minlength=len(languages))
+        rows = [counted(t) for t in texts]  # sparse; a step makes its own rows dense
+        w, b = np.zeros((SIZE, self.words.shape[1]), dtype=np.float32), np.zeros(self.words.shape[1], dtype=np.float32)
         vw, vb = np.zeros_like(w), np.zeros_like(b)
-        for _ in range(rounds):
-            g = (-y * weight / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30)))).astype(np.float32)
-            vw = 0.9 * vw - 12 * (x.T @ g + l2 * w)
-            vb = 0.9 * vb - 12 * g.sum(axis=0)
-            w, b = w + vw, b + vb
+        order, parts = np.random.default_rng(seed), -(-len(rows) // BATCH)
+        for _ in range(max(ROUNDS, -(-STEPS // parts))):
+            mixed = order.permutation(len(rows))
+            for part in np.array_split(mixed, parts):
+                x = np.zeros((len(part), SIZE), dtype=np.float32)
+                for k, i in enumerate(part.tolist()):
+                    code, n = rows[i]
+                    x[k, code] = np.sqrt(n / np.float32(n.sum()))
+                y = (2.0 * self.words[label[part]] - 1).astype(np.float32)
+                weight = (1.0 / share[label[part]])[:, None].astype(np.float32)
+                weight /= weight.sum()
+                g = -y * weight / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30)))
+                vw = 0.9 * vw - 12 * (x.T @ g + l2 * w)
+                vb = 0.9 * vb - 12 * g.sum(axis=0)
+                w, b = w + vw, b + vb
         self.weights, self.bias = w, b
 
     def predict(self, texts: list[bytes]) -> list[tuple[str, float, bool]]:
@@ -109,28 +126,33 @@ class Codes:
         return [(self.languages[i], float(s), bool(c)) for i, s, c in zip(best, score, close, strict=True)]
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, max_bytes: int = MAX_BYTES) -> Codes | None:
-    """The classifiers, from the bounded sample; None where no row has a label and a letter.
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = ROWS, least: int = LEAST, window: int = WINDOW) -> DataFrame:
+    """(lang, text): the bounded sample, of rows that are not held out and have a label and a letter.
 
-    Where there are more than LANGUAGES values of lang, the most frequent are learned.
+    Copies of a text are one, and are folded before anything is shuffled, so a hot text crowds out nothing.
     """
-    known = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    known = known.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.octet_length("text").between(1, max_bytes)))
-    count = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).toLocalIterator()}
-    if not count:
-        return None
-    share = F.create_map(*(F.lit(v) for lang, n in count.items() for v in (lang, min(1.0, 1.2 * per_language / n))))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0
-    sample = known.where(draw < share[F.col("lang")]).select("lang", "text").limit(2 * per_language * len(count))
-    texts, labels = [], []
-    taken = dict.fromkeys(count, 0)
-    for lang, text in sorted(map(tuple, sample.toLocalIterator()), key=lambda r: (r[0], zlib.crc32(r[1].encode()), r[1])):
-        if taken[lang] < per_language and any(map(str.isalpha, text)):
-            taken[lang] += 1
-            texts.append(text.encode())
-            labels.append(lang)
-    languages = sorted(set(labels))
-    return Codes(languages, texts, labels) if languages else None
+    known = docs.where(~held_out(F.col("doc_id"))).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    known = known.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
+    distinct = settle(known.select("lang", "h").distinct())
+    sizes = distinct.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = sizes.count()
+    most = max(least, min(per_language, rows // max(1, languages)))
+    # hashes are uniform: those below this share are about 1.5 times what is wanted, and are ranked
+    draw = (F.col("h") / F.lit(2.0**64) + 0.5) < F.lit(1.5 * most + 50) / F.col("n")
+    few = distinct.join(sizes, "lang").where(draw).select("lang", "h")
+    ranked = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= most)
+    chosen = settle(ranked.select("lang", "h"))
+    start = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - window + 1)).cast("int") + 1
+    found = known.join(chosen, ["lang", "h"], "left_semi").select("lang", "h", F.substring("text", start, F.lit(window)).alias("text"))
+    return found.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
+
+
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = ROWS) -> Codes | None:
+    """The classifiers, from the bounded sample; None where no row has a label and a letter."""
+    found = sorted((r[0], r[1].encode()) for r in sample(docs, per_language, rows).toLocalIterator())
+    found = [(lang, t) for lang, t in found if any(map(str.isalpha, t.decode("utf-8")))]
+    languages = sorted({lang for lang, _ in found})
+    return Codes(languages, [t for _, t in found], [lang for lang, _ in found]) if languages else None
 
 
 def identify(docs: DataFrame, model: Codes | None) -> DataFrame:
