@@ -1,7 +1,8 @@
 """Main text of web pages: a linear-chain conditional random field over the leaf blocks of the document tree.
 
 A page is read tag by tag into leaf blocks: text between the borders of block elements, with the open elements above
-it. Each block is labelled main or not from its ancestors' tags, classes and ids and from its text; Viterbi
+it. Only scripts, styles and what is no text of a page (its head, titles and descriptions of drawings) are left out here; whatever else
+elements hold, formulas, captions and text for browsers that show no video among it, is read. Each block is labelled main or not from its ancestors' tags, classes and ids and from its text; Viterbi
 finds the likeliest labels of the whole page. The model is trained here on PAGES generated and labelled
 pages of many layouts, from a fixed seed; nothing is taken from the tables.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import byte_rows, slices
 from .crf import LinearChainCRF, feature_rows
 
-PAGES, SEED = 500, 31
+PAGES, SEED = 1500, 31
 MAIN, REST = 1, 0
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|([^<]+|<)", re.DOTALL)
@@ -30,7 +31,12 @@ _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _PARTS = re.compile(r"[a-z]+")
 # fixed values: elements by how they are read
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_DROPPED = frozenset("script style noscript template svg math iframe object head title canvas audio video".split())
+_DROPPED = frozenset({"head", "title"})
+_THROUGH = frozenset("math svg iframe object canvas audio video picture map".split())
+#: In formulas and drawings all elements are inline but those that end them.
+_FOREIGN = ("math", "svg")
+_UNSHOWN = ("title", "desc", "metadata")
+_ENDS_FOREIGN = frozenset("address article aside blockquote body center dd div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 head header hr li main nav ol p pre section table ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = ("script", "style")
 #: Elements that an opening tag of the same kind, or of one of these, ends.
@@ -52,7 +58,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, str]] = []
     text: list[str] = []
     linked = anchors = 0
-    dropped = ""
+    dropped = foreign = ""
     at, end = 0, len(page)
 
     def close() -> None:
@@ -84,11 +90,20 @@ def blocks(page: str) -> list[Block]:
                 dropped = ""
             if not (name == "body" and not m[2]):
                 continue
+        if foreign:
+            if m[2] and name == foreign or name in _ENDS_FOREIGN:
+                foreign = ""
+            elif name not in _RAW and not (name in _UNSHOWN and not m[2]):
+                continue
         if not m[2]:
-            if name in _RAW:
+            if name in _RAW or foreign:
                 to = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, at)
                 at = to.end() if to else end
                 continue
+            if name in _THROUGH:
+                if name in _FOREIGN and not m[4].endswith("/"):
+                    foreign = name
+                continue
             if name in _DROPPED:
                 if not m[4].endswith("/"):
                     dropped = name
@@ -108,7 +123,7 @@ def blocks(page: str) -> list[Block]:
             while stack and name in _ENDS.get(stack[-1][0], ()):
                 stack.pop()
             stack.append((name, " ".join(_PARTS.findall(" ".join(a or b or c for _, a, b, c in _NAMES.findall(m[4])).lower())) if m[4] else ""))
-        elif name in _INLINE or name in _VOID:
+        elif name in _INLINE or name in _VOID or name in _THROUGH:
             if name == "a":
                 anchors = max(0, anchors - 1)
             elif name == "br":
@@ -140,7 +155,7 @@ _WORDY = re.compile(r"[^\W\d_]{2,}")
 def text_features(b: Block, k: int, n: int) -> list[str]:
     s = b.text
     size = len(s)
-    out = [f"len{size.bit_length()}", f"link{int(4 * b.links)}", f"end{s[-1] if s[-1] in '.!?:;,' else '-'}", f"at{min(3, k)}", f"left{min(3, n - 1 - k)}"]
+    out = [f"len{min(9, size.bit_length())}", f"link{int(4 * b.links)}", f"end{s[-1] if s[-1] in '.!?:;,' else '-'}", f"at{min(3, k)}", f"left{min(3, n - 1 - k)}"]
     if "©" in s[:40] or "(c)" in s[:40]:
         out.append("rights")
     if size < 200:
@@ -221,7 +236,11 @@ def labelled_page(r: random.Random) -> tuple[str, list[str]]:
         return "".join(f'<li><a href="/{word()}">{words(1, 3)}</a></li>' for _ in range(r.randint(a, b)))
 
     def para(keep: bool, a: int = 1, b: int = 60) -> str:
+        if b == 60 and r.random() < 0.3:
+            a, b = 40, 200
         text = words(a, b).capitalize() + pick([".", ".", ".", "", "!", "?", ":"])
+        if keep and r.random() < 0.03:
+            text = pick(["All rights reserved.", "Share your thoughts.", "Read the privacy terms first.", "Licensed under CC BY 4.0.", "Reply soon.", "Subscribe to the idea.", "Copyright 2020 by the author.", "See the terms."])
         if keep:
             main.append(text)
         inner = text
@@ -234,6 +253,14 @@ def labelled_page(r: random.Random) -> tuple[str, list[str]]:
 
     def flow(keep: bool) -> str:
         kind = r.random()
+        if kind < 0.08:
+            odd = pick(["<video controls src=x><p>{}</p></video>", "<noscript><p>{}</p></noscript>", "<object data=x><p>{}</p></object>", "<template><p>{}</p></template>", "<div>{}</div>", "<audio src=x>{}</audio>", "<svg><text>{}</text></svg>"])
+            return odd.format(para(keep))
+        if kind < 0.1:
+            sides = [f"{word()[:2]}{r.randint(1, 99)}" for _ in range(2)]
+            if keep:
+                main.append("=".join(sides))
+            return pick(["<math><mi>{}</mi><mo>=</mo><mn>{}</mn></math>", "<div><math>{}={}</math></div>", "<p><math>{}={}</math></p>"]).format(*sides)
         if kind < 0.72:
             return f"<p>{para(keep)}" + pick(["</p>", "</p>", "</p>", ""])
         if kind < 0.8:
@@ -265,6 +292,8 @@ def labelled_page(r: random.Random) -> tuple[str, list[str]]:
 
     def notice() -> str:
         tag = pick(["div", "section", "div", "dialog"])
+        if r.random() < 0.15:
+            return f"<noscript>{pick(['', '<p>'])}{pick(['Please enable JavaScript ', 'Your browser ', ''])}{words(3, 12)}.</noscript>"
         return f"<{tag}{sure('cookie', 'cookie-notice', 'cookie-banner', 'consent', 'gdpr', 'notice', 'alert', 'popup', 'modal', 'paywall')}><p>{pick(['We use cookies ', ''])}{words(4, 30)}.</p><button>{word()}</button></{tag}>"
 
     def form() -> str:
@@ -322,7 +351,7 @@ def trained(pages: int = PAGES, seed: int = SEED) -> LinearChainCRF:
         if found:
             feats = [[*path_features(b.path), *text_features(b, k, len(found))] for k, b in enumerate(found)]
             rows.append((feature_rows(feats, 1 << 14), np.array(tags)))
-    return LinearChainCRF(2, 1 << 14).fit(rows, epochs=5)
+    return LinearChainCRF(2, 1 << 14).fit(rows, epochs=8)
 
 
 def query(pages: DataFrame, sample: int = PAGES) -> DataFrame:
