@@ -22,10 +22,17 @@ def on_path(spark: SparkSession) -> None:
         known["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known.get("PYTHONPATH")]))
 
 
+#: Bytes of files up to which a table of fewer files than cores is dealt to all cores.
+SMALL = 256 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The whole table ``name`` below ``sf_dir``, read by Spark."""
+    """The whole table ``name`` below ``sf_dir``, read by Spark. A small one in few files, which few tasks would read, is spread."""
     on_path(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores and df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= SMALL:
+        return df.repartition(cores)
+    return df
 
 
 def shared_dir(spark: SparkSession) -> str:

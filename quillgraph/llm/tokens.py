@@ -1,10 +1,10 @@
-"""Token counts: the pieces of each distinct pre-token are counted once and joined to per-document frequencies.
+"""Token counts: the pieces of each distinct pre-token are counted once and joined to per-document pre-token frequencies.
 
-Three steps. (1) Pre-token frequencies of all texts, summed per batch and then by Spark, give the vocabulary of
-the corpus; the tokenizer counts the pieces of each of its entries once, and the result is a written table.
-(2) Of that table the most frequent entries, at most DICTIONARY and so a number that doesn't grow with the data, go to
-every worker. (3) Each text's frequencies are looked up there; those of rarer pre-tokens are joined to the table by a
-shuffle, which so has no frequent keys. Sums per row follow. No ids are kept.
+Three steps. (1) From a bounded sample of rows come the pre-tokens that are frequent, at most DICTIONARY and so a number
+that doesn't grow with the data; their pieces are counted once and go to every worker. The sample only decides which join
+a pre-token takes. (2) Each text is cut once; its frequencies are joined to that dictionary on the spot, and those of other
+pre-tokens are written, a row for each text and pre-token. (3) Of these, each distinct one's pieces are counted once, and a
+shuffle joins them, which so has no frequent keys. Sums per row follow. No ids are kept.
 """
 
 from __future__ import annotations
@@ -22,9 +22,12 @@ from .common import byte_rows, settle, single_thread, slices
 
 FILE = "word_bpe_49k.json"
 OVER = 2048
-#: Entries of the table that every worker gets, and their largest length in bytes: at most 200,000 x 40 bytes.
-DICTIONARY = 200_000
-ENTRY_BYTES = 40
+#: Entries that every worker gets, and their largest length in bytes: at most 200,000 x 40 bytes; and as many longer ones of
+#: at most LONG_BYTES as are frequent, 2,000 x 4,096 bytes.
+DICTIONARY, ENTRY_BYTES = 200_000, 40
+LONG_ENTRIES, LONG_BYTES = 2_000, 4_096
+#: Rows of the sample from which they are taken, about.
+SAMPLE = 4_000
 #: Distinct pre-tokens after which a worker's running count is handed on.
 FLUSH = 400_000
 #: Below this lead byte all characters are under U+0240, where this pre-tokenization and the library's agree.
@@ -74,8 +77,8 @@ def default_path() -> str:
     return public_tokenizers.path(FILE)
 
 
-def vocabulary(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(token, freq, pieces): each distinct pre-token of the texts, how often it occurs and its tokens."""
+def frequencies(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(token, freq): each distinct pre-token of the texts, and how often it occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, seen = PreTokenizer(path or default_path()), Counter()
@@ -93,36 +96,39 @@ def vocabulary(docs: DataFrame, path: str | None = None) -> DataFrame:
         if seen:
             yield out()
 
+    return docs.select(F.col("text").cast("string")).mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("freq"))
+
+
+def with_pieces(vocab: DataFrame, path: str | None = None) -> DataFrame:
+    """(token, pieces) of distinct pre-tokens."""
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = PreTokenizer(path or default_path())
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cut.pieces(b.column(0).to_pylist()), pa.int64())], ["token", "freq", "pieces"])
+        for b in slices(batches, rows=10_000):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cut.pieces(b.column(0).to_pylist()), pa.int64())], ["token", "pieces"])
 
-    totals = docs.select(F.col("text").cast("string")).mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("freq"))
-    return totals.mapInArrow(encode, "token string, freq long, pieces long")
+    return vocab.select("token").mapInArrow(encode, "token string, pieces long")
 
 
-def most_frequent(vocab: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` short entries: all above a frequency, which a histogram of frequencies gives without a sort."""
-    short = vocab.where(F.octet_length("token") <= ENTRY_BYTES)
-    size = F.floor(F.log2("freq") * 16)
-    least, n = None, 0
-    for k, m in sorted(map(tuple, short.groupBy(size.alias("k")).agg(F.count("*").alias("m")).collect()), reverse=True):  # under 1024 rows
-        n += m
-        if n > most:
-            break
-        least = k
-    return short.where(size >= least) if least is not None else short.limit(0)
+def dictionary_of(docs: DataFrame, path: str | None = None, most: int = DICTIONARY, sample: int = SAMPLE) -> dict[str, int]:
+    """Pieces of the most frequent pre-tokens of a sample of rows; of bounded size."""
+    n = docs.count()
+    seen = settle(frequencies(docs.sample(min(1.0, sample / max(1, n)), seed=1), path).where("freq > 1"))
+    size = F.octet_length("token")
+    short = seen.where(size <= ENTRY_BYTES).orderBy(F.desc("freq"), "token").limit(most)
+    long = seen.where((size > ENTRY_BYTES) & (size <= LONG_BYTES)).orderBy(F.desc("freq"), "token").limit(min(most, LONG_ENTRIES))
+    chosen = short.unionByName(long).repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    return {r[0]: r[1] for r in with_pieces(chosen, path).collect()}
 
 
-def count_tokens(docs: DataFrame, path: str | None = None, over: int = OVER, dictionary: int = DICTIONARY) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str | None = None, over: int = OVER, dictionary: int = DICTIONARY, sample: int = SAMPLE) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of ``docs``.
 
     A null or empty text has no bytes and no tokens. Rows that repeat a doc_id, or have none, are counted each
     by itself. An empty table gives an empty result.
     """
-    vocab = settle(vocabulary(docs, path))
-    known = docs.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in most_frequent(vocab, dictionary).select("token", "pieces").collect()})
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known = docs.sparkSession.sparkContext.broadcast(dictionary_of(docs, path, dictionary, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, pieces = PreTokenizer(path or default_path()), known.value
@@ -136,19 +142,22 @@ def count_tokens(docs: DataFrame, path: str | None = None, over: int = OVER, dic
                         rest.append((t, k))
                     else:
                         total += p * k
-                # the row itself: a key that is no pre-token (none mixes \0 with letters) and so finds no entry
-                for t, k in [(f"\0r{r}", total), *rest]:
+                for t, k in [(None, total), *rest]:  # the row itself, with what is known
                     rid.append(r)
-                    token.append(t)
-                    n.append(k)
                     doc.append(d)
                     size.append(len(raw or b""))
+                    token.append(t)
+                    n.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(doc, pa.int64()), pa.array(size, pa.int64()), pa.array(token, pa.string()), pa.array(n, pa.int64())], ["rid", "doc_id", "n_bytes", "token", "n"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "rid long, doc_id long, n_bytes long, token string, n long")
-    rare = rows.join(vocab.select("token", "pieces"), "token", "left")
-    each = rare.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("n_tokens"))
-    return each.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit"))
+    # the number of a row is given once and written
+    rows = settle(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(run, "rid long, doc_id long, n_bytes long, token string, n long"))
+    rare = rows.where("token is not null").select("rid", "token", "n")
+    counted = settle(with_pieces(rare.select("token").distinct(), path))
+    more = rare.join(counted, "token").groupBy("rid").agg(F.sum(F.col("n") * F.col("pieces")).alias("more"))
+    each = rows.where("token is null").join(more, "rid", "left")
+    n_tokens = F.col("n") + F.coalesce("more", F.lit(0))
+    return each.select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > over).alias("over_limit"))
 
 
 query = count_tokens
