@@ -136,7 +136,7 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = ROWS,
     distinct = settle(known.select("lang", "h").distinct())
     sizes = distinct.groupBy("lang").agg(F.count("*").alias("n"))
     languages = sizes.count()
-    most = max(least, min(per_language, rows // max(1, languages)))
+    most = min(per_language, max(least, rows // max(1, languages)))
     # hashes are uniform: those below this share are about 1.5 times what is wanted, and are ranked
     draw = (F.col("h") / F.lit(2.0**64) + 0.5) < F.lit(1.5 * most + 50) / F.col("n")
     few = distinct.join(sizes, "lang").where(draw).select("lang", "h")

@@ -87,14 +87,3 @@ def test_near_duplicates_leave_one(docs):
     assert sum(r["doc_id"] is None for r in kept) == 2
 
 
-def test_rows_that_move_are_written_first(spark, docs):
-    """Row numbers hold for tables in which a shuffle would put rows elsewhere each time."""
-    from quillgraph.llm.common import steady
-
-    plain = docs(ODD)
-    assert steady(plain) is plain and steady(plain.where("doc_id > 3").select("doc_id", "text")) is not None
-    moved = plain.repartition(7)
-    assert steady(moved) is not moved
-    assert quality.query(moved).count() == len(ODD) and suffixdedup.query(moved).count() == len(ODD)
-    read = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    assert steady(read) is read

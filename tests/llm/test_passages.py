@@ -11,7 +11,7 @@ def test_blocks_cut_as_one(spark, docs):
     rows = [(1, "start " + " ".join(w[:25]) + " end"), (2, "a b c d e " + " ".join(w[:10]) + " f g h i j and more"), (3, " ".join(w[:20])), (4, " ".join(w[30:])), (5, None), (6, "")]
     df = docs(rows)
     block = 100
-    dealt = [{i for i, _ in b} for b in decontam.blocks(bench, block)]
+    dealt = [{i for i, _ in b} for b in decontam.blocks(bench, block_bytes=block)]
     assert sum(map(bool, dealt)) > 2
     for least in (1, 4):
         one, many = (sorted((r.doc_id, r.text, r.n_chars) for r in decontam.remove_passages(df, bench, least_words=least, block_bytes=b).collect()) for b in (decontam.BLOCK_BYTES, block))

@@ -3,9 +3,11 @@
 import collections
 
 import corpus_pipeline
-from quillgraph.llm import decontam, packing, secrets, simhash
+from quillgraph.llm import decontam, packing, secrets
 from quillgraph.llm.common import settle, table
 
+from .test_near_copies import kept
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -17,21 +19,14 @@ def test_stages_and_run(spark):
         seen.append(docs.collect())
         assert k == len(corpus_pipeline.STAGES) - 1 or docs.columns == columns
     quality, near, clean, masked, packed = seen
-    # near duplicates: the least doc_id of each component of what quality rules kept
-    fp = {r.doc_id: int(simhash.votes([r.text.encode()])[0]) for r in quality}
-    group = {i: i for i in fp}
-    for _ in fp:
-        new = {i: min(group[j] for j in fp if (fp[i] ^ fp[j]).bit_count() <= 2) for i in fp}
-        if new == group:
-            break
-        group = new
-    assert sorted(r.doc_id for r in near) == sorted(i for i in fp if group[i] == i)
-    windows = decontam.Windows([(r.item_id, (r.text or "").encode()) for r in table(spark, SF, "benchmark").collect()])
+    # near duplicates: the least doc_id of each group of what quality rules kept
+    assert sorted(r.doc_id for r in near) == kept([(r.doc_id, r.text) for r in quality])
+    windows = decontam.Windows([(str(r.item_id), decontam.words((r.text or "").encode())) for r in table(spark, SF, "benchmark").collect()])
     before = {r.doc_id: r.text for r in near}
     assert all(not windows.scan(decontam.words(r.text.encode()))[0] for r in clean)
     assert all(r.text == before[r.doc_id] for r in clean if not windows.scan(decontam.words(before[r.doc_id].encode()))[0])
     assert {r.doc_id for r in masked} == {r.doc_id for r in clean}
-    model = secrets.trained()
+    model = secrets.Tokens(secrets.trained())
     assert not any(kind in ("access", "hex") for r in masked for *_, kind, _ in secrets.scan(model, r.text.encode())[1])
     encode, ids = packing.Encoder(), collections.defaultdict(list)
     for r in sorted(packed, key=lambda r: (r.doc_id, r.start)):
