@@ -232,7 +232,7 @@ def _pack_texts(block_bytes: int, unit_bytes: int):
 
         def out() -> pa.RecordBatch:
             raw = np.array([base, len(head)], dtype="<i8").tobytes() + np.array(head, dtype="<i8").tobytes() + b"".join(texts)
-            return _batch([("unit", pa.int64()), ("block", pa.int64()), ("size", pa.int64()), ("body", pa.binary())], ([unit], [block], [size], [zstandard.compress(raw, 3)]))
+            return _batch([("unit", pa.int64()), ("block", pa.int64()), ("size", pa.int64()), ("body", pa.binary())], ([unit], [block], [size], [zstandard.compress(raw, 6)]))
 
         for b in slices(batches):
             for doc, text in zip(b.column(0).to_pylist(), byte_rows(b.column(1)), strict=True):
@@ -353,14 +353,16 @@ _SEGMENTS = [("bucket", pa.int64()), ("unit", pa.int64()), ("body", pa.binary())
 
 
 def _pack_spans(spans: np.ndarray) -> bytes:
-    """Rows (row number, first byte, bytes)."""
-    return zstandard.compress(b"".join(_planes(spans[:, k], 5) for k in range(3)), 1)
+    """Rows (row number, first byte, bytes), sorted by row number, which is given as differences."""
+    spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
+    return zstandard.compress(b"".join(_planes(x, 5) for x in (np.diff(spans[:, 0], prepend=np.int64(0)), spans[:, 1], spans[:, 2])), 3)
 
 
 def _unpack_spans(body: bytes) -> np.ndarray:
     raw = zstandard.decompress(body)
     n = len(raw) // 15
-    return np.stack([_from_planes(raw[5 * n * k : 5 * n * (k + 1)], n, 5) for k in range(3)], axis=1)
+    row, first, size = (_from_planes(raw[5 * n * k : 5 * n * (k + 1)], n, 5) for k in range(3))
+    return np.stack([np.cumsum(row), first, size], axis=1)
 
 
 def _cut(length: int, gram: int, bits: int):
@@ -375,7 +377,9 @@ def _cut(length: int, gram: int, bits: int):
         out = []
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             some = order[a:b]
-            numbers = b"".join(_planes(x[some], w) for x, w in zip(columns, _WIDTHS, strict=True))
+            own = [x[some] for x in columns]
+            own[0] = np.diff(own[0], prepend=np.int64(0))
+            numbers = b"".join(_planes(x, w) for x, w in zip(own, _WIDTHS, strict=True))
             out.append((int(bucket[a]), None, zstandard.compress(len(some).to_bytes(8, "little") + numbers + b"".join([segments[i] for i in some.tolist()]), 3)))
         return _batch(_SEGMENTS, list(zip(*out, strict=True)) if out else [[], [], []])
 
@@ -422,7 +426,7 @@ def _cut(length: int, gram: int, bits: int):
     return run
 
 
-#: Bytes of a segment's numbers: name, unit, row number there, doc_id, first byte, windows.
+#: Bytes of a segment's numbers: name (as difference), unit, row number there, doc_id, first byte, windows.
 _WIDTHS = (NAME_BITS // 8, 8, 5, 8, 4, 4)
 
 
@@ -446,6 +450,7 @@ def _shards(length: int, shard_symbols: int):
             for c, w in zip(columns, _WIDTHS, strict=True):
                 c.append(_from_planes(raw[at : at + k * w], k, w))
                 at += k * w
+            columns[0][-1] = np.cumsum(columns[0][-1])
             texts.append(raw[at:])
         name, unit, row, doc, first, n = (np.concatenate(c) for c in columns)
         data, sizes = b"".join(texts), n + length - 1
