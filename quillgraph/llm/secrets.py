@@ -179,6 +179,13 @@ class Tagger:
         return self.model.weights[[get(x, 0) for x in features]].sum(axis=0)
 
 
+class Known(dict):
+    """Numbers by token; -1 for others."""
+
+    def __missing__(self, token: str) -> int:
+        return -1
+
+
 class Tokens:
     """Distinct tokens as numbers, with what their scores need: what ``feature_names`` adds up to, by tables."""
 
@@ -191,7 +198,7 @@ class Tokens:
         self.cleared()
 
     def cleared(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Known()
         self.chars = 0
         self.own_rows: dict[str, int] = {}
         self.near_rows: dict[tuple[str, ...], int] = {}
@@ -203,8 +210,7 @@ class Tokens:
     def numbers(self, tokens: list[str]) -> np.ndarray:
         if len(self.known) > KEPT or self.chars > KEPT_CHARS:
             self.cleared()
-        get = self.known.get
-        out = np.fromiter((get(t, -1) for t in tokens), dtype=np.int64, count=len(tokens))
+        out = np.fromiter(map(self.known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
         if len(new := np.flatnonzero(out < 0)):
             self._add(list(dict.fromkeys(tokens[i] for i in new.tolist())))
             out[new] = [self.known[tokens[i]] for i in new.tolist()]
