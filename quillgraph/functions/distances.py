@@ -80,4 +80,10 @@ def long_form(kind: str) -> Column:
         return 1 - F.coalesce(F.try_divide(F.sum(a * b), F.sqrt(F.sum(a * a)) * F.sqrt(F.sum(b * b))), F.lit(0.0))
     if kind == "euclidean":
         return F.sqrt(F.sum((a - b) * (a - b)))
-    raise ValueError(f"{kind} has no long form")
+    if kind == "hamming":
+        return F.count_if(a != b).cast("double")
+    if kind in ("kullback_leibler", "jensen_shannon"):  # of smoothed shares; a pair's keys are few
+        each = F.collect_list(F.struct(a.alias("a"), b.alias("b")))
+        p, q = (smoothed(F.transform(each, lambda x, c=c: x[c])) for c in ("a", "b"))
+        return distance(kind, p, q)
+    raise ValueError(f"{kind} is none of {', '.join(DISTANCES)}")

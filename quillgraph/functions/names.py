@@ -23,8 +23,8 @@ def spaced(names: Column) -> Column:
 
 
 def uses_comma_pairs(rows: DataFrame, column: str = "Authors", sample: int = 5) -> bool:
-    """Whether most of the first rows have initials after commas (ties: yes)."""
-    first = rows.where(F.col(column).isNotNull()).select(column).limit(sample)
+    """Whether most of the first rows, by their text, have initials after commas (ties: yes)."""
+    first = rows.where(F.col(column).isNotNull()).select(column).orderBy(column).limit(sample)
     paired = F.regexp_like(column, F.lit(r"^[^,]+,\s*(\p{L}\.?-?)+\.?(,|$)"))
     yes, n = first.agg(F.count_if(paired), F.count("*")).first()
     return 2 * yes >= n

@@ -5,21 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.kernel import cut
 from .columns import once
 
 #: Characters that part words; hyphens, ampersands, semicolons and slashes are kept in words.
 DELIMITERS = r"""[ "'():,.?]+"""
 #: Single letters that remain of possessives and the like; never keywords.
 NOISE = ("s", "r", "d")
-#: The default stop words. A full list is a parameter of every function: any list of words, such as ``read_terms`` gives.
-STOPWORDS = (
-    "a about above across after again against all almost along already also although always among an and another any are around as at "
-    "be because been before being below between both but by can cannot could do done down during each either else even ever every "
-    "few for from further had has have he hence her here his how however if in into is it its itself last least less many may me might more "
-    "most much must my neither never next no nor not now of off often on once one only or other our out over own per same see several she should "
-    "since so some still such system than that the their them then there therefore these they this those through thus to together too toward "
-    "under until up upon us very was we were what when where whether which while who whole whose why will with within without would yet you your"
-).split()
+# fixed values: the default stop words, a published list of common English ones with "e" and "g". Any other list of words,
+# such as ``read_terms`` gives, is a parameter of every function.
+STOPWORDS = """
+    a about above across after afterwards again against all almost alone along already also although always am among
+    amongst amoungst amount an and another any anyhow anyone anything anyway anywhere are around as at
+    back be became because become becomes becoming been before beforehand behind being below beside besides between
+    beyond bill both bottom but by
+    call can cannot cant co con could couldnt cry
+    de describe detail do done down due during
+    e each eg eight either eleven else elsewhere empty enough etc even ever every everyone everything everywhere except
+    few fifteen fify fill find fire first five for former formerly forty found four from front full further
+    g get give go
+    had has hasnt have he hence her here hereafter hereby herein hereupon hers herself him himself his how however
+    hundred
+    ie if in inc indeed interest into is it its itself
+    keep
+    last latter latterly least less ltd
+    made many may me meanwhile might mill mine more moreover most mostly move much must my myself
+    name namely neither never nevertheless next nine no nobody none noone nor not nothing now nowhere
+    of off often on once one only onto or other others otherwise our ours ourselves out over own
+    part per perhaps please put
+    rather re
+    same see seem seemed seeming seems serious several she should show side since sincere six sixty so some somehow
+    someone something sometime sometimes somewhere still such system
+    take ten than that the their them themselves then thence there thereafter thereby therefore therein thereupon these
+    they thickv thin third this those though three through throughout thru thus to together too top toward towards
+    twelve twenty two
+    un under until up upon us
+    very via
+    was we well were what whatever when whence whenever where whereafter whereas whereby wherein whereupon wherever
+    whether which while whither who whoever whole whom whose why will with within without would
+    yet you your yours yourself yourselves
+""".split()
 
 
 def tokens(text: Column) -> Column:
@@ -29,20 +54,33 @@ def tokens(text: Column) -> Column:
 
 def phrases(words: Column, n: int, stopwords: list[str] | tuple[str, ...] = tuple(STOPWORDS)) -> Column:
     """Phrases of n adjacent words whose first and last word are no stop words; for n = 1 the words themselves."""
+    return once(_content(words, stopwords), lambda good: _phrases(words, good, n))
+
+
+def _content(words: Column, stopwords: list[str] | tuple[str, ...]) -> Column:
+    """For each word whether it is no stop word."""
+    return F.transform(words, lambda w: ~w.isin(*stopwords))
+
+
+def _phrases(words: Column, good: Column, n: int) -> Column:
     if n == 1:
-        return F.filter(words, lambda w: ~w.isin(*stopwords))
-    grams = F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.slice(words, i, n))).otherwise(F.array().cast("array<array<string>>"))
-    good = F.filter(grams, lambda g: ~F.get(g, F.lit(0)).isin(*stopwords) & ~F.get(g, F.lit(n - 1)).isin(*stopwords))
-    return F.transform(good, lambda g: F.array_join(g, " "))
+        return F.filter(words, lambda w, i: F.get(good, i))
+    starts = F.filter(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.get(good, i) & F.get(good, i + (n - 1)))
+    return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def terms(docs: DataFrame, column: str, stopwords=tuple(STOPWORDS), aliases: DataFrame | None = None, longest: int = 4) -> DataFrame:
-    """(doc_id, term): a row for each occurrence of a phrase of up to ``longest`` words in the text ``column``.
+def every_phrase(text: Column, stopwords: list[str] | tuple[str, ...] = tuple(STOPWORDS), longest: int = 4) -> Column:
+    """All phrases of up to ``longest`` words of a text, each as often as it occurs; words are cut and tested once."""
+    return once(tokens(text), lambda w: once(_content(w, stopwords), lambda good: F.flatten(F.array(*(_phrases(w, good, n) for n in range(1, longest + 1))))))
+
+
+def terms(docs: DataFrame, column: str, stopwords=tuple(STOPWORDS), aliases: DataFrame | None = None, longest: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, term) and the columns ``keep``: a row for each occurrence of a phrase of up to ``longest`` words in the text
+    ``column``.
 
     ``aliases`` (variant, canonical) replaces finished terms; phrases are made of the words as they stand.
     """
-    every = once(tokens(F.col(column)), lambda w: F.flatten(F.array(*(phrases(w, n, stopwords) for n in range(1, longest + 1)))))
-    out = docs.select("doc_id", F.explode(every).alias("term")).where(~F.col("term").isin(*NOISE))
+    out = docs.select("doc_id", *keep, F.explode(every_phrase(F.col(column), stopwords, longest)).alias("term")).where(~F.col("term").isin(*NOISE))
     return replace_aliases(out, "term", aliases)
 
 
@@ -60,12 +98,15 @@ def vocabulary(docs: DataFrame, title: str = "title", **how) -> DataFrame:
 
 
 def doc_terms(docs: DataFrame, title: str = "title", abstract: str | None = "abstract", **how) -> DataFrame:
-    """(doc_id, term, n_title, n_total): terms of titles and abstracts, of the vocabulary of titles only."""
-    found = terms(docs, title, **how).withColumn("t", F.lit(1))
-    if abstract:
-        found = found.unionByName(terms(docs, abstract, **how).withColumn("t", F.lit(0)))
-    found = found.join(vocabulary(docs, title, **how).select("term"), "term", "left_semi")
-    return found.groupBy("doc_id", "term").agg(F.sum("t").alias("n_title"), F.count("*").alias("n_total"))
+    """(doc_id, term, n_title, n_total): terms of titles and abstracts, of the vocabulary of titles only.
+
+    Texts are cut once. What is known by document and term is kept, and the vocabulary is those of its terms that some
+    title has.
+    """
+    parts = [F.struct(F.lit(1).alias("t"), F.col(title).alias("text"))] + ([F.struct(F.lit(0).alias("t"), F.col(abstract).alias("text"))] if abstract else [])
+    texts = docs.select("doc_id", F.inline(F.array(*parts)))
+    found = cut(terms(texts, "text", keep=("t",), **how).groupBy("doc_id", "term").agg(F.sum("t").alias("n_title"), F.count("*").alias("n_total")))
+    return found.join(found.where("n_title > 0").select("term").distinct(), "term", "left_semi").select("doc_id", "term", "n_title", "n_total")
 
 
 def keyword_years(found: DataFrame, years: DataFrame, last_year: int = 2020, cap: int = 10_000, report: DataFrame | None = None) -> DataFrame:
@@ -74,7 +115,7 @@ def keyword_years(found: DataFrame, years: DataFrame, last_year: int = 2020, cap
 
     ``found`` is what ``doc_terms`` gives, ``years`` has (doc_id, year).
     """
-    rows = found.join(years.select("doc_id", "year"), "doc_id")
+    rows = cut(found.join(years.select("doc_id", "year"), "doc_id").groupBy("term", "year", "doc_id").agg(F.sum("n_total").alias("n_total")))
     total = rows.groupBy("term").agg(F.countDistinct("doc_id").alias("docs_total"))
     if report is None:
         n = years.select("doc_id").distinct().count()

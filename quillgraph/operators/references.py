@@ -141,10 +141,17 @@ def resolve_prose(parsed: DataFrame, docs: DataFrame, overrides: DataFrame | Non
     d = docs.select(F.col("doc_id").alias("cited"), F.col("year").alias("cited_year"), F.col("first_author").alias("d_name"), F.col("volume").alias("d_volume"), F.col("bpage").alias("d_page"), F.col("epage").alias("d_page2"))
     known = full.join(d.select(F.col("d_name").alias("name")).where("name is not null").distinct(), "name", "left_semi")
     rest = full.join(d.select(F.col("d_name").alias("name")).where("name is not null").distinct(), "name", "left_anti")
-    same = lambda x, y: F.col(x).eqNullSafe(F.col(y)).cast("int")
-    score = same("year", "cited_year") + same("volume", "d_volume") + same("page", "d_page") + same("page2", "d_page2")
+    fields = [("year", "cited_year"), ("volume", "d_volume"), ("page", "d_page"), ("page2", "d_page2")]
     cols = ["citing", "ref_pos", "citing_year", "cited", "cited_year", "rule"]
-    a = known.join(d, F.col("name") == F.col("d_name")).where(score >= 3).withColumn("rule", F.lit("author")).select(*cols)
+    a = None
+    for left_out in fields:  # an equi-join for each three of the four
+        on = F.col("name") == F.col("d_name")
+        for x, y in fields:
+            if (x, y) != left_out:
+                on &= F.col(x).eqNullSafe(F.col(y))
+        hit = known.join(d, on).withColumn("rule", F.lit("author")).select(*cols)
+        a = hit if a is None else a.unionByName(hit)
+    a = a.distinct()
     b = rest.join(d, (F.col("year") == F.col("cited_year")) & (F.col("volume") == F.col("d_volume")) & (F.col("page") == F.col("d_page")) & F.col("page2").eqNullSafe(F.col("d_page2"))).withColumn("rule", F.lit("fields")).select(*cols)
     found = _first_hits(a.unionByName(b)).where(F.col("cited") != F.col("citing")).where("cited_year is null or citing_year is null or cited_year <= citing_year")
     if overrides is not None:

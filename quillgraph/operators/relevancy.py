@@ -122,4 +122,4 @@ def _pair_distance(pairs: DataFrame, features: DataFrame, kind: str) -> DataFram
     b = pairs.join(features.select(F.col("doc_id").alias("dst"), "key", F.col("cnt").alias("b")), "dst").select("src", "dst", "key", F.lit(0).alias("a"), "b")
     long = a.unionByName(b).groupBy("src", "dst", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     d = long.groupBy("src", "dst").agg(long_form(kind).alias("distance"))
-    return pairs.join(d, ["src", "dst"], "left").select("src", "dst", F.coalesce("distance", F.lit(0.0 if kind == "euclidean" else 1.0)).alias("distance"))
+    return pairs.join(d, ["src", "dst"], "left").select("src", "dst", F.coalesce("distance", F.lit(0.0 if kind in ("euclidean", "hamming", "kullback_leibler", "jensen_shannon") else 1.0)).alias("distance"))

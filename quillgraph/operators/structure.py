@@ -60,6 +60,18 @@ def assemble_families(documents: DataFrame) -> DataFrame:
     return documents.where("family_id is not null and cast(family_id as string) not in ('', '0')").select("family_id", "doc_id")
 
 
+def contract_case_families(edges: DataFrame, families: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``contract_families`` for case law: the representative is a family's last document (by position, then by doc_id), and its
+    alias is its own label and the others', last first, joined by ``&``. ``families`` has family_id, doc_id and, where there is
+    one, pos; ``documents`` has doc_id and alias."""
+    pos = F.col("pos") if "pos" in families.columns else F.lit(0)
+    members = families.select("family_id", "doc_id", pos.alias("pos")).join(documents.select("doc_id", "alias"), "doc_id", "left")
+    order = F.array_sort(F.collect_list(F.struct("pos", "doc_id", F.coalesce("alias", F.lit("")).alias("alias"))))
+    named = members.groupBy("family_id").agg(F.reverse(order).alias("x"))
+    named = named.select("family_id", F.get("x", F.lit(0))["doc_id"].alias("representative"), F.array_join(F.transform("x", lambda m: m["alias"]), "&").alias("label"))
+    return _contracted(edges, cut(members.join(named, "family_id").select("doc_id", "representative", F.col("label").alias("alias"))))
+
+
 def contract_families(edges: DataFrame, families: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges with each family as its representative, and (doc_id, representative, alias) of all members.
 
@@ -71,6 +83,11 @@ def contract_families(edges: DataFrame, families: DataFrame, documents: DataFram
     first = members.join(head, "family_id").where(F.coalesce("tc", F.lit(0)) == F.coalesce("most", F.lit(0))).groupBy("family_id").agg(F.min_by(F.struct("doc_id", "alias"), "doc_id").alias("r"))
     named = head.join(first, "family_id").select("family_id", F.col("r.doc_id").alias("representative"), F.concat(F.lit("FM"), F.col("family_id").cast("string"), F.lit("_"), F.col("n").cast("string"), F.lit("_"), F.coalesce("r.alias", F.lit(""))).alias("alias"))
     where = cut(members.join(named, "family_id").select("doc_id", "representative", named["alias"]))
+    return _contracted(edges, where)
+
+
+def _contracted(edges: DataFrame, where: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Arcs between representatives, and ``where`` (doc_id, representative, alias)."""
     to = where.select("doc_id", "representative")
     moved = edges.join(to.select(F.col("doc_id").alias("src"), F.col("representative").alias("s")), "src", "left").join(to.select(F.col("doc_id").alias("dst"), F.col("representative").alias("d")), "dst", "left")
     moved = moved.select(F.coalesce("s", "src").alias("src"), F.coalesce("d", "dst").alias("dst"), "weight").where("src <> dst")
@@ -101,14 +118,16 @@ def dissimilarity(edges: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").select(*edges.columns, value.alias("dissim"))
 
 
-def _cliques(around: dict[object, set], start: set) -> Iterator[frozenset]:
-    """Maximal cliques, by Bron and Kerbosch with a pivot, without recursion."""
-    stack = [(frozenset(), set(start), set())]
+def _cliques(around: dict[object, set], start: set, seen: set) -> Iterator[frozenset]:
+    """Maximal cliques among ``start`` that no node of ``seen`` extends, by Bron and Kerbosch with a pivot, without recursion."""
+    stack = [(frozenset(), set(start), set(seen))]
     while stack:
         r, p, x = stack.pop()
         if not p and not x:
             yield r
             continue
+        if not p:
+            continue
         pivot = max(p | x, key=lambda v: len(around[v] & p))
         for v in sorted(p - around[pivot], key=repr):
             stack.append((r | {v}, p & around[v], x & around[v]))
@@ -117,28 +136,37 @@ def _cliques(around: dict[object, set], start: set) -> Iterator[frozenset]:
 
 
 def maximal_cliques(edges: DataFrame, least: int = 3) -> DataFrame:
-    """(nodes, size): each maximal clique of at least ``least`` nodes once, directions aside.
+    """(nodes, size): each maximal clique of at least ``least`` (2 or more) nodes once, directions aside.
 
-    A clique is found in the neighbourhood of its least node; a task holds one neighbourhood and the links in it.
-    Links are directed to the larger node, so that hubs with small names cost no more than others.
+    Nodes are ordered by degree and then by name, and a clique is found from its first node: among that one's later
+    neighbours, of which a node has at most the root of twice the links, however many it has in all; its earlier neighbours
+    only tell which cliques aren't maximal. All that a task needs are triangles, formed once, from their first node.
     """
-    links = cut(undirected(edges))
-    up = links.where("a < b")
-    # wedges of a node and two neighbours, at least one of them larger, that are linked: its neighbourhood's links
-    ego = links.select(F.col("a").alias("ego"), F.col("b").alias("n"))
-    inside = ego.join(up.select(F.col("a").alias("n"), F.col("b").alias("m")), "n").join(ego.select("ego", F.col("n").alias("m")), ["ego", "m"], "left_semi").select("ego", "n", "m")
-    alone = ego.select("ego", "n", F.lit(None).cast(dict(links.dtypes)["b"]).alias("m"))
-    kind = dict(links.dtypes)["a"]
-
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        me = rows["ego"].iloc[0]
+    links = undirected(edges)
+    degree = links.groupBy("a").agg(F.count("*").alias("d"))
+    both = links.join(degree.withColumnRenamed("d", "da"), "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("db")), "b")
+    up = cut(both.where(F.struct("da", "a") < F.struct(F.col("db").alias("da"), F.col("b").alias("a"))).select("a", "b", "db"))
+    one = up.select("a", F.col("b").alias("v"), F.col("db").alias("dv"))
+    two = up.select("a", F.col("b").alias("w"), F.col("db").alias("dw"))
+    wedge = one.join(two, "a").where(F.struct("dv", "v") < F.struct(F.col("dw").alias("dv"), F.col("w").alias("v")))
+    triangle = cut(wedge.join(up.select(F.col("a").alias("v"), F.col("b").alias("w")), ["v", "w"], "left_semi").select("a", "v", "w"))
+    rows = triangle.select(F.col("a").alias("ego"), F.lit(False).alias("earlier"), F.col("v").alias("n"), F.col("w").alias("m"))
+    rows = rows.unionByName(triangle.select(F.col("v").alias("ego"), F.lit(True).alias("earlier"), F.col("a").alias("n"), F.col("w").alias("m")))
+    kind = dict(up.dtypes)["a"]
+    rows = rows.unionByName(up.select(F.col("a").alias("ego"), F.lit(False).alias("earlier"), F.col("b").alias("n"), F.lit(None).cast(kind).alias("m")))
+
+    def search(part: pd.DataFrame) -> pd.DataFrame:
+        me = part["ego"].iloc[0]
         around: dict = {}
-        for n, m in zip(rows["n"], rows["m"], strict=True):
+        later, before = set(), set()
+        for earlier, n, m in zip(part["earlier"], part["n"], part["m"], strict=True):
             around.setdefault(n, set())
+            (before if earlier else later).add(n)
             if pd.notna(m):
-                around[n].add(m)
                 around.setdefault(m, set()).add(n)
-        found = [sorted([me, *c]) for c in _cliques(around, set(around)) if len(c) + 1 >= least and me < min(c)]
+                around[n].add(m)
+                later.add(m)
+        found = [sorted([me, *c]) for c in _cliques(around, later, before) if c and len(c) + 1 >= least]
         return pd.DataFrame({"nodes": pd.Series(found, dtype=object), "size": pd.Series([len(c) for c in found], dtype="int32")})
 
-    return inside.unionByName(alone).groupBy("ego").applyInPandas(search, f"nodes array<{kind}>, size int")
+    return rows.groupBy("ego").applyInPandas(search, f"nodes array<{kind}>, size int")

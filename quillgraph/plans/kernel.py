@@ -12,10 +12,14 @@ MAX_STEPS = 100_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """``df``, computed once and kept in ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary folder;
+    on a cluster there is none that executors could read, and this raises."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgraph-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="quillgraph-"))
     return df.checkpoint()
 
 

@@ -101,6 +101,22 @@ def read_clans(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.lower(F.trim(F.get(f, F.lit(0)))).alias("kind"), F.get(f, F.lit(1)).cast("double").alias("weight"), F.lower(F.trim(F.get(f, F.lit(2)))).alias("pattern"))
 
 
+def resolve_clans(clans: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
+    """``clans`` with each pattern ``@NAME`` replaced by the terms of the list NAME (case aside), all of its kind and weight.
+
+    ``lists`` has frames with a column ``term``, such as ``read_terms`` gives. A name that isn't among them raises.
+    """
+    named = clans.where(F.col("pattern").startswith("@"))
+    known = {name.lower(): terms for name, terms in lists.items()}
+    if missing := sorted({r[0][1:] for r in named.select("pattern").distinct().collect()} - set(known)):  # a setting's lines
+        raise ValueError(f"no lists named {', '.join(missing)}")
+    out = clans.where(~F.col("pattern").startswith("@"))
+    for name, terms in known.items():
+        own = named.where(F.col("pattern") == f"@{name}").select("kind", "weight", "pattern")
+        out = out.unionByName(own.join(terms.select(F.lit(f"@{name}").alias("pattern"), F.lower("term").alias("term")), "pattern").select("kind", "weight", F.col("term").alias("pattern")))
+    return out
+
+
 def clan_weights(members: DataFrame, clans: DataFrame) -> DataFrame:
     """(doc_id, weight): the largest weight of a document's hits; ``members`` has (doc_id, kind, value)."""
     hit = members.select("doc_id", F.lower("kind").alias("kind"), F.lower("value").alias("value")).join(clans, "kind").where("value = pattern or (kind = 'author' and startswith(value, pattern))")
