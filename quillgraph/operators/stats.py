@@ -38,15 +38,39 @@ def largest_components(sizes: DataFrame, top: int = 10) -> DataFrame:
     return sizes.orderBy(F.desc("size"), "component").limit(top)
 
 
-def top_links(weighted: DataFrame, top: int = 5000) -> DataFrame:
-    """The ``top`` arcs by spx."""
-    return weighted.orderBy(F.desc("spx"), "src", "dst").limit(top)
+def top_links(weighted: DataFrame, top: int = 5000, inflow: DataFrame | None = None, outflow: DataFrame | None = None) -> DataFrame:
+    """The ``top`` arcs by spx, with relevancy where there is such a column, and inflow and outflow where they are given.
+
+    ``inflow`` and ``outflow`` have (node, flow): what comes to an arc's source and goes on from its target, by the weight's
+    kind, for instance pb and pf for SPC. They meet the chosen arcs only.
+    """
+    out = weighted.orderBy(F.desc("spx"), "src", "dst").limit(top)
+    for name, flows, end in (("inflow", inflow, "src"), ("outflow", outflow, "dst")):
+        if flows is not None:
+            out = out.join(flows.select(F.col("node").alias(end), F.col("flow").alias(name)), end, "left")
+    return out.select(*weighted.columns, *(n for n, f in (("inflow", inflow), ("outflow", outflow)) if f is not None))
 
 
-def article_table(docs: DataFrame, kinds: DataFrame, totals: DataFrame) -> DataFrame:
-    """Documents with degrees and traversal weights; those outside the network have zeros."""
+def places_of(members: DataFrame, key: str = "doc_id", areas: DataFrame | None = None) -> DataFrame:
+    """(key, country, countries, area) of (key, pos, country) rows: the most frequent country (ties: the last listed), all of
+    them by name, and the area of the first by ``areas`` (country, area)."""
+    from ..functions.names import main_country
+
+    rows = members.select(F.col(key).alias("name"), "pos", "country")
+    out = main_country(rows).select("name", "country").join(rows.groupBy("name").agg(F.array_sort(F.collect_set("country")).alias("countries")), "name")
+    if areas is not None:
+        out = out.join(areas.select("country", "area"), "country", "left")
+    else:
+        out = out.withColumn("area", F.lit(None).cast("string"))
+    return out.select(F.col("name").alias(key), "country", "countries", "area")
+
+
+def article_table(docs: DataFrame, kinds: DataFrame, totals: DataFrame, places: DataFrame | None = None, areas: DataFrame | None = None) -> DataFrame:
+    """Documents with degrees and traversal weights; those outside the network have zeros. With ``places`` (doc_id, pos,
+    country) country, countries and area too."""
     out = docs.join(kinds.select(F.col("node").alias("doc_id"), "in_deg", "out_deg"), "doc_id", "left").join(totals.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.na.fill(0, ["in_deg", "out_deg"]).na.fill(0.0, ["total_in", "total_out", "node_spx"])
+    out = out.na.fill(0, ["in_deg", "out_deg"]).na.fill(0.0, ["total_in", "total_out", "node_spx"])
+    return out if places is None else out.join(places_of(places, "doc_id", areas), "doc_id", "left")
 
 
 def indicator_matrix(docs: DataFrame, members: DataFrame, report: list[str], column: str = "term") -> DataFrame:
@@ -73,8 +97,9 @@ def citation_indices(members: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
-def author_table(doc_authors: DataFrame, docs: DataFrame, totals: DataFrame | None = None) -> DataFrame:
-    """First authors: n_papers, n_first, n_single, n_inter, first_year, last_year, total_cites, total_in, total_out.
+def author_table(doc_authors: DataFrame, docs: DataFrame, totals: DataFrame | None = None, places: DataFrame | None = None, areas: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """First authors: h, g, hm, n_papers, n_first, n_single, n_inter, first_year, last_year, total_cites, total_in, total_out;
+    with ``places`` (name, pos, country) country, countries and area, with ``groups`` group_id.
 
     ``docs`` has doc_id, year, times_cited, n_authors, n_countries.
     """
@@ -89,10 +114,16 @@ def author_table(doc_authors: DataFrame, docs: DataFrame, totals: DataFrame | No
     rows = doc_authors.select("doc_id", "name").distinct().join(first.select("name").distinct(), "name", "left_semi").join(facts, "doc_id")
     rows = rows.join(first.withColumn("is_first", F.lit(1)), ["doc_id", "name"], "left")
     mine = F.col("is_first").isNotNull()
-    return rows.groupBy("name").agg(
+    table = rows.groupBy("name").agg(
         F.count("*").alias("n_papers"), F.count("is_first").alias("n_first"), F.count_if(mine & (F.col("n_authors") == 1)).alias("n_single"), F.count_if(F.col("n_countries") > 1).alias("n_inter"),
         F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.sum("tc").alias("total_cites"), F.coalesce(F.sum("total_in"), F.lit(0.0)).alias("total_in"), F.coalesce(F.sum("total_out"), F.lit(0.0)).alias("total_out"),
     )
+    table = citation_indices(doc_authors, docs).join(table, "name")
+    if places is not None:
+        table = table.join(places_of(places, "name", areas), "name", "left")
+    if groups is not None:
+        table = table.join(groups.select("name", "group_id"), "name", "left")
+    return table
 
 
 def collaboration_counts(docs: DataFrame) -> DataFrame:
@@ -100,27 +131,67 @@ def collaboration_counts(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count_if(F.col("n_authors") == 1).alias("n_single"), F.count_if(F.col("n_countries") > 1).alias("n_international"))
 
 
-def assignee_table(doc_assignees: DataFrame, docs: DataFrame) -> DataFrame:
-    """(name, n_papers, n_collaborators, n_uni, n_industry, n_countries, mean_cites, max_cites, max_doc, min_cites, min_doc).
+def assignee_table(doc_assignees: DataFrame, docs: DataFrame, home: str = "US") -> DataFrame:
+    """(name, is_university, n_papers, n_uu, n_uui, n_ui, first_year, last_year, n_collaborators, n_uni, n_industry, n_countries,
+    n_areas, mean_cites, max_cites, max_doc, min_cites, min_doc, country, area).
 
-    ``doc_assignees`` has doc_id, name, country, is_university; collaborators share a document.
+    ``doc_assignees`` has doc_id, pos, name, country, is_university and, where there is one, area; collaborators share a
+    document. n_areas counts areas of collaborators in ``home``; country and area are VAGUE where the most frequent is tied.
     """
-    a = doc_assignees.select("doc_id", "name").distinct()
-    b = doc_assignees.select("doc_id", F.col("name").alias("other"), "country", "is_university").distinct()
-    near = a.join(b, "doc_id").where("name <> other").groupBy("name").agg(F.countDistinct("other").alias("n_collaborators"), F.countDistinct(F.when(F.col("is_university"), F.col("other"))).alias("n_uni"), F.countDistinct(F.when(~F.col("is_university"), F.col("other"))).alias("n_industry"), F.countDistinct("country").alias("n_countries"))
-    cites = a.join(docs.select("doc_id", F.coalesce("times_cited", F.lit(0)).alias("tc")), "doc_id").groupBy("name").agg(F.count("*").alias("n_papers"), F.avg("tc").alias("mean_cites"), F.max(F.struct("tc", (-F.col("doc_id")).alias("d"))).alias("hi"), F.min(F.struct("tc", "doc_id")).alias("lo"))
-    out = cites.join(near, "name", "left").na.fill(0, ["n_collaborators", "n_uni", "n_industry", "n_countries"])
-    return out.select("name", "n_papers", "n_collaborators", "n_uni", "n_industry", "n_countries", "mean_cites", F.col("hi.tc").alias("max_cites"), (-F.col("hi.d")).alias("max_doc"), F.col("lo.tc").alias("min_cites"), F.col("lo.doc_id").alias("min_doc"))
+    from ..functions.patents import collaboration
+
+    area = F.col("area") if "area" in doc_assignees.columns else F.lit(None).cast("string")
+    who = doc_assignees.select("doc_id", "pos", "name", "country", "is_university", area.alias("area"))
+    a = who.select("doc_id", "name").distinct()
+    b = who.select("doc_id", F.col("name").alias("other"), "country", "is_university", "area").distinct()
+    at_home = F.col("country") == home
+    near = a.join(b, "doc_id").where("name <> other").groupBy("name").agg(
+        F.countDistinct("other").alias("n_collaborators"), F.countDistinct(F.when(F.col("is_university"), F.col("other"))).alias("n_uni"), F.countDistinct(F.when(~F.col("is_university"), F.col("other"))).alias("n_industry"),
+        F.countDistinct("country").alias("n_countries"), F.countDistinct(F.when(at_home, F.col("area"))).alias("n_areas"),
+    )
+    kinds = collaboration(who.select("doc_id", "name", "is_university").distinct(), F.col("is_university"))
+    facts = docs.select("doc_id", "year", F.coalesce("times_cited", F.lit(0)).alias("tc")).join(kinds, "doc_id", "left")
+    cites = a.join(facts, "doc_id").groupBy("name").agg(
+        F.count("*").alias("n_papers"), *(F.count_if(F.col("kind") == k).alias(f"n_{k.lower()}") for k in ("UU", "UUI", "UI")), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.avg("tc").alias("mean_cites"),
+        F.max(F.struct("tc", (-F.col("doc_id")).alias("d"))).alias("hi"), F.min(F.struct("tc", "doc_id")).alias("lo"),
+    )
+    place = _clear(who.select("name", "pos", "country"), "country").join(_clear(who.where("area is not null").select("name", "pos", F.col("area").alias("country")), "area"), "name", "left")
+    kind = who.groupBy("name").agg(F.max("is_university").alias("is_university"))
+    counts = ["n_collaborators", "n_uni", "n_industry", "n_countries", "n_areas"]
+    out = cites.join(near, "name", "left").na.fill(0, counts).join(kind, "name").join(place, "name", "left").withColumn("area", F.coalesce("area", F.lit("~")))
+    return out.select(
+        "name", "is_university", "n_papers", "n_uu", "n_uui", "n_ui", "first_year", "last_year", *counts, "mean_cites", F.col("hi.tc").alias("max_cites"), (-F.col("hi.d")).alias("max_doc"), F.col("lo.tc").alias("min_cites"), F.col("lo.doc_id").alias("min_doc"), "country", "area"
+    )
 
 
-def patent_table(docs: DataFrame, kinds: DataFrame, totals: DataFrame, doc_assignees: DataFrame, first: int = 5) -> DataFrame:
-    """(doc_id, in_deg, out_deg, total_in, total_out, assignees, country): the first five assignees, and the most
-    frequent country (ties: the last listed; ``~`` before it if it is tied)."""
+def _clear(rows: DataFrame, to: str) -> DataFrame:
+    """(name, ``to``): the most frequent ``country`` of (name, pos, country) rows, or VAGUE if several are."""
     from ..functions.names import main_country
 
-    who = doc_assignees.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "name"))), 1, first).getField("name").alias("assignees"))
-    place = main_country(doc_assignees.select(F.col("doc_id").alias("name"), "pos", "country")).select(F.col("name").alias("doc_id"), F.when(F.col("n_tied") > 1, F.concat(F.lit("~"), "country")).otherwise(F.col("country")).alias("country"))
-    return article_table(docs.select("doc_id"), kinds, totals).drop("node_spx").join(who, "doc_id", "left").join(place, "doc_id", "left")
+    return main_country(rows).select("name", F.when(F.col("n_tied") > 1, "VAGUE").otherwise(F.col("country")).alias(to))
+
+
+def patent_table(docs: DataFrame, kinds: DataFrame, totals: DataFrame, doc_assignees: DataFrame, first: int = 5, industries: DataFrame | None = None) -> DataFrame:
+    """(doc_id, in_deg, out_deg, total_in, total_out, node_spx, n_assignees, collaboration, assignees, n_countries, country,
+    n_areas, area) and, with ``industries`` (doc_id, isic, percent, rank), the ``first`` of these as industries.
+
+    assignees are the first ``first`` of them, collaboration is UU, UI, UUI or null; country and area are the most
+    frequent ones, VAGUE if several are, and ``~`` where there is no area.
+    """
+    from ..functions.patents import collaboration
+
+    area = F.col("area") if "area" in doc_assignees.columns else F.lit(None).cast("string")
+    rows = doc_assignees.select("doc_id", "pos", "name", "country", "is_university", area.alias("area"))
+    who = rows.groupBy("doc_id").agg(F.countDistinct("name").alias("n_assignees"), F.slice(F.array_sort(F.collect_list(F.struct("pos", "name"))), 1, first).getField("name").alias("assignees"), F.countDistinct("country").alias("n_countries"), F.countDistinct("area").alias("n_areas"))
+    named = rows.select(F.col("doc_id").alias("name"), "pos", "country", "area")
+    place = _clear(named.select("name", "pos", "country"), "country").join(_clear(named.where("area is not null").select("name", "pos", F.col("area").alias("country")), "area"), "name", "left").withColumnRenamed("name", "doc_id")
+    kind = collaboration(rows.select("doc_id", "name", "is_university").distinct(), F.col("is_university")).withColumnRenamed("kind", "collaboration")
+    out = article_table(docs.select("doc_id"), kinds, totals).join(who, "doc_id", "left").join(kind, "doc_id", "left").join(place, "doc_id", "left")
+    out = out.na.fill(0, ["n_assignees", "n_countries", "n_areas"]).withColumn("area", F.coalesce("area", F.lit("~")))
+    if industries is not None:
+        top = industries.where(F.col("rank") <= first).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "isic", "percent"))).alias("industries"))
+        out = out.join(top.select("doc_id", F.transform("industries", lambda x: F.struct(x["isic"].alias("isic"), x["percent"].alias("percent"))).alias("industries")), "doc_id", "left")
+    return out
 
 
 def spx_by_year(weighted: DataFrame, years: DataFrame) -> DataFrame:
@@ -216,15 +287,26 @@ def centralisation_against_random(links: DataFrame, groups: DataFrame, draws: in
                     expected.append(0.0)
                     continue
                 r, total = np.random.default_rng([seed, n, m]), 0.0
-                for at in range(0, draws, 256):
-                    k = min(256, draws - at)
+                pairs = n * (n - 1) // 2
+                if pairs <= min(m, 1_000_000):  # how often each pair is drawn is multinomial
+                    ends = np.triu_indices(n, 1)
+                    step = max(1, min(256, 4_000_000 // pairs))
+                else:
+                    step = 256
+                for at in range(0, draws, step):
+                    k = min(step, draws - at)
                     degree = np.zeros((k, n), dtype=np.int64)
-                    for part in range(0, m, 4096):
-                        w = min(4096, m - part)
-                        a = r.integers(0, n, size=(k, w))
-                        b = (a + r.integers(1, n, size=(k, w))) % n
+                    if pairs <= min(m, 1_000_000):
+                        drawn = r.multinomial(m, np.full(pairs, 1 / pairs), size=k)
                         for i in range(k):
-                            degree[i] += np.bincount(a[i], minlength=n) + np.bincount(b[i], minlength=n)
+                            degree[i] = np.bincount(ends[0], drawn[i], n) + np.bincount(ends[1], drawn[i], n)
+                    else:
+                        for part in range(0, m, 4096):
+                            w = min(4096, m - part)
+                            a = r.integers(0, n, size=(k, w))
+                            b = (a + r.integers(1, n, size=(k, w))) % n
+                            for i in range(k):
+                                degree[i] += np.bincount(a[i], minlength=n) + np.bincount(b[i], minlength=n)
                     total += float((degree.max(axis=1) * n - degree.sum(axis=1)).sum())
                 expected.append(total / draws)
             out = pd.DataFrame({"group_id": pdf["group_id"], "n": pdf["n"], "observed": (pdf["n"] * pdf["top"] - pdf["all"]).astype(float), "expected": expected})
@@ -256,9 +338,10 @@ def write_report(sections: dict[str, DataFrame], path: str) -> None:
         rows.write.mode("overwrite").csv(f"{path}/{name}", header=True, sep="\t")
 
 
-def group_table(edges: DataFrame, members: DataFrame, groups: DataFrame, doc_paths: DataFrame, all_paths: float) -> DataFrame:
+def group_table(edges: DataFrame, members: DataFrame, groups: DataFrame, doc_paths: DataFrame, all_paths: float, links: DataFrame | None = None, least: int = 5) -> DataFrame:
     """(group_id, n_members, self_cites, in_cites, out_cites, group_paths, m_index): arcs by whether documents of one
-    group cite each other, are cited or cite others; m is the group's share of paths.
+    group cite each other, are cited or cite others; m is the group's share of paths. With ``links`` (a, b, weight), groups of
+    ``least`` scholars or more only, with what ``group_network`` and ``author_groups`` tell of them.
 
     ``members`` has (doc_id, name); ``doc_paths`` has (doc_id, paths), the paths that go through a document's arcs.
     """
@@ -272,4 +355,16 @@ def group_table(edges: DataFrame, members: DataFrame, groups: DataFrame, doc_pat
     paths = own.join(doc_paths, "doc_id").groupBy("group_id").agg(F.sum("paths").alias("group_paths"))
     n = groups.groupBy("group_id").agg(F.count("*").alias("n_members"))
     out = n.join(cites, "group_id", "left").join(paths, "group_id", "left").na.fill(0)
-    return out.withColumn("m_index", F.coalesce(F.try_divide("group_paths", F.lit(float(all_paths))), F.lit(0.0)))
+    out = out.withColumn("m_index", F.coalesce(F.try_divide("group_paths", F.lit(float(all_paths))), F.lit(0.0)))
+    return out if links is None else out.where(F.col("n_members") >= least).join(group_network(links, groups), "group_id")
+
+
+def group_network(links: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group_id, intra_weight, degree, weighted_degree, density, centralisation): a group's links within, and to how many other
+    groups and with what weight it is linked."""
+    from .networks import shrink
+
+    ends = shrink(links, groups).select(F.col("src").alias("a"), F.col("dst").alias("b"), "weight")
+    around = degree_centrality(ends).select(F.col("name").alias("group_id"), "degree", "weighted_degree", F.col("intra").cast("long").alias("intra_weight"))
+    inner = group_density(links, groups).select("group_id", "density").join(degree_centralisation(links, groups).select("group_id", "centralisation"), "group_id")
+    return inner.join(around, "group_id", "left").na.fill(0, ["degree", "weighted_degree", "intra_weight"]).select("group_id", "intra_weight", "degree", "weighted_degree", "density", "centralisation")

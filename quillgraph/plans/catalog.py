@@ -39,7 +39,7 @@ spc AS (SELECT src, dst, pb * pf AS spx FROM edges JOIN back b ON b.node = src J
 totals AS (SELECT node, sum(i) AS total_in, sum(o) AS total_out FROM (SELECT src AS node, 0 AS i, spx AS o FROM spc UNION ALL SELECT dst, spx, 0 FROM spc) GROUP BY node)"""
 )
 _PEOPLE = """members AS (SELECT l_orderkey AS doc_id, s_name AS name, min(l_linenumber) AS pos FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
-places AS (SELECT l_orderkey AS doc_id, n_name AS name, r_name AS country, n_nationkey % 2 = 0 AS is_university, min(l_linenumber) AS pos FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3, 4)"""
+places AS (SELECT l_orderkey AS doc_id, n_name AS name, r_name AS country, n_nationkey % 2 = 0 AS is_university, nullif(CAST(n_nationkey % 3 AS VARCHAR), '0') AS area, min(l_linenumber) AS pos FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3, 4, 5)"""
 _DOCS = f"{_EDGES}, {_PEOPLE}" + """,
 docs AS (SELECT yr.doc_id, yr.year, coalesce(c.tc, 0) AS times_cited, coalesce(m.n, 0) AS n_authors, coalesce(p.n, 0) AS n_countries FROM yr LEFT JOIN (SELECT src, count(*) AS tc FROM edges GROUP BY 1) c ON c.src = yr.doc_id LEFT JOIN (SELECT doc_id, count(DISTINCT supp) AS n FROM li GROUP BY 1) m ON m.doc_id = yr.doc_id LEFT JOIN (SELECT doc_id, count(DISTINCT name) AS n FROM places GROUP BY 1) p ON p.doc_id = yr.doc_id)"""
 _CODES = "codes AS (SELECT l.doc_id, p_brand || '/' || CAST(p_size AS VARCHAR) AS ipc FROM (SELECT DISTINCT l_partkey, l_orderkey AS doc_id FROM lineitem) l JOIN part ON l_partkey = p_partkey)"
@@ -49,14 +49,41 @@ _WORDS = """texts AS (SELECT doc_id, string_split(text, chr(10))[1] AS title, CA
 tok AS (SELECT doc_id, 1 AS t, list_filter(string_split_regex(lower(title), '[ "''():,.?]+'), lambda x: x <> '') AS w FROM texts UNION ALL SELECT doc_id, 0, list_filter(string_split_regex(lower(coalesce(abstract, '')), '[ "''():,.?]+'), lambda x: x <> '') FROM texts),
 grams AS (SELECT doc_id, t, n, list_slice(w, i, i + n - 1) AS g FROM (SELECT doc_id, t, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM tok, (SELECT unnest([1, 2, 3, 4]) AS n) WHERE len(w) >= n)),
 """ + f"""terms AS (SELECT doc_id, t, array_to_string(g, ' ') AS term FROM grams WHERE g[1] NOT IN ({_STOP}) AND g[-1] NOT IN ({_STOP}) AND array_to_string(g, ' ') NOT IN ('s', 'r', 'd'))"""
-_LABELS = """links AS (SELECT a.name AS a, b.name AS b, count(*) AS weight FROM members a JOIN members b ON a.doc_id = b.doc_id AND a.name < b.name GROUP BY 1, 2),
-bidi AS (SELECT a, b, weight FROM links UNION ALL SELECT b, a, weight FROM links),
-own AS (SELECT a, max(weight) AS weight FROM bidi GROUP BY 1), l0 AS (SELECT a AS name, a AS group_id FROM own)""" + "".join(
-    f""",
+_PAIRED = "SELECT a.name AS a, b.name AS b, count(*) AS weight FROM {m} a JOIN {m} b ON a.doc_id = b.doc_id AND a.name < b.name GROUP BY 1, 2"
+
+
+def _labels(pairs: str, rounds: int = 3) -> str:
+    """links, bidi and groups: label propagation over ``pairs`` (a, b, weight)."""
+    steps = "".join(
+        f""",
 v{k} AS (SELECT name, group_id, sum(weight) AS w FROM (SELECT x.a AS name, l.group_id, x.weight FROM bidi x JOIN l{k} l ON l.name = x.b UNION ALL SELECT l.name, l.group_id, o.weight FROM own o JOIN l{k} l ON l.name = o.a) GROUP BY 1, 2),
 l{k + 1} AS (SELECT v.name, min(v.group_id) AS group_id FROM v{k} v JOIN (SELECT name, max(w) AS w FROM v{k} GROUP BY 1) m ON m.name = v.name AND m.w = v.w GROUP BY 1)"""
-    for k in range(3)
-) + ", groups AS (SELECT * FROM l3)"
+        for k in range(rounds)
+    )
+    return f"""links AS ({pairs}),
+bidi AS (SELECT a, b, weight FROM links UNION ALL SELECT b, a, weight FROM links),
+own AS (SELECT a, max(weight) AS weight FROM bidi GROUP BY 1), l0 AS (SELECT a AS name, a AS group_id FROM own){steps}, groups AS (SELECT * FROM l{rounds})"""
+
+
+_LABELS = _labels(_PAIRED.format(m="members"))
+_APLACES = """aplaces AS (SELECT l_orderkey AS doc_id, s_name AS name, n_name AS country, min(l_linenumber) AS pos FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2, 3),
+ars AS (SELECT n_name AS country, r_name AS area FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+_GNET = """inside AS (SELECT x.group_id, a, b, weight FROM links JOIN groups x ON x.name = a JOIN groups y ON y.name = b AND y.group_id = x.group_id),
+gl AS (SELECT x.group_id AS g, y.group_id AS o, weight AS w FROM links JOIN groups x ON x.name = a JOIN groups y ON y.name = b),
+ga AS (SELECT g, count(DISTINCT o) FILTER (g <> o) AS degree, coalesce(sum(w) FILTER (g <> o), 0) AS weighted_degree, coalesce(sum(w) FILTER (g = o), 0) // 2 AS intra_weight FROM (SELECT g, o, w FROM gl UNION ALL SELECT o, g, w FROM gl) GROUP BY 1),
+gd AS (SELECT g.group_id, g.n, coalesce(2.0 * l.n / nullif(g.n * (g.n - 1), 0), 0) AS density FROM (SELECT group_id, count(*) AS n FROM groups GROUP BY 1) g LEFT JOIN (SELECT group_id, count(*) AS n FROM inside GROUP BY 1) l USING (group_id)),
+gc AS (SELECT group_id, coalesce(CAST(count(*) * max(deg) - sum(deg) AS DOUBLE) / nullif((count(*) - 1) * (count(*) - 2), 0), 0) AS centralisation FROM (SELECT g.group_id, g.name, count(i.a) AS deg FROM groups g LEFT JOIN inside i ON i.a = g.name OR i.b = g.name GROUP BY 1, 2) GROUP BY 1),
+gnet AS (SELECT gd.group_id, CAST(coalesce(intra_weight, 0) AS BIGINT) AS intra_weight, coalesce(degree, 0) AS degree, CAST(coalesce(weighted_degree, 0) AS BIGINT) AS weighted_degree, round(density, 6) AS density, round(centralisation, 6) AS centralisation FROM gd JOIN gc USING (group_id) LEFT JOIN ga ON g = gd.group_id)"""
+
+
+def _most(rows: str, key: str) -> str:
+    """(key, country): the most frequent country, ties to the last listed."""
+    return f"SELECT {key}, country FROM (SELECT {key}, country, count(*) AS n, max(pos) AS last FROM {rows} GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY n DESC, last DESC, country DESC) = 1"
+
+
+def _vague(rows: str, key: str, value: str) -> str:
+    """(key, value): the most frequent value, or VAGUE."""
+    return f"SELECT {key}, CASE WHEN count(*) > 1 THEN 'VAGUE' ELSE min({value}) END AS {value} FROM (SELECT {key}, {value}, n, max(n) OVER (PARTITION BY {key}) AS top FROM (SELECT {key}, {value}, count(*) AS n FROM {rows} WHERE {value} IS NOT NULL GROUP BY 1, 2)) WHERE n = top GROUP BY 1"
 
 
 def _sql(body: str, *parts: str) -> str:
@@ -106,21 +133,33 @@ def _(d):
     return graph.loop_report(d.chain_with_loops()).select(*_long("duplicate_links", "self_loops", "loops"))
 
 
-@query("g04_cyclic_core", _sql("SELECT src, dst FROM edges WHERE src = dst", _EDGES))
-def _(d):
-    """Empty: the layered network has no cycle."""
-    return graph.cyclic_core(d.edges())
+_ARCS = """f AS (SELECT doc_id, first(name ORDER BY pos, name) AS name FROM places GROUP BY 1),
+arc AS (SELECT src, dst FROM (SELECT f.name AS src, p.name AS dst, count(*) AS n FROM places p JOIN f USING (doc_id) WHERE p.name <> f.name GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) <= 2)"""
+_CORE = """reach AS (SELECT src AS a, dst AS b FROM arc UNION SELECT r.a, arc.dst FROM reach r JOIN arc ON arc.src = r.b), cyc AS (SELECT a AS node FROM reach WHERE a = b),
+after AS (SELECT node FROM cyc UNION SELECT b FROM reach WHERE a IN (SELECT node FROM cyc)), before AS (SELECT node FROM cyc UNION SELECT a FROM reach WHERE b IN (SELECT node FROM cyc))"""
+_ROUND = "ring AS (SELECT src AS first, dst AS here, [src] AS nodes FROM arc WHERE src <= dst UNION ALL SELECT c.first, a.dst, list_append(c.nodes, c.here) FROM ring c JOIN arc a ON a.src = c.here WHERE c.here <> c.first AND a.dst >= c.first AND (a.dst = c.first OR (NOT list_contains(c.nodes, a.dst) AND a.dst <> c.here)))"
 
 
-@query("g05_cycles")
-def _(d):
-    """All simple cycles of the network of nations that supply orders together: from each nation, as an order's first
-    name, an arc to the two that most often come with it (of equal ones the least names), so that the core is sparse."""
+def _nations(d: Domain) -> DataFrame:
+    """From each nation, as an order's first name, an arc to the two that most often come with it (of equal ones the least
+    names): a sparse network with cycles and with nations outside of them."""
     e = d.assignees()
     first = networks.first_names(e)
     arcs = e.select("doc_id", F.col("name").alias("dst")).join(first.withColumnRenamed("name", "src"), "doc_id").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
-    ranked = arcs.withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst")))
-    return graph.cycles(ranked.where("k <= 2").select("src", "dst")).select(F.array_join("nodes", ">").alias("nodes"), *_long("length"))
+    return arcs.withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst"))).where("k <= 2").select("src", "dst")
+
+
+@query("g04_cyclic_core", _sql("SELECT src, dst FROM arc WHERE src IN (SELECT node FROM after) AND dst IN (SELECT node FROM before) UNION ALL SELECT CAST(src AS VARCHAR), CAST(dst AS VARCHAR) FROM edges WHERE src = dst", _EDGES, _PEOPLE, _ARCS, _CORE))
+def _(d):
+    """The core of the network of nations, and that of the layered network, which has none."""
+    none = graph.cyclic_core(d.edges())
+    return graph.cyclic_core(_nations(d)).unionByName(none.select(*(F.col(c).cast("string").alias(c) for c in ("src", "dst"))))
+
+
+@query("g05_cycles", _sql("SELECT array_to_string(nodes, '>') AS nodes, len(nodes) AS length FROM ring WHERE here = first", _PEOPLE, _ARCS, _ROUND))
+def _(d):
+    """All simple cycles of the network of nations."""
+    return graph.cycles(_nations(d)).select(F.array_join("nodes", ">").alias("nodes"), *_long("length"))
 
 
 @query("g06_levels", _sql("SELECT node, CAST(max(p) AS BIGINT) AS level FROM fw GROUP BY node", _WALKS))
@@ -158,9 +197,12 @@ def _(d):
     return weights.effective_outflow(d.edges(), "SPAD", 0.5).select("node", *_long("eff_out"))
 
 
-@query("g16_overflow_check", _sql("SELECT src, dst FROM spc WHERE isnan(spx) OR isinf(spx)", _WALKS))
+@query("g16_overflow_check", _sql("SELECT src, dst FROM edges WHERE src % 7 = 0 OR src % 11 = 0", _EDGES))
 def _(d):
-    return weights.overflow_check(weights.spx(d.edges())).select("src", "dst")
+    """Weights of which some are made infinite and some no numbers; those that are fine stay out."""
+    w = weights.spx(d.edges())
+    odd = F.when(F.col("src") % 7 == 0, float("inf")).when(F.col("src") % 11 == 0, float("nan")).otherwise(F.col("spx"))
+    return weights.overflow_check(w.withColumn("spx", odd)).select("src", "dst")
 
 
 @query("g17_node_totals", _sql("SELECT node, CAST(total_in AS BIGINT) AS total_in, CAST(total_out AS BIGINT) AS total_out, (total_in + total_out) / 2 AS node_spx FROM totals", _WALKS))
@@ -187,6 +229,12 @@ def _(d):
     return structure.contract_families(e, d.families(), d.documents(e))[0].select("src", "dst", *_long("weight"))
 
 
+@query("g20_contract_case_families", _sql("SELECT doc_id, rep AS representative, alias FROM fam JOIN (SELECT family_id, max(doc_id) AS rep, string_agg(CAST(doc_id AS VARCHAR), '&' ORDER BY doc_id DESC) AS alias FROM fam GROUP BY 1) USING (family_id)", _EDGES, _FAM))
+def _(d):
+    e = d.edges()
+    return structure.contract_case_families(e, d.families(), d.documents(e))[1]
+
+
 @query("g21_families", _sql("SELECT doc_id, rep AS representative, 'FM' || family_id || '_' || n || '_' || rep AS alias FROM fam JOIN head USING (family_id)", _EDGES, _FAM))
 def _(d):
     e = d.edges()
@@ -275,7 +323,7 @@ def _(d):
     return structure.components(d.edges())
 
 
-@query("g28_cliques")
+@query("g28_cliques", _sql("SELECT array_to_string(c, ',') AS nodes, len(c) AS size FROM grow WHERE len(com) = 0 AND len(c) >= 3", _PEOPLE, f"pr AS ({_PAIRED.format(m='members')}), st AS (SELECT a, b FROM pr WHERE weight > 1.4 * (SELECT avg(weight) FROM pr))", "nb AS (SELECT a AS node, list(b) AS ns FROM (SELECT a, b FROM st UNION SELECT b, a FROM st) GROUP BY 1)", "grow AS (SELECT [node] AS c, list_filter(ns, lambda x: x > node) AS cand, ns AS com FROM nb UNION ALL SELECT list_append(c, v), list_filter(list_intersect(cand, ns), lambda x: x > v), list_intersect(com, ns) FROM (SELECT c, com, cand, unnest(cand) AS v FROM grow) JOIN nb ON node = v)"))
 def _(d):
     """Maximal cliques of suppliers that share clearly more orders than pairs do on average."""
     pairs = cut(networks.coauthors(d.authors()))
@@ -308,7 +356,20 @@ def _(d):
     return v.select("doc_id", distances.kullback_leibler(F.col("p"), F.col("q")).alias("kullback_leibler"), distances.jensen_shannon(F.col("p"), F.col("q")).alias("jensen_shannon")).select("doc_id", *_r("kullback_leibler", "jensen_shannon"))
 
 
-@query("r12_critical_transitions")
+def _shared(features: str) -> str:
+    return f"(SELECT p.src, p.dst, sum(least(x.cnt, y.cnt)) AS s FROM pr p JOIN ({features}) x ON x.doc_id = p.src JOIN ({features}) y ON y.doc_id = p.dst AND y.key = x.key GROUP BY 1, 2)"
+
+
+_NEAR = "(1 / (1 + coalesce({}.s, 0)::DOUBLE))"
+_TRIADS = f"""main AS (SELECT src FROM keyarc UNION SELECT src FROM top WHERE src IN (SELECT node FROM kon) UNION SELECT src FROM bot WHERE dst IN (SELECT node FROM kback)),
+strong AS (SELECT DISTINCT src, dst FROM spc WHERE spx >= (SELECT min(spx) FROM (SELECT spx FROM spc ORDER BY spx DESC LIMIT (SELECT count(*) // 2 + 1 FROM spc)))),
+tri AS (SELECT s.src AS a, s.dst AS node, t.dst AS c FROM strong s JOIN strong t ON t.src = s.dst WHERE s.dst IN (SELECT src FROM main)),
+pr AS (SELECT a AS src, c AS dst FROM tri UNION SELECT a, node FROM tri UNION SELECT node, c FROM tri),
+far AS (SELECT pr.src, pr.dst, 0.5::DOUBLE * {_NEAR.format('k')} + 0.25::DOUBLE * {_NEAR.format('i')} + 0.25::DOUBLE * {_NEAR.format('o')} AS d FROM pr LEFT JOIN {_shared('SELECT doc_id, term AS key, n_total AS cnt FROM keys')} k ON k.src = pr.src AND k.dst = pr.dst LEFT JOIN {_shared('SELECT dst AS doc_id, src AS key, 1 AS cnt FROM edges')} i ON i.src = pr.src AND i.dst = pr.dst LEFT JOIN {_shared('SELECT src AS doc_id, dst AS key, 1 AS cnt FROM edges')} o ON o.src = pr.src AND o.dst = pr.dst),
+ex AS (SELECT node, x.d - (y.d + z.d) AS e FROM tri JOIN far x ON x.src = a AND x.dst = c JOIN far y ON y.src = a AND y.dst = node JOIN far z ON z.src = node AND z.dst = c)"""
+
+
+@query("r12_critical_transitions", _sql("SELECT node, count(*) FILTER (e > 0) AS n_positive, count(*) AS n_triads, round(count(*) FILTER (e > 0) / count(*)::DOUBLE, 6) AS share, round(avg(e), 6) AS mean, round(min(e), 6) AS min, round(max(e), 6) AS max, round(stddev_pop(e), 6) AS std FROM ex GROUP BY 1", _WALKS, _GREEDY, _KEY, _KEYS, _TRIADS))
 def _(d):
     e = d.edges()
     w = cut(weights.spx(e))
@@ -382,15 +443,19 @@ def _(d):
     return stats.largest_components(structure.component_sizes(structure.components(d.edges())))
 
 
-@query("a05_top_links", _sql("SELECT src, dst, CAST(spx AS BIGINT) AS spx FROM spc ORDER BY spc.spx DESC, src, dst LIMIT 5000", _WALKS))
+@query("a05_top_links", _sql(f"SELECT t.src, t.dst, CAST(t.spx AS BIGINT) AS spx, round(coalesce(x.s, 0), 6) AS relevancy, CAST(pb AS BIGINT) AS inflow, CAST(pf AS BIGINT) AS outflow FROM (SELECT src, dst, spx FROM spc ORDER BY spc.spx DESC, src, dst LIMIT 5000) t JOIN back b ON b.node = t.src JOIN ahead a ON a.node = t.dst LEFT JOIN ({_jaccard_sql('fk')}) x ON x.src = t.src AND x.dst = t.dst", _WALKS, _FEATURES))
 def _(d):
-    return stats.top_links(weights.spx(d.edges())).select("src", "dst", *_long("spx"))
+    e = d.edges()
+    w = relevancy.edge_relevancy(cut(weights.spx(e)), "keyword", keywords=relevancy.keyword_features(d.keywords()))
+    out = stats.top_links(w, 5000, weights.backward(e).select("node", F.col("pb").alias("flow")), weights.forward(e).select("node", F.col("pf").alias("flow")))
+    return out.select("src", "dst", *_long("spx", "inflow", "outflow"), *_r("relevancy"))
 
 
-@query("a06_article_table", _sql("SELECT yr.doc_id, yr.year, coalesce(in_deg, 0) AS in_deg, coalesce(out_deg, 0) AS out_deg, coalesce(total_in + total_out, 0) / 2 AS node_spx FROM yr LEFT JOIN kinds k ON k.node = doc_id LEFT JOIN totals t ON t.node = doc_id", _WALKS))
+@query("a06_article_table", _sql(f"SELECT d.doc_id, d.year, d.times_cited, d.n_authors, coalesce(in_deg, 0) AS in_deg, coalesce(out_deg, 0) AS out_deg, coalesce(total_in + total_out, 0) / 2 AS node_spx, m.country, area, countries FROM docs d LEFT JOIN kinds k ON k.node = d.doc_id LEFT JOIN totals t ON t.node = d.doc_id LEFT JOIN ({_most('aplaces', 'doc_id')}) m ON m.doc_id = d.doc_id LEFT JOIN ars ON ars.country = m.country LEFT JOIN (SELECT doc_id, string_agg(DISTINCT country, ',' ORDER BY country) AS countries FROM aplaces GROUP BY 1) c ON c.doc_id = d.doc_id", _WALKS, _DOCS.replace(_EDGES + ", ", ""), _APLACES))
 def _(d):
     e = d.edges()
-    return stats.article_table(d.years(), graph.degrees(e), graph.node_totals(weights.spx(e))).select("doc_id", "year", "in_deg", "out_deg", "node_spx")
+    out = stats.article_table(d.documents(e), graph.degrees(e), graph.node_totals(weights.spx(e)), d.author_places(), d.areas())
+    return out.select("doc_id", "year", *_long("times_cited"), "n_authors", "in_deg", "out_deg", "node_spx", "country", "area", F.array_join("countries", ",").alias("countries"))
 
 
 @query("a07_indicator_matrix", _sql("SELECT y.doc_id, CAST(bool_or(coalesce(term = 'small', false)) AS INT) AS small, CAST(bool_or(coalesce(term = 'ring', false)) AS INT) AS ring FROM yr y LEFT JOIN keys k ON k.doc_id = y.doc_id GROUP BY 1", _EDGES, _KEYS))
@@ -398,9 +463,13 @@ def _(d):
     return stats.indicator_matrix(d.years(), d.keywords(), ["small", "ring"])
 
 
-@query("a08_author_table", _sql("SELECT m.name, count(*) AS n_papers, count(f.name) AS n_first, count(*) FILTER (f.name IS NOT NULL AND n_authors = 1) AS n_single, count(*) FILTER (n_countries > 1) AS n_inter, min(year) AS first_year, max(year) AS last_year, CAST(sum(times_cited) AS BIGINT) AS total_cites FROM members m JOIN docs USING (doc_id) LEFT JOIN f ON f.doc_id = m.doc_id AND f.name = m.name WHERE m.name IN (SELECT name FROM f) GROUP BY 1", _DOCS, "f AS (SELECT doc_id, first(name ORDER BY pos, name) AS name FROM members GROUP BY 1)"))
+_INDICES = "SELECT name, CAST(coalesce(max(CASE WHEN tc >= r THEN r END), 0) AS BIGINT) AS h, CAST(coalesce(max(CASE WHEN c >= r * r THEN r END), 0) AS BIGINT) AS g, round(coalesce(max(CASE WHEN tc >= e - 1e-12 THEN e END), 0), 6) AS hm FROM (SELECT name, times_cited AS tc, row_number() OVER w AS r, sum(times_cited) OVER w AS c, sum(1.0::DOUBLE / n_authors) OVER w AS e FROM members JOIN docs USING (doc_id) WINDOW w AS (PARTITION BY name ORDER BY times_cited DESC, doc_id)) GROUP BY 1"
+
+
+@query("a08_author_table", _sql("SELECT m.name, any_value(x.h) AS h, any_value(x.g) AS g, any_value(x.hm) AS hm, any_value(pl.country) AS country, any_value(ars.area) AS area, count(*) AS n_papers, count(f.name) AS n_first, count(*) FILTER (f.name IS NOT NULL AND n_authors = 1) AS n_single, count(*) FILTER (n_countries > 1) AS n_inter, min(year) AS first_year, max(year) AS last_year, CAST(sum(times_cited) AS BIGINT) AS total_cites FROM members m JOIN docs USING (doc_id) LEFT JOIN f ON f.doc_id = m.doc_id AND f.name = m.name JOIN ix x ON x.name = m.name JOIN pl ON pl.name = m.name JOIN ars ON ars.country = pl.country WHERE m.name IN (SELECT name FROM f) GROUP BY 1", _DOCS, "f AS (SELECT doc_id, first(name ORDER BY pos, name) AS name FROM members GROUP BY 1)", f"ix AS ({_INDICES})", _APLACES, f"pl AS ({_most('aplaces', 'name')})"))
 def _(d):
-    return stats.author_table(d.authors(), d.documents(d.edges())).select("name", "n_papers", "n_first", "n_single", "n_inter", "first_year", "last_year", "total_cites")
+    out = stats.author_table(d.authors(), d.documents(d.edges()), places=d.author_places(), areas=d.areas())
+    return out.select("name", *_long("h", "g"), *_r("hm"), "country", "area", "n_papers", "n_first", "n_single", "n_inter", "first_year", "last_year", "total_cites")
 
 
 @query("a09_collaboration_counts", _sql("SELECT count(*) FILTER (n_authors = 1) AS n_single, count(*) FILTER (n_countries > 1) AS n_international FROM docs", _DOCS))
@@ -408,29 +477,35 @@ def _(d):
     return stats.collaboration_counts(d.documents(d.edges()))
 
 
-@query("a10_citation_indices", _sql("SELECT name, CAST(coalesce(max(CASE WHEN tc >= r THEN r END), 0) AS BIGINT) AS h, CAST(coalesce(max(CASE WHEN c >= r * r THEN r END), 0) AS BIGINT) AS g, round(coalesce(max(CASE WHEN tc >= e - 1e-12 THEN e END), 0), 6) AS hm FROM (SELECT name, times_cited AS tc, row_number() OVER w AS r, sum(times_cited) OVER w AS c, sum(1.0::DOUBLE / n_authors) OVER w AS e FROM members JOIN docs USING (doc_id) WINDOW w AS (PARTITION BY name ORDER BY times_cited DESC, doc_id)) GROUP BY 1", _DOCS))
+@query("a10_citation_indices", _sql(_INDICES, _DOCS))
 def _(d):
     return stats.citation_indices(d.authors(), d.documents(d.edges())).select("name", *_long("h", "g"), *_r("hm"))
 
 
-@query("a11_assignee_table", _sql("SELECT p.name, count(*) AS n_papers, coalesce(any_value(n.n_c), 0) AS n_collaborators, coalesce(any_value(n.n_u), 0) AS n_uni, coalesce(any_value(n.n_c), 0) - coalesce(any_value(n.n_u), 0) AS n_industry, round(avg(times_cited), 6) AS mean_cites, max(times_cited) AS max_cites, first(doc_id ORDER BY times_cited DESC, doc_id) AS max_doc, min(times_cited) AS min_cites, first(doc_id ORDER BY times_cited, doc_id) AS min_doc FROM places p JOIN docs USING (doc_id) LEFT JOIN (SELECT a.name, count(DISTINCT b.name) AS n_c, count(DISTINCT CASE WHEN b.is_university THEN b.name END) AS n_u FROM places a JOIN places b ON a.doc_id = b.doc_id AND a.name <> b.name GROUP BY 1) n ON n.name = p.name GROUP BY 1", _DOCS))
+_COL = "col AS (SELECT doc_id, CASE WHEN u >= 2 AND i = 0 THEN 'UU' WHEN u >= 2 THEN 'UUI' WHEN u = 1 AND i >= 1 THEN 'UI' END AS kind FROM (SELECT doc_id, count(*) FILTER (is_university) AS u, count(*) FILTER (NOT is_university) AS i FROM places GROUP BY 1))"
+
+
+@query("a11_assignee_table", _sql(f"SELECT p.name, bool_or(is_university) AS is_university, count(*) AS n_papers, count(*) FILTER (k.kind = 'UU') AS n_uu, count(*) FILTER (k.kind = 'UUI') AS n_uui, count(*) FILTER (k.kind = 'UI') AS n_ui, min(year) AS first_year, max(year) AS last_year, coalesce(any_value(n.n_c), 0) AS n_collaborators, coalesce(any_value(n.n_u), 0) AS n_uni, coalesce(any_value(n.n_c), 0) - coalesce(any_value(n.n_u), 0) AS n_industry, coalesce(any_value(n.n_k), 0) AS n_countries, coalesce(any_value(n.n_a), 0) AS n_areas, round(avg(times_cited), 6) AS mean_cites, max(times_cited) AS max_cites, first(doc_id ORDER BY times_cited DESC, doc_id) AS max_doc, min(times_cited) AS min_cites, first(doc_id ORDER BY times_cited, doc_id) AS min_doc, any_value(vc.country) AS country, coalesce(any_value(va.area), '~') AS area FROM places p JOIN docs USING (doc_id) JOIN col k USING (doc_id) LEFT JOIN (SELECT a.name, count(DISTINCT b.name) AS n_c, count(DISTINCT CASE WHEN b.is_university THEN b.name END) AS n_u, count(DISTINCT b.country) AS n_k, count(DISTINCT CASE WHEN b.country = 'AMERICA' THEN b.area END) AS n_a FROM places a JOIN places b ON a.doc_id = b.doc_id AND a.name <> b.name GROUP BY 1) n ON n.name = p.name LEFT JOIN ({_vague('places', 'name', 'country')}) vc ON vc.name = p.name LEFT JOIN ({_vague('places', 'name', 'area')}) va ON va.name = p.name GROUP BY 1", _DOCS, _COL))
 def _(d):
-    return stats.assignee_table(d.assignees(), d.documents(d.edges())).select("name", "n_papers", "n_collaborators", "n_uni", "n_industry", *_r("mean_cites"), *_long("max_cites"), "max_doc", *_long("min_cites"), "min_doc")
+    out = stats.assignee_table(d.assignees(), d.documents(d.edges()), "AMERICA")
+    return out.select("name", "is_university", "n_papers", "n_uu", "n_uui", "n_ui", "first_year", "last_year", "n_collaborators", "n_uni", "n_industry", "n_countries", "n_areas", *_r("mean_cites"), *_long("max_cites"), "max_doc", *_long("min_cites"), "min_doc", "country", "area")
 
 
-@query("a12_group_table", _sql("SELECT g.group_id, count(DISTINCT g.name) AS n_members, coalesce(any_value(s), 0) AS self_cites, coalesce(any_value(i), 0) AS in_cites, coalesce(any_value(o), 0) AS out_cites FROM groups g LEFT JOIN (SELECT group_id, count(*) FILTER (ga IS NOT DISTINCT FROM gb) AS s, count(*) FILTER (ga IS DISTINCT FROM gb AND ga = group_id) AS i, count(*) FILTER (ga IS DISTINCT FROM gb AND gb = group_id) AS o FROM (SELECT DISTINCT x.src, x.dst, x.ga, x.gb, unnest([x.ga, x.gb]) AS group_id FROM (SELECT e.src, e.dst, a.group_id AS ga, b.group_id AS gb FROM edges e LEFT JOIN mem a ON a.doc_id = e.src LEFT JOIN mem b ON b.doc_id = e.dst) x) WHERE group_id IS NOT NULL GROUP BY 1) c USING (group_id) GROUP BY 1", _EDGES, _PEOPLE, _LABELS, "mem AS (SELECT DISTINCT doc_id, group_id FROM members JOIN groups USING (name))"))
+@query("a12_group_table", _sql("SELECT g.group_id, any_value(net.density) AS density, any_value(net.centralisation) AS centralisation, any_value(net.degree) AS degree, any_value(net.weighted_degree) AS weighted_degree, any_value(net.intra_weight) AS intra_weight, count(DISTINCT g.name) AS n_members, coalesce(any_value(s), 0) AS self_cites, coalesce(any_value(i), 0) AS in_cites, coalesce(any_value(o), 0) AS out_cites FROM groups g JOIN gnet net USING (group_id) LEFT JOIN (SELECT group_id, count(*) FILTER (ga IS NOT DISTINCT FROM gb) AS s, count(*) FILTER (ga IS DISTINCT FROM gb AND ga = group_id) AS i, count(*) FILTER (ga IS DISTINCT FROM gb AND gb = group_id) AS o FROM (SELECT DISTINCT x.src, x.dst, x.ga, x.gb, unnest([x.ga, x.gb]) AS group_id FROM (SELECT e.src, e.dst, a.group_id AS ga, b.group_id AS gb FROM edges e LEFT JOIN mem a ON a.doc_id = e.src LEFT JOIN mem b ON b.doc_id = e.dst) x) WHERE group_id IS NOT NULL GROUP BY 1) c USING (group_id) GROUP BY 1 HAVING count(DISTINCT g.name) >= 5", _EDGES, _PEOPLE, _LABELS, _GNET, "mem AS (SELECT DISTINCT doc_id, group_id FROM members JOIN groups USING (name))"))
 def _(d):
-    e = d.edges()
-    groups = clustering.label_propagation(networks.coauthors(d.authors()), 3)
+    e, links = d.edges(), cut(networks.coauthors(d.authors()))
+    groups = clustering.label_propagation(links, 3)
     through = weights.forward(e).select(F.col("node").alias("doc_id"), F.col("pf").alias("paths"))
-    return stats.group_table(e, d.authors(), groups, through, 1.0).select("group_id", "n_members", "self_cites", "in_cites", "out_cites")
+    out = stats.group_table(e, d.authors(), groups, through, 1.0, links)
+    return out.select("group_id", *_r("density", "centralisation"), *_long("degree", "weighted_degree", "intra_weight"), "n_members", "self_cites", "in_cites", "out_cites")
 
 
-@query("a13_patent_table", _sql("SELECT yr.doc_id, coalesce(in_deg, 0) AS in_deg, coalesce(out_deg, 0) AS out_deg, CAST(coalesce(total_out, 0) AS BIGINT) AS total_out, coalesce(a.assignees, '') AS assignees FROM yr LEFT JOIN kinds k ON k.node = doc_id LEFT JOIN totals t ON t.node = doc_id LEFT JOIN (SELECT doc_id, array_to_string(list(name ORDER BY pos, name)[1:5], ',') AS assignees FROM places GROUP BY 1) a ON a.doc_id = yr.doc_id", _WALKS, _PEOPLE))
+@query("a13_patent_table", _sql(f"SELECT yr.doc_id, coalesce(in_deg, 0) AS in_deg, coalesce(out_deg, 0) AS out_deg, CAST(coalesce(total_out, 0) AS BIGINT) AS total_out, coalesce(a.assignees, '') AS assignees, coalesce(a.n, 0) AS n_assignees, col.kind AS collaboration, coalesce(a.nc, 0) AS n_countries, vc.country, coalesce(a.na, 0) AS n_areas, coalesce(va.area, '~') AS area, isic FROM yr LEFT JOIN kinds k ON k.node = doc_id LEFT JOIN totals t ON t.node = doc_id LEFT JOIN (SELECT doc_id, array_to_string(list(name ORDER BY pos, name)[1:5], ',') AS assignees, count(*) AS n, count(DISTINCT country) AS nc, count(DISTINCT area) AS na FROM places GROUP BY 1) a ON a.doc_id = yr.doc_id LEFT JOIN col ON col.doc_id = yr.doc_id LEFT JOIN ({_vague('places', 'doc_id', 'country')}) vc ON vc.doc_id = yr.doc_id LEFT JOIN ({_vague('places', 'doc_id', 'area')}) va ON va.doc_id = yr.doc_id LEFT JOIN (SELECT doc_id, string_agg(isic, ',' ORDER BY r) AS isic FROM (SELECT doc_id, isic, row_number() OVER (PARTITION BY doc_id ORDER BY avg(percent) DESC, isic) AS r FROM codes JOIN (SELECT p_brand || '/' || CAST(p_size AS VARCHAR) AS ipc, p_type AS isic, CAST(p_size AS DOUBLE) AS percent FROM part) USING (ipc) GROUP BY 1, 2) WHERE r <= 5 GROUP BY 1) ii ON ii.doc_id = yr.doc_id", _WALKS, _PEOPLE, _COL, _CODES))
 def _(d):
     e = d.edges()
-    out = stats.patent_table(d.years(), graph.degrees(e), graph.node_totals(weights.spx(e)), d.assignees())
-    return out.select("doc_id", "in_deg", "out_deg", *_long("total_out"), F.coalesce(F.array_join("assignees", ","), F.lit("")).alias("assignees"))
+    out = stats.patent_table(d.years(), graph.degrees(e), graph.node_totals(weights.spx(e)), d.assignees(), industries=patents.industries(d.codes(), d.concordance()))
+    text_ = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
+    return out.select("doc_id", "in_deg", "out_deg", *_long("total_out"), text_("assignees").alias("assignees"), *_long("n_assignees"), "collaboration", *_long("n_countries"), "country", *_long("n_areas"), "area", F.array_join(F.transform("industries", lambda x: x["isic"]), ",").alias("isic"))
 
 
 @query("a14_spx_by_year", _sql("SELECT y.year, coalesce(n, 0) AS n_links, round(coalesce(m, 0), 6) AS mean_spx, round(CASE WHEN m > 0 THEN ln(m) ELSE 0 END, 6) AS ln_mean FROM (SELECT DISTINCT year FROM yr) y LEFT JOIN (SELECT year, count(*) AS n, avg(spx) AS m FROM spc JOIN yr ON doc_id = src GROUP BY 1) s USING (year)", _WALKS))
@@ -485,7 +560,7 @@ def _(d):
 @query("a22_centralisation_against_random")
 def _(d):
     links = networks.coassignees(d.assignees())
-    return stats.centralisation_against_random(links, clustering.label_propagation(links, 3), draws=500)
+    return stats.centralisation_against_random(links, clustering.label_propagation(links, 3))
 
 
 # ---------------------------------------------------------------- derived networks and groups
@@ -543,6 +618,18 @@ def _(d):
     return networks.cross_citations(d.edges(), d.assignees())
 
 
+@query("n05_first_assignee_citations", _sql("SELECT a.name AS src, b.name AS dst, count(*) AS weight FROM edges e JOIN f a ON a.doc_id = e.src JOIN f b ON b.doc_id = e.dst GROUP BY 1, 2", _EDGES, _PEOPLE, "f AS (SELECT doc_id, first(name ORDER BY pos, name) AS name FROM places GROUP BY 1)"))
+def _(d):
+    return networks.cross_citations(d.edges(), d.assignees(), first_only=True)
+
+
+@query("n05_assignee_partition", _sql("SELECT DISTINCT name, CASE WHEN country = 'AMERICA' AND is_university THEN 1 WHEN country = 'AMERICA' THEN 2 WHEN is_university THEN 3 ELSE 4 END AS partition FROM places WHERE doc_id IN (SELECT node FROM kinds)", _EDGES, _PEOPLE))
+def _(d):
+    """The partition of the names in the citation network."""
+    who = networks.in_network(d.assignees(), d.edges()).select("name", F.when(F.col("country") == "AMERICA", "US").otherwise(F.col("country")).alias("country"), "is_university").distinct()
+    return networks.assignee_partition(who)
+
+
 @query("n06_shrunk_network", _sql("SELECT least(x.group_id, y.group_id) AS src, greatest(x.group_id, y.group_id) AS dst, CAST(sum(weight) AS BIGINT) AS weight FROM links JOIN groups x ON x.name = a JOIN groups y ON y.name = b GROUP BY 1, 2", _PEOPLE, _LABELS))
 def _(d):
     links = networks.coauthors(d.authors())
@@ -598,19 +685,27 @@ def _(d):
     return clustering.document_clusters(groups, d.years())
 
 
-@query("c05_author_groups", _sql("SELECT group_id, any_value(n_members) AS n_members, count(DISTINCT doc_id) AS n_papers, min(year) AS first_year, max(year) AS last_year, round(any_value(mean_age), 6) AS mean_age FROM members JOIN groups USING (name) JOIN yr USING (doc_id) JOIN (SELECT group_id, count(*) AS n_members, avg(age) AS mean_age FROM (SELECT group_id, name, max(year) - min(year) + 10 AS age FROM members JOIN groups USING (name) JOIN yr USING (doc_id) GROUP BY 1, 2) GROUP BY 1) USING (group_id) GROUP BY 1", _EDGES, _PEOPLE, _LABELS))
+_GROUPED = "SELECT x.*, net.degree, net.weighted_degree, net.intra_weight, CASE WHEN n_members >= 5 THEN density END AS density, CASE WHEN n_members >= 5 THEN centralisation END AS centralisation FROM ({body}) x LEFT JOIN gnet net USING (group_id)"
+_AGES = "SELECT group_id, any_value(n_members) AS n_members, count(DISTINCT doc_id) AS n_papers, min(year) AS first_year, max(year) AS last_year, round(any_value(mean_age), 6) AS mean_age FROM members JOIN groups USING (name) JOIN yr USING (doc_id) JOIN (SELECT group_id, count(*) AS n_members, avg(age) AS mean_age FROM (SELECT group_id, name, max(year) - min(year) + 10 AS age FROM members JOIN groups USING (name) JOIN yr USING (doc_id) GROUP BY 1, 2) GROUP BY 1) USING (group_id) GROUP BY 1"
+
+
+def _grouped(d: Domain, links: DataFrame, members: DataFrame) -> DataFrame:
+    links = cut(links)
+    out = clustering.author_groups(clustering.label_propagation(links, 3), members, d.years(), links)
+    return out.select("group_id", "n_members", "n_papers", "first_year", "last_year", *_r("mean_age"), *_long("degree", "weighted_degree", "intra_weight"), *_r("density", "centralisation"))
+
+
+@query("c05_author_groups", _sql(_GROUPED.format(body=_AGES), _EDGES, _PEOPLE, _LABELS, _GNET))
 def _(d):
-    groups = clustering.label_propagation(networks.coauthors(d.authors()), 3)
-    return clustering.author_groups(groups, d.authors(), d.years()).select("group_id", "n_members", "n_papers", "first_year", "last_year", *_r("mean_age"))
+    return _grouped(d, networks.coauthors(d.authors()), d.authors())
 
 
-@query("c06_assignee_groups")
+@query("c06_assignee_groups", _sql(_GROUPED.format(body=_AGES.replace("members", "places").replace("n_places", "n_members")), _EDGES, _PEOPLE, _labels(_PAIRED.format(m="places")), _GNET))
 def _(d):
-    groups = clustering.label_propagation(networks.coassignees(d.assignees()), 3)
-    return clustering.author_groups(groups, d.assignees(), d.years()).select("group_id", "n_members", "n_papers", "first_year", "last_year", *_r("mean_age"))
+    return _grouped(d, networks.coassignees(d.assignees()), d.assignees())
 
 
-@query("c07_coword_clusters")
+@query("c07_coword_clusters", _sql("SELECT group_id, count(*) AS size, min(year) AS first_year, max(year) AS last_year FROM groups JOIN yr ON doc_id = name GROUP BY 1 HAVING count(*) >= 3 ORDER BY size DESC, group_id LIMIT 20", _EDGES, _CODES, _INNET, _labels("SELECT x.doc_id AS a, y.doc_id AS b, count(DISTINCT x.term) AS weight FROM net x JOIN net y ON x.term = y.term AND x.doc_id < y.doc_id GROUP BY 1, 2")))
 def _(d):
     e = d.edges()
     links = networks.coword_documents(networks.in_network(d.codes(), e).select("doc_id", F.col("ipc").alias("term")))
@@ -702,22 +797,24 @@ def _citing(d: Domain, tagged: bool) -> tuple[DataFrame, DataFrame]:
     docs = orders.join(first, "doc_id").select("doc_id", "year", "volume", "bpage", (F.col("bpage") + 9).alias("epage"), F.concat("n", F.lit(", jm")).alias("first_author"), F.concat(F.lit("10.1/"), F.col("doc_id").cast("string")).alias("doi"))
     c = e.join(docs.withColumnRenamed("doc_id", "src"), "src")
     name = F.upper(F.split_part("first_author", F.lit(","), F.lit(1)))
-    if tagged:
-        raw = F.format_string("%s JM, %d, J ORDERS, V%d, P%d", name, "year", "volume", "bpage")
-        raw = F.when(F.col("src") % 5 == 0, F.concat(raw, F.lit(", DOI "), F.col("doi"))).otherwise(raw)
+    if tagged:  # a rule for each remainder: doi; author and year with volume and page, volume, page or neither
+        say = lambda form, *c: F.format_string(form, name, "year", *c)
+        k = F.col("src") % 5
+        raw = F.when(k == 0, F.concat(say("%s JM, %d, J ORDERS, V%d, P%d", "volume", "bpage"), F.lit(", DOI "), F.col("doi"))).when(k == 1, say("%s JM, %d, J ORDERS, V%d, P%d", "volume", "bpage"))
+        raw = raw.when(k == 2, say("%s JM, %d, J ORDERS, V%d", "volume")).when(k == 3, say("%s JM, %d, J ORDERS, P%d", "bpage")).otherwise(say("%s JM, %d, J ORDERS"))
     else:
         raw = F.format_string("%s, J.M., On orders (%d) Journal of Orders, %d (2), pp. %d-%d", name, "year", "volume", "bpage", "epage")
     return c.groupBy(F.col("dst").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list(raw)), "; ").alias("refs")), docs
 
 
 _REFDOCS = "refdocs AS (SELECT o_orderkey AS doc_id, CAST(year(o_orderdate) AS INT) AS year, o_orderkey % 90 + 1 AS volume, o_custkey + 1 AS page, f.name FROM orders JOIN (SELECT doc_id, first(name ORDER BY pos, name) AS name FROM members GROUP BY 1) f ON f.doc_id = o_orderkey)"
-_TWIN = "(SELECT min(t.doc_id) FROM refdocs t WHERE t.name = r.name AND t.year = r.year AND t.volume = r.volume AND t.page = r.page)"
+_TWINS = "twins AS (SELECT r.doc_id, min(t.doc_id) AS twin FROM refdocs r JOIN refdocs t ON t.name = r.name AND t.year = r.year AND (r.doc_id % 5 IN (3, 4) OR t.volume = r.volume) AND (r.doc_id % 5 IN (2, 4) OR t.page = r.page) GROUP BY 1)"
 
 
-@query("j04_resolve_tagged", _sql(f"SELECT DISTINCT CASE WHEN src % 5 = 0 THEN src ELSE {_TWIN} END AS src, dst FROM edges e JOIN refdocs r ON r.doc_id = e.src", _EDGES, _PEOPLE, _REFDOCS))
+@query("j04_resolve_tagged", _sql("SELECT DISTINCT CASE WHEN src % 5 = 0 THEN src ELSE twin END AS src, dst, ['doi', 'nyvp', 'nyv', 'nyp', 'ny'][1 + src % 5] AS rule FROM edges e JOIN twins r ON r.doc_id = e.src", _EDGES, _PEOPLE, _REFDOCS, _TWINS))
 def _(d):
     refs, docs = _citing(d, True)
-    return references.resolve_tagged(references.parse_tagged(references.split_references(refs)), docs).select("src", "dst").distinct()
+    return references.resolve_tagged(references.parse_tagged(references.split_references(refs)), docs).select("src", "dst", "rule").distinct()
 
 
 @query("j05_parse_prose", _sql("SELECT e.dst AS doc_id, r.year, CAST(r.volume AS INT) AS volume, CAST(r.page AS INT) AS page, CAST(r.page + 9 AS INT) AS page2, 'journal' AS type FROM edges e JOIN refdocs r ON r.doc_id = e.src", _EDGES, _PEOPLE, _REFDOCS))
@@ -822,13 +919,65 @@ def _(d):
     return readers.read_concordance(d.spark, path).select("ipc", "isic", "percent")
 
 
-@query("s13_clans", _sql("SELECT doc_id, CAST(200 AS DOUBLE) AS weight FROM members WHERE starts_with(lower(name), 'supplier#000000001') GROUP BY 1", _PEOPLE))
+@query("s13_clans", _sql("SELECT doc_id, max(CASE WHEN starts_with(lower(name), 'supplier#000000001') THEN 200.0 ELSE 50.0 END)::DOUBLE AS weight FROM members WHERE starts_with(lower(name), 'supplier#000000001') OR lower(name) IN ('supplier#000000002', 'supplier#000000005') GROUP BY 1", _PEOPLE))
 def _(d):
-    """Documents by the weights of a clan list that is read from lines."""
-    path = _folder(d)
-    d.spark.createDataFrame([("*** CLAN ***",), ("Author\t200\tSupplier#000000001",)], "value string").coalesce(1).write.text(path)
+    """Documents by the weights of a clan list that is read from lines, one of which names another list."""
+    path, named = _folder(d), _folder(d)
+    d.spark.createDataFrame([("*** CLAN ***",), ("Author\t200\tSupplier#000000001",), ("Author\t50\t@Mine",)], "value string").coalesce(1).write.text(path)
+    d.spark.createDataFrame([("Supplier#000000002",), ("Supplier#000000005",)], "value string").coalesce(1).write.text(named)
     members = d.authors().select("doc_id", F.lit("Author").alias("kind"), F.col("name").alias("value"))
-    return readers.clan_weights(members, readers.read_clans(d.spark, path))
+    return readers.clan_weights(members, readers.resolve_clans(readers.read_clans(d.spark, path), {"mine": readers.read_terms(d.spark, named)}))
+
+
+@query("s07_s08_case_ids", _sql("SELECT src || '_U.S._1' AS cited, CASE WHEN dst IN (SELECT src FROM edges) THEN dst || '_U.S._1' ELSE dst || '_F.2d_2' END AS citing FROM edges", _EDGES))
+def _(d):
+    """Cases that have two ids and are cited by the second: arcs by first ids, where they are known."""
+    path, e = _folder(d), d.edges()
+    pad = " " * 24
+    said = F.array_join(F.array_sort(F.collect_list(F.format_string("YEL 1 Doe v. Moe, %d F.2d 2, (1999)\n\n", "dst"))), "")
+    body = F.concat(F.format_string(f"  (Cite as: %d U.S. 1, %d F.2d 2)\nRED FLAG\n{pad}Decided May 1, 1995.\n{pad}KEYCITE\na\nCiting References\n{pad}Positive Cases\n**** Examined\n\n", "src", "src"), F.col("said"))
+    files = e.groupBy("src").agg(said.alias("said")).select(F.col("src").cast("string").alias("file"), body.alias("value"))
+    files.repartition("file").write.partitionBy("file").option("lineSep", "\n").text(path)
+    return law.primary_ids(law.read_case_citations(d.spark, f"{path}/*/*"), law.read_cases(d.spark, f"{path}/*/*")).select("cited", "citing")
+
+
+@query("s09_encodings", "SELECT lower(p_brand) AS term, 'marked' AS kind FROM part GROUP BY 1 UNION ALL SELECT lower(p_type) || ' é', 'wide' FROM part GROUP BY 1")
+def _(d):
+    """Lists with a byte-order mark, and in UTF-16."""
+    a, b, p = _folder(d), _folder(d), d.table("part")
+    p.select(F.concat(F.lit("\ufeff"), "p_brand").alias("value")).distinct().write.text(a)
+    p.select(F.concat("p_type", F.lit(" é")).alias("value")).distinct().coalesce(1).write.option("encoding", "UTF-16").option("quote", "").csv(b)
+    marked, wide = readers.read_terms(d.spark, a), readers.read_terms(d.spark, f"{b}/part*", "UTF-16")
+    return marked.select("term", F.lit("marked").alias("kind")).unionByName(wide.select("term", F.lit("wide").alias("kind")))
+
+
+@query("k04_report", _sql("SELECT CAST(year AS VARCHAR) AS year, CAST(count(*) AS VARCHAR) AS n, CAST(CAST(sum(count(*)) OVER (ORDER BY year) AS BIGINT) AS VARCHAR) AS cumulative FROM yr GROUP BY year", _EDGES))
+def _(d):
+    """A report is written, and one of its sections read again."""
+    path, e = _folder(d), d.edges()
+    sections = stats.network_report(d.documents(e), e, cut(weights.spx(e)))
+    stats.write_report({k: sections[k] for k in ("totals", "growth", "network")}, path)
+    return d.spark.read.csv(f"{path}/growth", header=True, sep="\t")
+
+
+@query("t04_aliases", _sql("SELECT doc_id, CASE term WHEN 'the end' THEN 'end' WHEN 'end' THEN 'finish' ELSE term END AS term, count(*) AS n FROM terms WHERE t = 1 GROUP BY 1, 2", _WORDS))
+def _(d):
+    """Finished terms are replaced, and a replacement isn't replaced again."""
+    aliases = d.spark.createDataFrame([("The end", "END"), ("end", "finish"), ("end", "finish")], "variant string, canonical string")
+    return text.terms(d.texts(), "title", aliases=aliases).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+
+
+@query("t10_in_report", _sql("SELECT doc_id, term, CAST(n_total AS BIGINT) AS n_total FROM keys WHERE term IN ('small', 'ring')", _KEYS))
+def _(d):
+    report = d.spark.createDataFrame([("Small",), ("ring",), ("absent",), ("ring",)], "term string")
+    return text.in_report(d.keywords(), report)
+
+
+@query("t13_author_count", _sql("SELECT doc_id, count(*) AS n FROM members GROUP BY 1", _PEOPLE))
+def _(d):
+    """Names of an order, written as one text, cut and counted."""
+    said = d.authors().groupBy("doc_id").agg(F.array_join(F.collect_list(F.concat("name", F.lit(" J.M."))), ", ").alias("Authors"))
+    return names.authors(said, pairs=False).select("doc_id", names.author_count(F.col("author_names")).cast("long").alias("n"))
 
 
 def queries() -> dict[str, Query]:

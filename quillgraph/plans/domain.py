@@ -47,10 +47,20 @@ class Domain:
         return who.join(self.table("supplier").select(F.col("s_suppkey").alias("supp"), F.col("s_name").alias("name")), "supp").select("doc_id", "pos", "name")
 
     def assignees(self) -> DataFrame:
-        """(doc_id, pos, name, country, is_university): nations of suppliers, their regions, even ones as universities."""
+        """(doc_id, pos, name, country, is_university, area): nations of suppliers, their regions, even ones as universities; the
+        area is the rest of a nation's number divided by three, and none for zero."""
         nation = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        place = self.table("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("supp"), F.col("n_name").alias("name"), F.col("r_name").alias("country"), (F.col("n_nationkey") % 2 == 0).alias("is_university"))
-        return self.items().join(place, "supp").groupBy("doc_id", "name", "country", "is_university").agg(F.min("line").alias("pos")).select("doc_id", "pos", "name", "country", "is_university")
+        place = self.table("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("supp"), F.col("n_name").alias("name"), F.col("r_name").alias("country"), (F.col("n_nationkey") % 2 == 0).alias("is_university"), F.nullif((F.col("n_nationkey") % 3).cast("string"), F.lit("0")).alias("area"))
+        return self.items().join(place, "supp").groupBy("doc_id", "name", "country", "is_university", "area").agg(F.min("line").alias("pos")).select("doc_id", "pos", "name", "country", "is_university", "area")
+
+    def author_places(self) -> DataFrame:
+        """(doc_id, pos, name, country): authors with the nations that they are of."""
+        where = self.table("supplier").join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("name"), F.col("n_name").alias("country"))
+        return self.authors().join(where, "name").select("doc_id", "pos", "name", "country")
+
+    def areas(self) -> DataFrame:
+        """(country, area): nations and their regions."""
+        return self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("country"), F.col("r_name").alias("area"))
 
     def documents(self, edges: DataFrame) -> DataFrame:
         """(doc_id, year, alias, times_cited, n_authors, n_countries)."""

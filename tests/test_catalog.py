@@ -1,6 +1,8 @@
 """Registered queries against their SQL, over the smallest tables."""
 
+import collections
 import glob
+import itertools
 import os
 
 import duckdb
@@ -8,6 +10,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_point
+from quillgraph.operators import stats
 from quillgraph.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -26,21 +29,36 @@ def rows(df):
     return sorted(tuple("" if pd.isna(v) else round(float(v), 5) if isinstance(v, (int, float)) else v for v in r) for r in df.itertuples(index=False, name=None))
 
 
-#: Variants of queries that others stand for here; with QUILLGRAPH_ALL_TESTS set they run too.
-VARIANTS = {"s05_case_law", "c03_main_path_partition", "g23_main_path_local_both", "g23_main_path_global_key_route", "g23_main_path_local_backward", "r18_relevancy_cpc", "r18_relevancy_cpc_slash", "r18_relevancy_cpc_slash_citation", "r18_relevancy_citation", "r12_critical_transitions", "a05_top_links", "a16_top_nodes", "g16_overflow_check", "g10_splc", "g12_spgd", "g14_sphd", "k03_link_table", "k05_select_records", "n01_coauthors_first", "n04_first_author_citations", "c02_attach_partition", "c07_coword_clusters", "a09_collaboration_counts", "a04_largest_components", "r14_array_statistics"}
-LEFT_OUT = set() if os.environ.get("QUILLGRAPH_ALL_TESTS") else VARIANTS
-
-
-@pytest.mark.parametrize("name", sorted(set(catalog.oracle_sql()) - LEFT_OUT))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query(spark, duck, name):
     got, want = catalog.queries()[name](spark, SF).toPandas(), duck.sql(catalog.oracle_sql()[name]).df()
     assert set(got.columns) == set(want.columns)
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql()) - LEFT_OUT))
-def test_query_without_sql_runs(spark, name):
-    assert catalog.queries()[name](spark, SF).count() >= 0
+def test_all_but_the_simulation_have_sql():
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"a22_centralisation_against_random"}
+
+
+def test_simulation(spark):
+    """Expected centralisation by enumeration of all ways to draw the links of a group of three and of one of four."""
+    pairs = {n: list(itertools.combinations(range(n), 2)) for n in (3, 4)}
+    links = [("a", "b", 3), ("b", "c", 1), ("p", "q", 1), ("q", "r", 1), ("r", "s", 1)]
+    groups = [(x, "one") for x in "abc"] + [(x, "two") for x in "pqrs"]
+    found = {r.group_id: r for r in stats.centralisation_against_random(spark.createDataFrame(links, "a string, b string, weight long"), spark.createDataFrame(groups, "name string, group_id string")).collect()}
+    for name, n, m, observed in (("one", 3, 4, 2), ("two", 4, 3, 2)):
+        total = 0
+        for drawn in itertools.product(pairs[n], repeat=m):
+            degree = collections.Counter(x for p in drawn for x in p)
+            total += n * max(degree.values()) - 2 * m
+        want = total / len(pairs[n]) ** m
+        r = found[name]
+        assert r.n == n and r.observed == observed and abs(r.expected - want) < 0.02 * want and abs(r.ratio - r.observed / r.expected) < 1e-9
+
+
+def test_the_registered_simulation(spark):
+    rows = catalog.queries()["a22_centralisation_against_random"](spark, SF).collect()
+    assert rows and all(r.n >= 1 and r.expected >= 0 for r in rows)
 
 
 def test_entry(spark):
