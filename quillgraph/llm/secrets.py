@@ -438,7 +438,8 @@ def labelled(n: int = SAMPLE, seed: int = 20) -> list[tuple[str, list[tuple[int,
 @functools.cache
 def trained(n: int = SAMPLE, seed: int = 20) -> Tagger:
     """The tagger; the same for the same arguments. Features seen in fewer than SEEN tokens are left out."""
-    found = []
+    number: dict[str, int] = {}
+    found = []  # a sequence's features by number as soon as it is made, for the driver's sake
     for text, spans in labelled(n, seed):
         tags, words = [], []
         for m in _TOKEN.finditer(text):
@@ -446,17 +447,21 @@ def trained(n: int = SAMPLE, seed: int = 20) -> Tagger:
             words.append(m.group())
             tags.append(OUTSIDE if inside is None else BEGIN if inside[0] == m.start() else INSIDE)
         if words:
-            found.append((feature_names(words), np.array(tags)))
-    seen = Counter(x for rows, _ in found for row in rows for x in row)
-    names = {x: k for k, x in enumerate(sorted(x for x, c in seen.items() if c >= SEEN), 1)}
+            rows = feature_names(words)
+            out = np.zeros((len(rows), max(map(len, rows))), dtype=np.int32)
+            for i, row in enumerate(rows):
+                out[i, : len(row)] = [number.setdefault(x, len(number) + 1) for x in row]
+            found.append((out, np.array(tags)))
+    seen = np.zeros(len(number) + 1, dtype=np.int64)
+    for out, _ in found:
+        seen += np.bincount(out.ravel(), minlength=len(seen))
+    kept = sorted(x for x, k in number.items() if seen[k] >= SEEN)
+    names = {x: k for k, x in enumerate(kept, 1)}
+    to = np.zeros(len(number) + 1, dtype=np.int32)
+    for x, k in names.items():
+        to[number[x]] = k
     model = LinearChainCRF(3, len(names) + 1, forbidden=((OUTSIDE, INSIDE),), not_first=(INSIDE,))
-    get = names.get
-    padded = []
-    for rows, tags in found:
-        out = np.zeros((len(rows), max(map(len, rows))), dtype=np.int32)
-        for i, row in enumerate(rows):
-            out[i, : len(row)] = [get(x, 0) for x in row]
-        padded.append((out, tags))
+    padded = [(to[out], tags) for out, tags in found]
     return Tagger(model.fit(padded, epochs=4), names)
 
 
