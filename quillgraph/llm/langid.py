@@ -134,7 +134,8 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = ROWS,
     known = docs.where(~held_out(F.col("doc_id"))).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
     distinct = settle(known.select("lang", "h").distinct())
-    sizes = distinct.groupBy("lang").agg(F.count("*").alias("n"))
+    # written: its size is known then, and rows need not meet by language
+    sizes = settle(distinct.groupBy("lang").agg(F.count("*").alias("n")))
     languages = sizes.count()
     most = min(per_language, max(least, rows // max(1, languages)))
     # hashes are uniform: those below this share are about 1.5 times what is wanted, and are ranked
