@@ -6,10 +6,9 @@ leaves blocks of two or three bits, so shards are named by min-hashes instead: B
 similarity s meets in none with chance (1 - s ** ROWS) ** BANDS, 3 in a million at 0.8 and less above.
 
 Equal sets are first folded into one node. In each shard all nodes are compared with the least, then with the greatest, so
-that a large group costs rows by its size and not its square. Whatever then shares a shard with a node of another group is
-joined by prefixes: of two sets that are similar enough, the rarest shingles (all but SIMILARITY of a set, counted among
-these nodes) have one in common, at places that leave room for the overlap. Copies of one template with parts of
-their own have those in their prefixes, and so aren't compared with each other.
+that a large group costs rows by its size and not its square. Whatever then shares a shard with a node of another group goes
+there with its set: BK-trees over SimHash fingerprints of the sets name candidates, the sets decide, and a shard's tasks return
+a spanning forest of the links. Texts that are alike by less than SIMILARITY are compared there, but make no rows.
 """
 
 from __future__ import annotations
@@ -19,15 +18,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_rows, fresh, one_row_each, settle, slices
-from .simhash import components, shingle_hashes
+from .simhash import BKTree, components, majority, shingle_hashes
 
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
+#: Bits in which fingerprints of candidates may differ. Sets at SIMILARITY differ in 10 on average and in more than this with a chance of at most 1e-6.
+RADIUS = 28
+#: Nodes that a tree has at most, about, and shingles of their sets.
+TREE_NODES, TREE_SHINGLES = 512, 1 << 20
 #: Bits that the filter over wanted doc_ids has at most (8 MB), whatever the data. Beyond some 10 million of them it lets more rows pass.
 FILTER_BITS = 1 << 26
 
@@ -58,15 +61,15 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
 
 
 def _sketches(rows: DataFrame, width: int) -> DataFrame:
-    """(rid, doc_id, digest, n, bands) for each of ``rows`` (rid, doc_id, text)."""
+    """(rid, doc_id, digest, n, fp, bands) for each of ``rows`` (rid, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = [shingle_set(t, width) for t in byte_rows(b.column(2))]
-            cols = [b.column(0), b.column(1), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "digest", "n", "bands"])
+            cols = [b.column(0), b.column(1), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(majority(sets).view(np.int64)), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "digest", "n", "fp", "bands"])
 
-    return settle(rows.mapInArrow(run, "rid long, doc_id long, digest binary, n long, bands array<long>"))
+    return settle(rows.mapInArrow(run, "rid long, doc_id long, digest binary, n long, fp long, bands array<long>"))
 
 
 def _places(ids: np.ndarray, size: int) -> list[np.ndarray]:
@@ -139,27 +142,96 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return settle(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
 
 
-def _by_prefix(sets: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): pairs of ``nodes`` (rid, c) of different c among which are all whose sets are similar enough."""
+def _shards(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """Rows that agree in their first ``keys`` columns (long, sorted by them), one shard after another."""
+    kept: list[pa.RecordBatch] = []
+    name = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.stack([b.column(i).to_numpy() for i in range(keys)])
+        edge = np.flatnonzero(np.r_[True, (k[:, 1:] != k[:, :-1]).any(axis=0), True])
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            if name is not None and (k[:, lo] != name).any():
+                yield name, pa.Table.from_batches(kept)
+                kept = []
+            name = k[:, lo]
+            kept.append(b.slice(lo, hi - lo))
+    if name is not None:
+        yield name, pa.Table.from_batches(kept)
+
+
+def tree_links(fps: list[int], own: list[np.ndarray], c: np.ndarray, first: int | None = None, similarity: float = SIMILARITY, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """A spanning forest, as index pairs, of the links between texts of different groups ``c``.
+
+    The BK-tree over fingerprints names the candidates, their whole sets decide. With ``first`` the tree holds the first so many, and
+    the others are only searched; without it each is searched among those before it.
+    """
+    c = np.unique(c, return_inverse=True)[1].copy()
+    n = np.array([len(x) for x in own], dtype=np.int64)
+    # shingles by number, so that an overlap is a count of marks
+    _, flat = np.unique(np.concatenate(own), return_inverse=True)
+    sets, marks = np.split(flat, np.cumsum(n)[:-1]), np.zeros(int(flat.max()) + 1, dtype=bool)
+    tree, members, out, groups = BKTree(), [], [], int(c.max()) + 1
+    for i, fp in enumerate(fps):
+        if groups == 1:
+            break
+        if first is None or i >= first:
+            near = np.array([m for at in tree.within(fp, radius) for m in members[at]], dtype=np.int64)
+            near = near[(c[near] != c[i]) & (np.minimum(n[near], n[i]) >= similarity * np.maximum(n[near], n[i]) - 1e-9)]
+            if len(near):
+                marks[sets[i]] = True
+                both = np.add.reduceat(marks[np.concatenate([sets[m] for m in near])], np.r_[0, np.cumsum(n[near])[:-1]], dtype=np.int64)
+                marks[sets[i]] = False
+                for m in near[both >= similarity * (n[near] + n[i] - both) - 1e-9]:
+                    if c[m] != c[i]:
+                        out.append((int(m), i))
+                        c[c == c[m]] = c[i]
+                        groups -= 1
+        if first is None or i < first:
+            at = tree.add(fp)
+            if at == len(members):
+                members.append([])
+            members[at].append(i)
+    return out
+
+
+def _trees(shards: DataFrame, sets: DataFrame, similarity: float, nodes: int = TREE_NODES, shingles: int = TREE_SHINGLES) -> DataFrame:
+    """(u, v): links that connect whatever any links within a shard of ``shards`` (band, rid, n, fp, c) do, between groups c.
+
+    A shard's largest group needn't be compared with itself. Its other nodes are dealt to trees of bounded size, and each tree is searched for
+    the nodes of the other trees, and of the largest group in parts of the same size. A shard's tasks return forests and not pairs.
+    """
+
+    def parts(what: Column) -> Column:
+        return F.greatest(F.ceil(F.sum(F.when(what, 1).otherwise(0)) / nodes), F.ceil(F.sum(F.when(what, F.col("n")).otherwise(0)) / shingles)).cast("int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, rows=64):
-            own = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
-            n = np.array([len(x) for x in own], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x, n)) for x in (b.column(0).to_numpy(), n)] + [pa.array(np.concatenate(own))], ["rid", "n", "h"])
-
-    each = settle(sets.join(nodes.select("rid"), "rid", "left_semi").select("rid", "own").mapInArrow(run, "rid long, n long, h long"))
-    shared = each.join(each.groupBy("h").agg(F.count("*").alias("f")).where("f > 1"), "h")
-    # shingles of one node alone come first, in any order; they join nothing
-    rare, mine = Window.partitionBy("rid").orderBy("f", "h"), Window.partitionBy("rid")
-    placed = shared.select("rid", "n", "h", (F.col("n") - F.count("*").over(mine) + F.row_number().over(rare)).alias("at"))
-    short = placed.where(F.col("at") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1)
-    short = settle(short.join(nodes, "rid"))
-    a, b = short.alias("a"), short.alias("b")
-    room = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    on = (F.col("a.h") == F.col("b.h")) & (F.col("a.rid") < F.col("b.rid")) & (F.col("a.c") != F.col("b.c"))
-    on &= room >= F.lit(similarity / (1 + similarity)) * (F.col("a.n") + F.col("b.n")) - 1e-9
-    return a.join(b, on).select(F.col("a.rid").alias("u"), F.col("b.rid").alias("v")).distinct()
+        for (_, i, j), t in _shards(batches, 3):
+            t = t.sort_by([("side", "ascending"), ("rid", "ascending")])
+            rid, side = t["rid"].to_numpy(), t["side"].to_numpy()
+            fps = t["fp"].to_numpy().view(np.uint64).tolist()
+            own = [np.frombuffer(x, np.uint64) for x in t["own"].to_pylist()]
+            links = tree_links(fps, own, t["c"].to_numpy(), None if i == j else int((side == 0).sum()), similarity)
+            yield pa.RecordBatch.from_arrays([pa.array([rid[x] for x, _ in links], pa.int64()), pa.array([rid[y] for _, y in links], pa.int64())], ["u", "v"])
+
+    most = shards.groupBy("band", "c").count().groupBy("band").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
+    rows = settle(shards.join(most, "band").withColumn("other", F.col("c") != F.col("main")))
+    sizes = rows.groupBy("band").agg(parts(F.col("other")).alias("k"), parts(~F.col("other")).alias("m"))
+    rows = rows.join(settle(sizes), "band").withColumn("g", F.pmod(F.xxhash64("rid"), F.when(F.col("other"), F.col("k")).otherwise(F.col("m"))).cast("int"))
+    # tree i meets the nodes j: those of a tree from i on, or after all trees a part of the largest group
+    trees, g, k = F.sequence(F.lit(0), F.col("k") - 1), F.col("g"), F.col("k")
+    spots = F.when(
+        F.col("other"),
+        F.concat(
+            F.transform(F.filter(trees, lambda x: x < g), lambda x: F.struct(x.alias("i"), g.alias("j"), F.lit(1).alias("side"))),
+            F.transform(F.sequence(g, k + F.col("m") - 1), lambda x: F.struct(g.alias("i"), x.alias("j"), F.lit(0).alias("side"))),
+        ),
+    ).otherwise(F.transform(trees, lambda x: F.struct(x.alias("i"), (k + g).alias("j"), F.lit(1).alias("side"))))
+    dealt = rows.withColumn("x", F.explode(spots)).select("band", F.col("x.i").cast("long").alias("i"), F.col("x.j").cast("long").alias("j"), F.col("x.side").alias("side"), "rid", "fp", "c")
+    dealt = dealt.join(sets, "rid").select("band", "i", "j", "side", "rid", "fp", "c", "own")
+    dealt = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return settle(dealt.mapInArrow(run, "u long, v long").distinct())
 
 
 def redundant(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -175,9 +247,9 @@ def redundant(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARIT
     found = settle(own.where("u <> v").distinct())
 
     # a node has a band once
-    shards = each.join(named.select("rid"), "rid", "left_semi").select("rid", F.explode("bands").alias("band"))
+    shards = each.join(named.select("rid"), "rid", "left_semi").select("rid", "n", "fp", F.explode("bands").alias("band"))
     shards = shards.join(shards.groupBy("band").count().where("count > 1").select("band"), "band", "left_semi")
-    shards = settle(shards.select("band", "rid", F.col("rid").alias("c")))
+    shards = settle(shards.select("band", "rid", "n", "fp", F.col("rid").alias("c")))
     sets = _sets(rows, each, settle(named.join(shards.select("rid").distinct(), "rid", "left_semi").select("rid", "doc_id", "digest")), width)
     for end in (F.min, F.max):
         # of each shard that isn't in one group yet, all nodes with its least, then its greatest
@@ -185,12 +257,10 @@ def redundant(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARIT
         pairs = shards.join(one, "band").where("rid <> e").select(F.least("rid", "e").alias("u"), F.greatest("rid", "e").alias("v")).distinct()
         found = found.unionByName(_checked(pairs, sets, similarity))
         group = components(found).withColumnsRenamed({"node": "rid", "component": "c"})
-        shards = shards.select("band", "rid").join(group, "rid", "left").select("band", "rid", F.coalesce("c", "rid").alias("c"))
+        shards = shards.drop("c").join(group, "rid", "left").select("band", "rid", "n", "fp", F.coalesce("c", "rid").alias("c"))
         apart = shards.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("band")
         shards = settle(shards.join(apart, "band", "left_semi"))
-    left = settle(shards.select("rid", "c").distinct())
-    rest = _by_prefix(sets, left, similarity)
-    group = components(found.unionByName(_checked(rest, sets, similarity))).withColumnsRenamed({"node": "rid", "component": "c"})
+    group = components(found.unionByName(_trees(shards, sets, similarity))).withColumnsRenamed({"node": "rid", "component": "c"})
     keep = named.join(group, "rid", "left").groupBy(F.coalesce("c", "rid").alias("c")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     return each.select("doc_id").join(keep, "doc_id", "left_anti").distinct()
 

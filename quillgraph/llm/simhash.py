@@ -52,7 +52,11 @@ def shingle_hashes(text: bytes, width: int = SHINGLE) -> list[int]:
 
 def votes(texts: list[bytes | None], width: int = SHINGLE) -> np.ndarray:
     """Fingerprints (uint64) of texts. A bit is 1 if set in over half the hashes; without words all are 0."""
-    each = [shingle_hashes(t, width) if t else [] for t in texts]
+    return majority([shingle_hashes(t, width) if t else [] for t in texts])
+
+
+def majority(each: list) -> np.ndarray:
+    """A fingerprint (uint64) for each list of hashes: a bit is 1 if set in over half of them, and without hashes all are 0."""
     n = np.array([len(x) for x in each], dtype=np.int64)
     flat = np.fromiter((h for x in each for h in x), dtype=np.uint64, count=int(n.sum()))
     owner = np.repeat(np.arange(len(each), dtype=np.int64), n) * 256

@@ -73,3 +73,54 @@ def test_a_filter_passes_all_its_ids_and_may_be_full(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "_filter", lambda ids: first(ids, most=64))
     assert sorted(r.doc_id for r in nearcopies.drop_near_copies(docs).collect()) == want
     assert want[0] == 0 and 1 not in want
+
+
+def variants(many, changes, seed):
+    """Texts that each differ from one base in a few words of their own: alike, but most of them by less than 0.8."""
+    rng, base = random.Random(seed), [f"w{k}" for k in range(200)]
+    rows = []
+    for k in range(many):
+        text = list(base)
+        for _ in range(changes):
+            text[rng.randrange(200)] = f"x{rng.randrange(10**9)}"
+        rows.append((k, " ".join(text)))
+    return rows
+
+
+def test_what_is_alike_but_apart_makes_no_pairs(spark, docs, monkeypatch):
+    rows, written = variants(300, 3, 3), []
+    first = nearcopies.settle
+
+    def settle(df):
+        out = first(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(nearcopies, "settle", settle)
+    got = sorted(r.doc_id for r in nearcopies.drop_near_copies(docs(rows, extra=False)).collect())
+    assert got == kept(rows)
+    assert 1 < len(got) < 300
+    # a row for each node and band at most, and not one for each of the 44,850 pairs
+    assert max(written) <= (nearcopies.BANDS + 1) * len(rows)
+
+
+def test_trees_of_a_crowded_shard_lose_no_link(spark):
+    rows = variants(150, 4, 4)
+    sets = [nearcopies.shingle_set(t.encode()) for _, t in rows]
+    fps = nearcopies.majority(sets).view(np.int64).tolist()
+
+    def joined(c, links):
+        c = list(c)
+        for u, v in links:
+            c = [c[v] if x == c[u] else x for x in c]
+        return [c.index(x) for x in c]
+
+    c = [0 if k < 60 else k for k in range(150)]
+    want = joined(c, [(i, j) for i in range(150) for j in range(i) if nearcopies.alike(sets[i], sets[j])])
+    shards = spark.createDataFrame([(band, k, len(s), fps[k], c[k]) for band in (0, 1) for k, s in enumerate(sets)], "band long, rid long, n long, fp long, c long")
+    own = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "rid long, own binary")
+    for size in ({}, {"nodes": 7}, {"nodes": 40}, {"shingles": 2000}):
+        links = [(r.u, r.v) for r in nearcopies._trees(shards, own, 0.8, **size).collect()]
+        assert joined(c, links) == want
+        assert all(nearcopies.alike(sets[u], sets[v]) and c[u] != c[v] for u, v in links)
+    assert len(set(want)) < len(set(c))
