@@ -119,6 +119,20 @@ class BKTree:
             else:
                 todo += [kids[e] for e in range(d - radius, d + radius + 1) if e in kids]
 
+    def nearest(self, value: int, radius: int) -> int | None:
+        """The number of a member nearest to ``value``, if one is at most ``radius`` from it; what is found narrows the search."""
+        found, todo = None, [(0, 0)] if self.values else []
+        while todo:
+            least, at = todo.pop()
+            if least > radius:
+                continue
+            d = (self.values[at] ^ value).bit_count()
+            if d <= radius:
+                found, radius = at, d - 1
+            # the likeliest child is searched first
+            todo += sorted(((abs(e - d), k) for e, k in self.children[at].items() if abs(e - d) <= radius), reverse=True)
+        return found
+
 
 def shard_links(fps: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
     """A spanning forest, as index pairs, of the links between ``fps``."""

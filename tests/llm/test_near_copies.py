@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from quillgraph.llm import nearcopies
+from quillgraph.llm import nearcopies, simhash
 
 from .conftest import ODD
 
@@ -124,3 +124,45 @@ def test_trees_of_a_crowded_shard_lose_no_link(spark):
         assert joined(c, links) == want
         assert all(nearcopies.alike(sets[u], sets[v]) and c[u] != c[v] for u, v in links)
     assert len(set(want)) < len(set(c))
+
+
+def test_a_tree_finds_a_nearest_member():
+    rng = random.Random(6)
+    values = [rng.getrandbits(64) for _ in range(200)]
+    values += [v ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for v in values[:100]]
+    tree = simhash.BKTree()
+    for v in values:
+        want = min(((w ^ v).bit_count() for w in tree.values), default=99)
+        for radius in (1, 20, 64):
+            at = tree.nearest(v, radius)
+            assert at is None if want > radius else (tree.values[at] ^ v).bit_count() == want
+        tree.add(v)
+
+
+def test_candidates_come_from_trees_over_fingerprints(spark):
+    rows = variants(60, 4, 7)
+    sets = [nearcopies.shingle_set(t.encode()) for _, t in rows]
+    frame = spark.createDataFrame([(k, k, t) for k, t in rows], "rid long, doc_id long, text string")
+    each = nearcopies._sketches(frame, nearcopies.WIDTH)
+    fps = {r.rid: r.fp for r in each.collect()}
+    assert [fps[k] for k in range(60)] == simhash.majority([list(s) for s in sets]).view(np.int64).tolist()
+    apart = lambda i, j: ((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count()
+    shards = each.selectExpr("1L as band", "60L as count", "rid", "fp")
+    links = {r.v: r.u for r in nearcopies._nearest(shards).collect()}
+    for k in range(60):
+        least = min((apart(j, k) for j in range(k)), default=99)
+        assert (least > nearcopies.RADIUS) == (k not in links)
+        assert k not in links or links[k] < k and apart(links[k], k) == least
+    # trees of bounded size: fewer links, all within the radius
+    few = [(r.u, r.v) for r in nearcopies._nearest(shards, nodes=16).collect()]
+    assert 0 < len(few) < len(links) and all(apart(u, v) <= nearcopies.RADIUS for u, v in few)
+
+
+def test_the_radius_holds_what_is_similar():
+    rng = np.random.default_rng(8)
+    for n in (5, 10, 15, 45, 150):
+        for _ in range(400):
+            own = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+            other = own[: -(-4 * n // 5)]
+            a, b = (int(x) for x in simhash.majority([own, other]))
+            assert nearcopies.alike(np.sort(own), np.sort(other)) and (a ^ b).bit_count() <= nearcopies.RADIUS
