@@ -7,13 +7,16 @@ of similarity s meets in none with chance (1 - s ** ROWS) ** BANDS, 3 in a milli
 
 Equal sets are first folded into one node. A shard's tree links each node with the nearest before it, so that a large group costs
 rows by its size and not its square; pairs are checked on whole sets. Whatever then shares a shard with a node of another group
-goes there with its set: the trees name all candidates within the radius, the sets decide, and a shard's tasks return
-a spanning forest of the links. Texts that are alike by less than SIMILARITY are compared there, but make no rows.
+goes there with a sketch, a byte for each min-hash: the trees name all candidates within the radius, and what agreeing sketches
+reach is a family. Sets go once to their family's tree, not to each shard, or to a few trees of a large family; only where a family is
+too large for FAMILY_TREES of them they go to the shards of its nodes. Candidates are named there again, the sets decide, and a tree's task returns a spanning forest of the links. Texts
+that are alike by less than SIMILARITY are compared there, but make no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,12 @@ BANDS, ROWS = 32, 5
 #: Bits in which fingerprints of candidates may differ. Sets at SIMILARITY differ in 10 on average and in more than this with
 #: a chance of 1e-6 at 5 shingles and under 1e-7 from 6 on (simulated for 17 sizes up to 1,000).
 RADIUS = 28
+#: Chance that the sketches of sets at SIMILARITY agree in fewer bytes than ``least_agreement`` says; less above.
+MISS = 1e-8
 #: Nodes that a tree has at most, about, and shingles of their sets.
 TREE_NODES, TREE_SHINGLES = 512, 1 << 20
+#: Trees' worth of nodes or shingles up to which a family is dealt as one. A node is sent up to so many times there, and else for each shard, of up to BANDS.
+FAMILY_TREES = 8
 #: Bits that the filter over wanted doc_ids has at most (8 MB), whatever the data. Beyond some 10 million of them it lets more rows pass.
 FILTER_BITS = 1 << 26
 
@@ -45,32 +52,52 @@ def shingle_set(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, width) if text else [], dtype=np.uint64))
 
 
-def bands(own: np.ndarray) -> list[int]:
-    """The names of a set's shards; an empty set has none, since it is like no other."""
-    if not len(own):
-        return []
+def minima(own: np.ndarray) -> np.ndarray:
+    """A set's min-hashes."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(own), 2048):
         least = np.minimum(least, ((own[at : at + 2048, None] ^ _XOR) * _ODD).min(axis=0))
+    return least
+
+
+def bands(least: np.ndarray) -> list[int]:
+    """The names of a set's shards, from its min-hashes."""
     raw = least.tobytes()
     return [xxhash.xxh64_intdigest(raw[k * ROWS * 8 : (k + 1) * ROWS * 8], k) - (1 << 63) for k in range(BANDS)]
 
 
+def sketch(least: np.ndarray) -> bytes:
+    """A byte for each min-hash; unequal min-hashes have equal bytes with chance 1 / 256."""
+    return ((least * _ODD[0]) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def least_agreement(similarity: float = SIMILARITY) -> int:
+    """Bytes in which sketches of sets at ``similarity`` agree at least, but for a chance of MISS: a tail of the binomial distribution."""
+    n, tail = BANDS * ROWS, 0.0
+    for t in range(n):
+        tail += math.comb(n, t) * similarity**t * (1 - similarity) ** (n - t)
+        if tail > MISS:
+            return t
+    return n
+
+
 def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
 def _sketches(rows: DataFrame, width: int) -> DataFrame:
-    """(rid, doc_id, digest, n, fp, bands) for each of ``rows`` (rid, doc_id, text)."""
+    """(rid, doc_id, digest, n, fp, bands, sketch) for each of ``rows`` (rid, doc_id, text). An empty set has no bands, since it is like no other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = [shingle_set(t, width) for t in byte_rows(b.column(2))]
-            cols = [b.column(0), b.column(1), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(majority(sets).view(np.int64)), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "digest", "n", "fp", "bands"])
+            least = [minima(s) for s in sets]
+            cols = [b.column(0), b.column(1), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(majority(sets).view(np.int64))]
+            cols += [pa.array([bands(x) if len(s) else [] for s, x in zip(sets, least, strict=True)], pa.list_(pa.int64())), pa.array([sketch(x) for x in least], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "digest", "n", "fp", "bands", "sketch"])
 
-    return settle(rows.mapInArrow(run, "rid long, doc_id long, digest binary, n long, fp long, bands array<long>"))
+    return settle(rows.mapInArrow(run, "rid long, doc_id long, digest binary, n long, fp long, bands array<long>, sketch binary"))
 
 
 def _places(ids: np.ndarray, size: int) -> list[np.ndarray]:
@@ -185,60 +212,72 @@ def _nearest(shards: DataFrame, nodes: int = TREE_NODES) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
-def tree_links(fps: list[int], own: list[np.ndarray], c: np.ndarray, first: int | None = None, similarity: float = SIMILARITY, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """A spanning forest, as index pairs, of the links between texts of different groups ``c``.
+def _candidates(fps: list[int], n: np.ndarray, c: np.ndarray, first: int | None, similarity: float, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, those near it) by the BK-tree over fingerprints, where sizes ``n`` allow a link and groups ``c``, which may change meanwhile, differ.
 
-    The BK-tree over fingerprints names the candidates, their whole sets decide. With ``first`` the tree holds the first so many, and
-    the others are only searched; without it each is searched among those before it.
+    With ``first`` the tree holds the first so many, and the others are only searched; without it each is searched among those before it.
     """
-    c = np.unique(c, return_inverse=True)[1].copy()
-    n = np.array([len(x) for x in own], dtype=np.int64)
-    # shingles by number, so that an overlap is a count of marks
-    _, flat = np.unique(np.concatenate(own), return_inverse=True)
-    sets, marks = np.split(flat, np.cumsum(n)[:-1]), np.zeros(int(flat.max()) + 1, dtype=bool)
-    tree, members, out, groups = BKTree(), [], [], int(c.max()) + 1
+    tree, members = BKTree(), []
     for i, fp in enumerate(fps):
-        if groups == 1:
-            break
         if first is None or i >= first:
             near = np.array([m for at in tree.within(fp, radius) for m in members[at]], dtype=np.int64)
             near = near[(c[near] != c[i]) & (np.minimum(n[near], n[i]) >= similarity * np.maximum(n[near], n[i]) - 1e-9)]
             if len(near):
-                marks[sets[i]] = True
-                both = np.add.reduceat(marks[np.concatenate([sets[m] for m in near])], np.r_[0, np.cumsum(n[near])[:-1]], dtype=np.int64)
-                marks[sets[i]] = False
-                for m in near[both >= similarity * (n[near] + n[i] - both) - 1e-9]:
-                    if c[m] != c[i]:
-                        out.append((int(m), i))
-                        c[c == c[m]] = c[i]
-                        groups -= 1
+                yield i, near
         if first is None or i < first:
             at = tree.add(fp)
             if at == len(members):
                 members.append([])
             members[at].append(i)
+
+
+def sketch_links(fps: list[int], sketches: np.ndarray, n: np.ndarray, c: np.ndarray, first: int | None = None, similarity: float = SIMILARITY, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """A spanning forest, as index pairs, of the candidates whose sketches (rows of ``sketches``) agree as those of linked texts do."""
+    out, family, least = [], np.arange(len(fps)), least_agreement(similarity)
+    for i, near in _candidates(fps, n, c, first, similarity, radius):
+        near = near[family[near] != family[i]]
+        for m in near[(sketches[near] == sketches[i]).sum(axis=1) >= least]:
+            if family[m] != family[i]:
+                out.append((int(m), i))
+                family[family == family[m]] = family[i]
     return out
 
 
-def _trees(shards: DataFrame, sets: DataFrame, similarity: float, nodes: int = TREE_NODES, shingles: int = TREE_SHINGLES) -> DataFrame:
-    """(u, v): links that connect whatever any links within a shard of ``shards`` (band, rid, n, fp, c) do, between groups c.
+def tree_links(fps: list[int], own: list[np.ndarray], c: np.ndarray, first: int | None = None, similarity: float = SIMILARITY, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """A spanning forest, as index pairs, of the links between texts of different groups ``c``.
+
+    The BK-tree over fingerprints names the candidates, their whole sets decide. ``first`` as for ``_candidates``.
+    """
+    c = np.unique(c, return_inverse=True)[1].copy()
+    n = np.array([len(x) for x in own], dtype=np.int64)
+    # shingles by number, so that an overlap is a count of marks
+    _, flat = np.unique(np.concatenate(own), return_inverse=True)
+    sets, marks = np.split(flat, np.cumsum(n)[:-1]), np.zeros(int(flat.max()) + 1, dtype=bool)
+    out, groups = [], int(c.max()) + 1
+    for i, near in _candidates(fps, n, c, first, similarity, radius):
+        if groups == 1:
+            break
+        marks[sets[i]] = True
+        both = np.add.reduceat(marks[np.concatenate([sets[m] for m in near])], np.r_[0, np.cumsum(n[near])[:-1]], dtype=np.int64)
+        marks[sets[i]] = False
+        for m in near[both >= similarity * (n[near] + n[i] - both) - 1e-9]:
+            if c[m] != c[i]:
+                out.append((int(m), i))
+                c[c == c[m]] = c[i]
+                groups -= 1
+    return out
+
+
+def _dealt(shards: DataFrame, nodes: int, shingles: int) -> DataFrame:
+    """(band, i, j, side, rid, n, fp, c): ``shards`` (band, rid, n, fp, c), dealt so that nodes of different groups c meet in one (i, j).
 
     A shard's largest group needn't be compared with itself. Its other nodes are dealt to trees of bounded size, and each tree is searched for
-    the nodes of the other trees, and of the largest group in parts of the same size. A shard's tasks return forests and not pairs.
+    the nodes of the other trees, and of the largest group in parts of the same size.
     """
 
     def parts(what: Column) -> Column:
         return F.greatest(F.ceil(F.sum(F.when(what, 1).otherwise(0)) / nodes), F.ceil(F.sum(F.when(what, F.col("n")).otherwise(0)) / shingles)).cast("int")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), t in _shards(batches, 3):
-            t = t.sort_by([("side", "ascending"), ("rid", "ascending")])
-            rid, side = t["rid"].to_numpy(), t["side"].to_numpy()
-            fps = t["fp"].to_numpy().view(np.uint64).tolist()
-            own = [np.frombuffer(x, np.uint64) for x in t["own"].to_pylist()]
-            links = tree_links(fps, own, t["c"].to_numpy(), None if i == j else int((side == 0).sum()), similarity)
-            yield pa.RecordBatch.from_arrays([pa.array([rid[x] for x, _ in links], pa.int64()), pa.array([rid[y] for _, y in links], pa.int64())], ["u", "v"])
-
     most = shards.groupBy("band", "c").count().groupBy("band").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
     rows = settle(shards.join(most, "band").withColumn("other", F.col("c") != F.col("main")))
     sizes = rows.groupBy("band").agg(parts(F.col("other")).alias("k"), parts(~F.col("other")).alias("m"))
@@ -252,12 +291,56 @@ def _trees(shards: DataFrame, sets: DataFrame, similarity: float, nodes: int = T
             F.transform(F.sequence(g, k + F.col("m") - 1), lambda x: F.struct(g.alias("i"), x.alias("j"), F.lit(0).alias("side"))),
         ),
     ).otherwise(F.transform(trees, lambda x: F.struct(x.alias("i"), (k + g).alias("j"), F.lit(1).alias("side"))))
-    dealt = rows.withColumn("x", F.explode(spots)).select("band", F.col("x.i").cast("long").alias("i"), F.col("x.j").cast("long").alias("j"), F.col("x.side").alias("side"), "rid", "fp", "c")
-    dealt = dealt.join(sets, "rid").select("band", "i", "j", "side", "rid", "fp", "c", "own")
+    return rows.withColumn("x", F.explode(spots)).select("band", F.col("x.i").cast("long").alias("i"), F.col("x.j").cast("long").alias("j"), F.col("x.side").alias("side"), "rid", "n", "fp", "c")
+
+
+def _forests(dealt: DataFrame, links: Callable[[pa.Table, int | None], list[tuple[int, int]]]) -> DataFrame:
+    """(u, v), distinct: what ``links`` finds for the rows of each (band, i, j) of ``dealt``, given also how many its tree holds, if not all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), t in _shards(batches, 3):
+            t = t.sort_by([("side", "ascending"), ("rid", "ascending")])
+            rid, side = t["rid"].to_numpy(), t["side"].to_numpy()
+            found = links(t, None if i == j else int((side == 0).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array([rid[x] for x, _ in found], pa.int64()), pa.array([rid[y] for _, y in found], pa.int64())], ["u", "v"])
+
     dealt = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     return settle(dealt.mapInArrow(run, "u long, v long").distinct())
 
 
+def _families(shards: DataFrame, sketches: DataFrame, similarity: float, nodes: int = TREE_NODES, shingles: int = TREE_SHINGLES) -> DataFrame:
+    """(band, rid, n, fp, c): ``shards`` again, a node once, in its family, where the family fits FAMILY_TREES trees, and else in its shards.
+
+    A family is what candidates with agreeing sketches (``sketches``: rid, sketch) reach. A node without one is left out.
+    """
+
+    def links(t: pa.Table, first: int | None) -> list[tuple[int, int]]:
+        seen = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        return sketch_links(t["fp"].to_numpy().view(np.uint64).tolist(), seen, t["n"].to_numpy(), t["c"].to_numpy(), first, similarity)
+
+    dealt = _dealt(shards, nodes, shingles)
+    group = components(_forests(dealt.join(sketches, "rid").select(*dealt.columns, "sketch"), links)).withColumnsRenamed({"node": "rid", "component": "family"})
+    group = group.unionByName(group.select(F.col("family").alias("rid"), "family").distinct())
+    members = settle(shards.select("rid", "n", "fp", "c").distinct().join(group, "rid"))
+    large = members.groupBy("family").agg(F.count("*").alias("many"), F.sum("n").alias("all"))
+    large = settle(large.where((F.col("many") > FAMILY_TREES * nodes) | (F.col("all") > FAMILY_TREES * shingles)).select("family"))
+    once = members.join(large, "family", "left_anti").select(F.col("family").alias("band"), "rid", "n", "fp", "c")
+    return settle(once.unionByName(shards.join(members.join(large, "family", "left_semi").select("rid"), "rid", "left_semi").select(*once.columns)))
+
+
+def _trees(shards: DataFrame, sets: DataFrame, similarity: float, nodes: int = TREE_NODES, shingles: int = TREE_SHINGLES) -> DataFrame:
+    """(u, v): links that connect whatever any links within a shard of ``shards`` (band, rid, n, fp, c) do, between groups c.
+
+    A shard's tasks return forests and not pairs.
+    """
+
+    def links(t: pa.Table, first: int | None) -> list[tuple[int, int]]:
+        own = [np.frombuffer(x, np.uint64) for x in t["own"].to_pylist()]
+        return tree_links(t["fp"].to_numpy().view(np.uint64).tolist(), own, t["c"].to_numpy(), first, similarity)
+
+    return _forests(_dealt(shards, nodes, shingles).join(sets, "rid").select("band", "i", "j", "side", "rid", "fp", "c", "own"), links)
+
+
 def redundant(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id): those that aren't the least of their group. Texts without words are one group; rows that share a doc_id are in one."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
@@ -280,6 +363,7 @@ def redundant(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARIT
     shards = shards.join(group, "rid", "left").select("band", "rid", "n", "fp", F.coalesce("c", "rid").alias("c"))
     apart = shards.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("band")
     shards = settle(shards.join(apart, "band", "left_semi"))
+    shards = _families(shards, each.select("rid", "sketch"), similarity)
     group = components(found.unionByName(_trees(shards, sets, similarity))).withColumnsRenamed({"node": "rid", "component": "c"})
     keep = named.join(group, "rid", "left").groupBy(F.coalesce("c", "rid").alias("c")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     return each.select("doc_id").join(keep, "doc_id", "left_anti").distinct()

@@ -166,3 +166,50 @@ def test_the_radius_holds_what_is_similar():
             other = own[: -(-4 * n // 5)]
             a, b = (int(x) for x in simhash.majority([own, other]))
             assert nearcopies.alike(np.sort(own), np.sort(other)) and (a ^ b).bit_count() <= nearcopies.RADIUS
+
+
+def test_sets_go_once_to_their_family_and_not_to_each_shard(spark, docs, monkeypatch):
+    rows, sent = variants(300, 3, 3) + [(1000 + k, t.replace("w", "v")) for k, t in variants(60, 4, 9)], []
+    first, families = nearcopies._trees, nearcopies._families
+
+    def trees(shards, sets, similarity):
+        sent.append((shards.count(), shards.select("rid").distinct().count()))
+        return first(shards, sets, similarity)
+
+    monkeypatch.setattr(nearcopies, "_trees", trees)
+    want = kept(rows)
+    assert sorted(r.doc_id for r in nearcopies.drop_near_copies(docs(rows, extra=False)).collect()) == want
+    # families that are too large for their trees go by shard, with the same result
+    monkeypatch.setattr(nearcopies, "_families", lambda *a: families(*a, nodes=4))
+    assert sorted(r.doc_id for r in nearcopies.drop_near_copies(docs(rows, extra=False)).collect()) == want
+    (once, nodes), (many, again) = sent
+    assert once == nodes > 100
+    assert again == nodes and many > 2 * nodes
+
+
+def test_sketches_of_what_is_similar_agree():
+    rng, least = np.random.default_rng(9), nearcopies.least_agreement()
+    assert nearcopies.least_agreement(1.0) == nearcopies.BANDS * nearcopies.ROWS > least > 90
+
+    def sketch(own):
+        return np.frombuffer(nearcopies.sketch(nearcopies.minima(own)), np.uint8)
+
+    for n in (5, 10, 45, 150):
+        for _ in range(200):
+            own = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+            assert (sketch(own) == sketch(own[: -(-4 * n // 5)])).sum() >= least
+            assert (sketch(own) == sketch(own[: n // 3])).sum() < least
+
+
+def test_a_family_holds_every_link():
+    rows = variants(150, 4, 4)
+    sets = [nearcopies.shingle_set(t.encode()) for _, t in rows]
+    fps, n = nearcopies.majority(sets).tolist(), np.array([len(s) for s in sets])
+    sketches = np.stack([np.frombuffer(nearcopies.sketch(nearcopies.minima(s)), np.uint8) for s in sets])
+    for first in (None, 70):
+        family = list(range(150))
+        for u, v in nearcopies.sketch_links(fps, sketches, n, np.arange(150), first):
+            assert family[u] != family[v] and (first is None or u < first <= v)
+            family = [family[v] if x == family[u] else x for x in family]
+        linked = [(i, j) for i in range(150) for j in range(i) if (first is None or j < first <= i) and nearcopies.alike(sets[i], sets[j])]
+        assert linked and all(family[i] == family[j] for i, j in linked)
