@@ -100,15 +100,30 @@ def vocabulary(docs: DataFrame, title: str = "title", **how) -> DataFrame:
 def doc_terms(docs: DataFrame, title: str = "title", abstract: str | None = "abstract", **how) -> DataFrame:
     """(doc_id, term, n_title, n_total): terms of titles and abstracts, of the vocabulary of titles only.
 
-    Texts are cut once. What is known by document and term is kept, and the vocabulary is those of its terms that some
-    title has.
+    Phrases that no title has aren't shuffled, but with ``aliases``, where the vocabulary is known after the replacement only.
     """
+    if how.get("aliases") is None:
+        return _by_postings(docs, title, abstract, **how)
     parts = [F.struct(F.lit(1).alias("t"), F.col(title).alias("text"))] + ([F.struct(F.lit(0).alias("t"), F.col(abstract).alias("text"))] if abstract else [])
     texts = docs.select("doc_id", F.inline(F.array(*parts)))
     found = cut(terms(texts, "text", keep=("t",), **how).groupBy("doc_id", "term").agg(F.sum("t").alias("n_title"), F.count("*").alias("n_total")))
     return found.join(found.where("n_title > 0").select("term").distinct(), "term", "left_semi").select("doc_id", "term", "n_title", "n_total")
 
 
+def _by_postings(docs: DataFrame, title: str, abstract: str | None, stopwords=tuple(STOPWORDS), longest: int = 4, aliases: None = None) -> DataFrame:
+    from . import postings
+
+    of = F.coalesce(F.col(abstract), F.lit("")) if abstract else F.lit("")
+    texts = docs.select("doc_id", F.coalesce(F.col(title), F.lit("")).alias("title"), of.alias("abstract"))
+    n = texts.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("title")).alias("title"), F.sum(F.octet_length("title") + F.octet_length("abstract")).alias("size"))
+    known = n.agg(F.max("n").alias("n"), F.sum("title").alias("title"), F.sum("size").alias("size")).first()
+    split = lambda c: F.split(F.lower(c), DELIMITERS).alias(c)
+    found = postings.doc_terms(texts.select("doc_id", split("title"), split("abstract")), known.size or 0, known.title or 0, tuple(stopwords), NOISE, longest)
+    if (known.n or 0) <= 1:
+        return found
+    return found.groupBy("doc_id", "term").agg(F.sum("n_title").alias("n_title"), F.sum("n_total").alias("n_total"))  # a doc_id is repeated
+
+
 def keyword_years(found: DataFrame, years: DataFrame, last_year: int = 2020, cap: int = 10_000, report: DataFrame | None = None) -> DataFrame:
     """(term, year, n_docs, n_occurrences, docs_total): terms by year, for terms of at least one document in a thousand
     and the next one in rank, ``cap`` at most; or for the terms of ``report``, those without documents too.

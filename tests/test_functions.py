@@ -1,6 +1,7 @@
 """Text, patent, distance, relevancy, statistics and group functions on small tables."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,3 +136,26 @@ def test_report(spark, tmp_path):
     back = spark.read.csv(str(tmp_path / "spx_by_year"), header=True, sep="\t").orderBy("year").collect()
     assert [(r.year, r.n_links) for r in back] == [("2000", "1"), ("2001", "1"), ("2002", "0"), ("2003", "0")]
     assert sections["network"].first().n_links == 2
+
+
+def test_doc_terms_shuffle_postings_only(spark, monkeypatch):
+    """Against loops over the words, over several slices and buckets, with a doc_id that is repeated and without; no row of a phrase is shuffled."""
+    from quillgraph.functions import postings
+
+    monkeypatch.setattr(postings, "BUCKET", 64)
+    rows = [("a", "Cold water, (hot) water", "The cold water of s cold water; r"), ("b", None, "hot water 's cold"), ("c", "s the ring", None), ("d", "  ", "ring of fire of water"), ("a", "fire", "hot water")]
+    for docs in (rows, rows[:4]):
+        want = {}
+        for key, *texts in docs:
+            for title, t in zip((1, 0), texts, strict=True):
+                w = [x for x in re.split(text.DELIMITERS, (t or "").lower()) if x]
+                for n, i in ((n, i) for n in range(1, 5) for i in range(len(w) - n + 1)):
+                    term = " ".join(w[i : i + n])
+                    if w[i] not in text.STOPWORDS and w[i + n - 1] not in text.STOPWORDS and term not in text.NOISE:
+                        a, b = want.get((key, term), (0, 0))
+                        want[key, term] = (a + title, b + 1)
+        titles = {term for (_, term), (a, _) in want.items() if a}
+        found = text.doc_terms(spark.createDataFrame(docs, "doc_id string, title string, abstract string").repartition(3))
+        assert {(r.doc_id, r.term): (r.n_title, r.n_total) for r in found.collect()} == {k: v for k, v in want.items() if k[1] in titles}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(bucket" in plan and "hashpartitioning(term" not in plan and "hashpartitioning(doc_id" not in plan
